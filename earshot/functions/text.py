@@ -12,10 +12,6 @@ _UNSIGNED_32_BITS = 0xFFFFFFFF
 _UNSIGNED_31_BITS = 0x7FFFFFFF
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (text == "")
-
-
 def integer_or_zero(text: Column) -> Column:
     """An optionally signed run of digits as an int; anything else, also overflow, is 0."""
     digits = text.rlike(r"^[+-]?[0-9]+$")

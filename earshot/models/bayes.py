@@ -54,7 +54,7 @@ def train(
     totals: DataFrame, features: Sequence[str], driver_classes: int = DRIVER_CLASSES
 ) -> BayesModel:
     """Fit on :func:`class_totals`. The prediction lands in ``predicted_label``."""
-    totals = cut_lineage(totals)
+    totals = cut_lineage(totals, "class-totals")
     n_classes = totals.count()
     if n_classes == 0:
         raise ValueError("no training examples")
@@ -92,7 +92,7 @@ def _class_blocks(totals: DataFrame, features: Sequence[str], n_classes: int) ->
             F.struct("label", prior.alias("prior"), weights.alias("weights"))
         ).alias("classes")
     )
-    return cut_lineage(blocks)
+    return cut_lineage(blocks, "class-blocks")
 
 
 def predict(model: BayesModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:

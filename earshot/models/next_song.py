@@ -11,7 +11,7 @@ from earshot.models.store import load_or_train
 from earshot.operators.items import song_dimension
 from earshot.operators.splits import with_split
 from earshot.operators.timeline import next_song_pairs
-from earshot.operators.users import last_play_by_user, plays_with_profile
+from earshot.operators.users import Users, last_play_by_user, with_profile
 
 FEATURES = ("user_id", "song_id", "country_id", "gender_id", "age")
 
@@ -20,11 +20,11 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     """One example per play that has a successor.
 
     ``next_songId`` is the label; ``next_song_id`` is its hash key, for information only,
-    because two songs may share one. The successor is found before profiles are joined, so
-    nothing in the profile table can change who follows whom.
+    because two songs may share one. Profiles are unique per user when they join, so they
+    cannot change who follows whom.
     """
     identity = [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns]
-    return plays_with_profile(next_song_pairs(plays), profiles).select(
+    return next_song_pairs(plays, profiles=profiles).select(
         *identity,
         *FEATURES,
         "next_songId",
@@ -50,10 +50,10 @@ def train(
 
 
 def predict(
-    model: bayes.BayesModel, plays: DataFrame, profiles: DataFrame, users: DataFrame | None = None
+    model: bayes.BayesModel, plays: DataFrame, profiles: DataFrame, users: Users = None
 ) -> DataFrame:
     """The song each user will probably play after their last one."""
-    last = plays_with_profile(last_play_by_user(plays, users), profiles).select("user", *FEATURES)
+    last = with_profile(last_play_by_user(plays, users), profiles).select("user", *FEATURES)
     predicted = bayes.predict(model, last, FEATURES).select(
         F.col("user_id").cast("int").alias("user_id"), "user", F.col("predicted_label").alias("songId")
     )

@@ -18,7 +18,7 @@ from earshot.models import bayes
 from earshot.models.store import load_or_train
 from earshot.operators.splits import with_split
 from earshot.operators.timeline import HOUR_MS, play_gaps, with_next_ts
-from earshot.operators.users import last_play_by_user
+from earshot.operators.users import Users, last_play_by_user
 from earshot.session import cut_lineage
 
 FEATURES = ("user_id", "day_of_week", "hour_of_day")
@@ -65,7 +65,7 @@ def _fit(plays: DataFrame, bucket_ms: int, driver_classes: int) -> NextTimeModel
     medians = counted.groupBy(F.col("bucket").cast("string").alias("predicted_label")).agg(
         F.percentile("gap_ms", 0.5, F.col("n")).cast("long").alias("predicted_gap_ms")
     )
-    return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians), bucket_ms)
+    return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"), bucket_ms)
 
 
 def _save(model: NextTimeModel, path: str) -> None:
@@ -92,7 +92,7 @@ def train(
     return load_or_train(plays.sparkSession, path, fit, _save, load, retrain)
 
 
-def predict(model: NextTimeModel, plays: DataFrame, users: DataFrame | None = None) -> DataFrame:
+def predict(model: NextTimeModel, plays: DataFrame, users: Users = None) -> DataFrame:
     """``predicted_ts`` per user, never before their last play."""
     last = last_play_by_user(plays, users).select("user", "ts", *FEATURES)
     return (
@@ -130,7 +130,7 @@ def linear_mse(model: LinearRegressionModel, plays: DataFrame) -> DataFrame:
 
 
 def predict_linear(
-    model: LinearRegressionModel, plays: DataFrame, users: DataFrame | None = None
+    model: LinearRegressionModel, plays: DataFrame, users: Users = None
 ) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     last = last_play_by_user(plays, users).select("user", "ts", *FEATURES)

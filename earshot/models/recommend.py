@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from earshot.models.store import load_or_train
 from earshot.operators.items import artist_dimension, item_index, play_counts, song_dimension
-from earshot.operators.users import of_users
+from earshot.operators.users import Users, of_users
 from earshot.session import cut_lineage, ensure_checkpoint_dir
 
 # The training parameters.
@@ -33,11 +33,13 @@ class Recommender:
 
 def _fit(plays: DataFrame, item: str) -> Recommender:
     ensure_checkpoint_dir(plays.sparkSession)
-    index = cut_lineage(item_index(plays, item).withColumn("item_index", F.col("item_index").cast("int")))
+    numbered = item_index(plays, item).withColumn("item_index", F.col("item_index").cast("int"))
+    index = cut_lineage(numbered, "item-index")
     ratings = cut_lineage(
         play_counts(plays, item)
         .join(index, item)
-        .select("user_id", "item_index", F.col("play_count").cast("float").alias("rating"))
+        .select("user_id", "item_index", F.col("play_count").cast("float").alias("rating")),
+        "ratings",
     )
     als = ALS(
         userCol="user_id",
@@ -69,7 +71,7 @@ def train(plays: DataFrame, item: str, path: str | None = None, retrain: bool =
     return load_or_train(plays.sparkSession, path, lambda: _fit(plays, item), _save, load, retrain)
 
 
-def recommend(model: Recommender, n: int, users: DataFrame | None = None) -> DataFrame:
+def recommend(model: Recommender, n: int, users: Users = None) -> DataFrame:
     """The n best unheard items per user: ``user_id``, ``rank``, ``score`` and the item.
 
     A user's best ``n + heard`` items hold at least n unheard ones, so the ranking never
@@ -80,7 +82,8 @@ def recommend(model: Recommender, n: int, users: DataFrame | None = None) -> Dat
     wanted = cut_lineage(
         heard.groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("heard"))
-        .select("user_id", F.ceil(F.log2(F.col("heard") + n)).cast("int").alias("level"))
+        .select("user_id", F.ceil(F.log2(F.col("heard") + n)).cast("int").alias("level")),
+        "heard-levels",
     )
     # at most one level per bit of a count
     levels = sorted(row["level"] for row in wanted.select("level").distinct().collect())
@@ -113,13 +116,13 @@ def _empty_answer(model: Recommender) -> DataFrame:
     return no_ratings.join(model.index, "item_index").select("user_id", "rank", "score", model.item)
 
 
-def recommend_songs(model: Recommender, plays: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
+def recommend_songs(model: Recommender, plays: DataFrame, n: int, users: Users = None) -> DataFrame:
     return recommend(model, n, users).join(song_dimension(plays), "songId").select(
         "user_id", "rank", "score", "artistId", "artist", "songId", "song"
     )
 
 
-def recommend_artists(model: Recommender, plays: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
+def recommend_artists(model: Recommender, plays: DataFrame, n: int, users: Users = None) -> DataFrame:
     return recommend(model, n, users).join(artist_dimension(plays), "artistId").select(
         "user_id", "rank", "score", "artistId", "artist"
     )

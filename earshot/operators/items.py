@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Two hex digits more than a typical shuffle width; bounds the offset table at 4,096 rows.
+from earshot.operators.users import Users, of_users
+from earshot.session import cut_lineage
+
+# Three hex digits bound the offset table at 4,096 rows.
 _HASH_DIGITS = 3
 
 # Items per block when complements are built; bounds the array in one row.
@@ -45,10 +48,11 @@ def item_index(items: DataFrame, item: str) -> DataFrame:
 
     A global ``row_number`` would sort the catalogue in one task. Numbering runs inside
     4,096 hash buckets instead, after an offset per bucket; only the offsets, one row per
-    bucket, pass through a single task and a broadcast.
+    bucket, pass through a single task and a broadcast. The distinct values are written
+    down first, so the log behind ``items`` is read once however often the index is used.
     """
     hashed = F.conv(F.substring(F.md5(item), 1, _HASH_DIGITS), 16, 10).cast("int")
-    keyed = items.select(item).distinct().withColumn("_bucket", hashed)
+    keyed = cut_lineage(items.select(item).distinct(), "items").withColumn("_bucket", hashed)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("_bucket")
@@ -60,23 +64,22 @@ def item_index(items: DataFrame, item: str) -> DataFrame:
     return numbered.select(item, (F.col("_offset") + F.col("_place")).alias("item_index"))
 
 
-def unheard_items(plays: DataFrame, item: str, users: DataFrame | None = None) -> DataFrame:
+def unheard_items(plays: DataFrame, item: str, users: Users = None) -> DataFrame:
     """Items somebody played that the user did not: ``user_id``, ``item``.
 
-    ``users`` (a ``user_id`` column) narrows the answer; without it, every user with a play
-    is answered. No (user, item) pair is ever built to be thrown away: a user's heard item
+    ``users`` narrows the answer; without it, every user with a play is answered. No (user, item) pair is ever built to be thrown away: a user's heard item
     numbers leave ranges between them, ranges are cut at blocks of the catalogue, and each
     piece takes its slice of the block it falls in. Shuffles carry ranges, never pairs.
     """
     heard = plays.select("user_id", item).distinct()
     index = item_index(plays, item)
-    asked = heard if users is None else heard.join(users.select("user_id").distinct(), "user_id", "left_semi")
     n_items = index.agg(F.count(F.lit(1))).scalar()
 
     by_user = Window.partitionBy("user_id").orderBy("item_index")
     following = F.coalesce(F.lead("item_index").over(by_user), n_items)
     ranges = (
-        asked.join(index, item)
+        of_users(heard, users)
+        .join(index, item)
         .withColumn("_is_first", F.lag("item_index").over(by_user).isNull())
         .withColumn("_following", following)
         .select(

@@ -88,7 +88,9 @@ def top_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) -> Data
         in_session = (F.col("user") == F.col("_user")) & F.col("ts_ms").between(
             F.col("start_ts"), F.col("end_ts")
         )
-        detailed = plays.join(F.broadcast(best), in_session)
+        # spread the few matching plays first: a global sort samples its input, which must
+        # then be those plays and not another scan of the log
+        detailed = plays.join(F.broadcast(best), in_session).repartition("user", "user_session_id")
     else:
         slices = session_slices(plays, gap_ms).select("user", "slice", "user_session_id")
         best_slices = slices.join(best, ["user", "user_session_id"])

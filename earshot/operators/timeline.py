@@ -10,10 +10,14 @@ the window's partitioning, so plays are shuffled once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.functions.text import user_number
 from earshot.functions.time import slice_start
+from earshot.operators.users import with_profile
 
 HOUR_MS = 3_600_000
 
@@ -24,12 +28,17 @@ def play_order(plays: DataFrame) -> list[str]:
 
 
 def _with_edges(
-    sliced: DataFrame, here: Column, edge: Column, neighbour: Column, name: str
+    sliced: DataFrame,
+    here: Column,
+    edge: Column,
+    neighbour: Column,
+    name: str,
+    describe: Callable[[DataFrame], DataFrame] = lambda edges: edges,
 ) -> DataFrame:
     edges = sliced.groupBy("user", "_slice").agg(edge.alias("_edge")).withColumn("_edge", neighbour)
     return (
         sliced.withColumn("_here", here)
-        .join(edges, ["user", "_slice"])
+        .join(describe(edges), ["user", "_slice"])
         .withColumn(name, F.coalesce("_here", "_edge"))
         .drop("_here", "_edge", "_slice")
     )
@@ -64,19 +73,31 @@ def with_next_ts(plays: DataFrame, slice_ms: int = HOUR_MS, name: str = "nts") -
 
 
 def with_next_song(
-    plays: DataFrame, slice_ms: int = HOUR_MS, name: str = "next_songId"
+    plays: DataFrame, slice_ms: int = HOUR_MS, profiles: DataFrame | None = None
 ) -> DataFrame:
-    """Add the ``songId`` of the same user's next play; NULL for the last one."""
+    """Add ``next_songId``, the song of the same user's next play; NULL for the last one.
+
+    With ``profiles``, the profile columns come along. They are joined to the edge table,
+    one row per user and slice, and reach the plays through the join that is there anyway,
+    so the plays are not shuffled again by user.
+    """
     order = play_order(plays)
     sliced = plays.withColumn("_slice", slice_start(F.col("ts_ms"), slice_ms))
     in_slice = Window.partitionBy("user", "_slice").orderBy(*order)
     by_slice = Window.partitionBy("user").orderBy("_slice")
+
+    def described(edges: DataFrame) -> DataFrame:
+        if profiles is None:
+            return edges
+        return with_profile(edges.withColumn("user_id", user_number(F.col("user"))), profiles).drop("user_id")
+
     return _with_edges(
         sliced,
         here=F.lead("songId").over(in_slice),
         edge=F.min_by("songId", F.struct(*order)),
         neighbour=F.lead("_edge").over(by_slice),
-        name=name,
+        name="next_songId",
+        describe=described,
     )
 
 
@@ -85,6 +106,8 @@ def play_gaps(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     return with_previous_ts(plays, slice_ms).withColumn("pdiff", F.col("ts_ms") - F.col("pts"))
 
 
-def next_song_pairs(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
-    """Plays that have a successor, with ``next_songId``."""
-    return with_next_song(plays, slice_ms).filter(F.col("next_songId").isNotNull())
+def next_song_pairs(
+    plays: DataFrame, slice_ms: int = HOUR_MS, profiles: DataFrame | None = None
+) -> DataFrame:
+    """Plays that have a successor, with ``next_songId`` and, if given, profile columns."""
+    return with_next_song(plays, slice_ms, profiles).filter(F.col("next_songId").isNotNull())

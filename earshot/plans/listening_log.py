@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import rankings, sessions
-from earshot.operators.users import users_named
-from earshot.sources.play_log import plays_from_raw, read_raw_log
+from earshot.operators.users import Users, numbers_of
+from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users
 from earshot.sources.profiles import read_profiles
 from earshot.sources.tables import register_views
 
-Users = str | Iterable[str] | DataFrame | None
+Asked = str | Iterable[str] | DataFrame | None
 
 
 class ListeningLog:
@@ -31,6 +31,7 @@ class ListeningLog:
         self.raw_log = raw_log
         self.plays = plays_from_raw(raw_log)
         self.profiles = profiles
+        self._raw_users = raw_log
         self._model_dir = model_dir
         self._retrain = retrain
         self._models: dict[str, object] = {}
@@ -39,7 +40,9 @@ class ListeningLog:
     def from_files(
         cls, spark: SparkSession, log_path: str, profiles_path: str, model_dir: str | None = None, retrain: bool = False
     ) -> ListeningLog:
-        return cls(read_raw_log(spark, log_path), read_profiles(spark, profiles_path), model_dir, retrain)
+        log = cls(read_raw_log(spark, log_path), read_profiles(spark, profiles_path), model_dir, retrain)
+        log._raw_users = read_raw_users(spark, log_path)
+        return log
 
     def register_views(self) -> None:
         register_views(self.plays, self.profiles)
@@ -48,7 +51,7 @@ class ListeningLog:
         return rankings.unique_users(self.plays)
 
     def unique_users_raw(self) -> DataFrame:
-        return rankings.unique_users_raw(self.raw_log)
+        return rankings.unique_users_raw(self._raw_users)
 
     def top_users(self, n: int) -> DataFrame:
         return rankings.top_users(self.plays, n)
@@ -59,23 +62,23 @@ class ListeningLog:
     def top_sessions(self, n: int, gap_ms: int = sessions.SESSION_GAP_MS) -> DataFrame:
         return sessions.top_sessions(self.plays, n, gap_ms)
 
-    def predict_next_play_time(self, users: Users = None) -> DataFrame:
+    def predict_next_play_time(self, users: Asked = None) -> DataFrame:
         model = self._model("next_time", lambda path: next_time.train(self.plays, path, retrain=self._retrain))
         return next_time.predict(model, self.plays, self._users(users))
 
-    def predict_next_song(self, users: Users = None) -> DataFrame:
+    def predict_next_song(self, users: Asked = None) -> DataFrame:
         model = self._model(
             "next_song", lambda path: next_song.train(self.plays, self.profiles, path, retrain=self._retrain)
         )
         return next_song.predict(model, self.plays, self.profiles, self._users(users))
 
-    def recommend_artists(self, n: int, users: Users = None) -> DataFrame:
+    def recommend_artists(self, n: int, users: Asked = None) -> DataFrame:
         return recommend.recommend_artists(self._recommender("artistId"), self.plays, n, self._users(users))
 
-    def recommend_songs(self, n: int, users: Users = None) -> DataFrame:
+    def recommend_songs(self, n: int, users: Asked = None) -> DataFrame:
         return recommend.recommend_songs(self._recommender("songId"), self.plays, n, self._users(users))
 
-    def recommend(self, n: int, users: Users = None) -> DataFrame:
+    def recommend(self, n: int, users: Asked = None) -> DataFrame:
         """Both kinds in one row per user, as arrays."""
         return recommend.one_row_per_user(self.recommend_artists(n, users), self.recommend_songs(n, users))
 
@@ -89,7 +92,7 @@ class ListeningLog:
             self._models[name] = train(f"{self._model_dir}/{name}" if self._model_dir else None)
         return self._models[name]
 
-    def _users(self, users: Users) -> DataFrame | None:
+    def _users(self, users: Asked) -> Users:
         if users is None or isinstance(users, DataFrame):
             return users
-        return users_named(self.spark, *([users] if isinstance(users, str) else users))
+        return numbers_of(self.spark, [users] if isinstance(users, str) else list(users))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, for tables written between jobs."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
-    Used for small aggregates that several later jobs read, so the scan of the log behind
-    them runs once and a lost executor costs nothing.
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once into a table in the shared checkpoint folder and read it back.
+
+    For small aggregates that several later jobs read: the scan of the log behind them runs
+    once, a lost executor costs nothing, and the planner knows the table's size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import gender_code, hash_key31, integer_or_zero, user_number
 from earshot.functions.time import registration_date
-from earshot.sources.play_log import read_lines
 
 PROFILE_FIELDS = ("user", "gender", "age_text", "country", "registered_text")
 
@@ -42,7 +41,7 @@ def with_profile_numbers(profiles: DataFrame) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return with_profile_numbers(parse_profiles(read_lines(spark, path)))
+    return with_profile_numbers(parse_profiles(spark.read.text(path)))
 
 
 def one_per_user(profiles: DataFrame) -> DataFrame:

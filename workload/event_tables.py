@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.functions.text import integer_or_zero
 from earshot.functions.time import naive_epoch_ms
+from earshot.session import shared_folder
 from earshot.sources.play_log import plays_from_raw
-from earshot.sources.profiles import parse_profiles, with_profile_numbers
+from earshot.sources.profiles import with_profile_numbers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def user_name(number: Column) -> Column:
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("int")
     padded = F.lpad(k.cast("string"), 3, "0")
     kind = F.col("event_type")
     artist_id = F.when((kind == "signup") & (k % 10 == 0), "").otherwise(F.concat(F.lit("art_"), padded))
@@ -43,6 +45,13 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plays_from_raw(raw_log(spark, sf_dir))
 
 
+def write_log_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The log as a text file in a fresh part of the shared folder; returns its path."""
+    path = shared_folder(spark, "play-log")
+    log_lines(spark, sf_dir).write.text(path)
+    return path
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw log as text lines, with instants cut to whole seconds."""
     instant = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -51,12 +60,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as profile lines; every tenth customer has none, so that joins miss some."""
+def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as user profiles; every tenth has none, so that joins miss some."""
     first_order = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.date_format(F.min("o_orderdate"), "MMM d, yyyy").alias("registered"))
+        .agg(F.min("o_orderdate").alias("registered"))
     )
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     segment = F.col("c_mktsegment")
@@ -70,17 +79,31 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nations, "c_nationkey")
         .join(first_order, "c_custkey", "left")
         .select(
-            F.concat_ws(
-                "\t",
-                user_name(F.col("c_custkey")),
-                gender,
-                age,
-                "n_name",
-                F.coalesce("registered", F.lit("")),
-            ).alias("value")
+            user_name(F.col("c_custkey")).alias("user"),
+            gender.alias("gender"),
+            age.alias("age_text"),
+            F.col("n_name").alias("country"),
+            "registered",
         )
     )
 
 
+def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles as text lines; a customer without orders leaves the last field empty."""
+    registered = F.coalesce(F.date_format("registered", "MMM d, yyyy"), F.lit(""))
+    return profile_fields(spark, sf_dir).select(
+        F.concat_ws("\t", "user", "gender", "age_text", "country", registered).alias("value")
+    )
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_profile_numbers(parse_profiles(profile_lines(spark, sf_dir)))
+    known = profile_fields(spark, sf_dir).filter(F.col("registered").isNotNull())
+    return with_profile_numbers(
+        known.select(
+            "user",
+            "gender",
+            integer_or_zero(F.col("age_text")).alias("age"),
+            "country",
+            F.col("registered").cast("date").alias("registered"),
+        )
+    )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from earshot.functions.text import hash_key31
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import items, rankings, sessions, splits, timeline, users
-from earshot.sources.play_log import identified_plays, parse_raw_log, plays_from_raw
+from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
 from earshot.sources.tables import register_views
-from workload.event_tables import log_lines, plays, profile_lines, profiles, raw_log
+from workload.event_tables import plays, profile_lines, profiles, raw_log, write_log_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ RECOMMENDATIONS = 5
 
 
 def scan_play_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plays_from_raw(parse_raw_log(log_lines(spark, sf_dir))).select(
+    return read_plays(spark, write_log_lines(spark, sf_dir)).select(
         "user", "ts_ms", "artistId", "artist", "songId", "song", "user_id", "artist_id", "song_id"
     )
 
