@@ -21,14 +21,13 @@ def registration_date(text: Column) -> Column:
 
 
 def naive_epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970 of a TIMESTAMP_NTZ, rounded down, whatever the session zone.
+    """Milliseconds since 1970 of a TIMESTAMP_NTZ, truncated, whatever the session zone.
 
     ``timestampdiff`` would go through the session zone and shift instants that a change to
-    summer time skips.
+    summer time skips. An interval cast to a number counts seconds, hence the factor.
     """
     since = ts - F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-    seconds = since.cast("interval second").cast("decimal(20,6)")
-    return F.floor(seconds * 1000).cast("long")
+    return (since * 1000).cast("long")
 
 
 def plus_ms(ts: Column, ms: Column) -> Column:

@@ -12,6 +12,7 @@ from earshot.operators.items import song_dimension
 from earshot.operators.splits import with_split
 from earshot.operators.timeline import next_song_pairs
 from earshot.operators.users import Users, last_play_by_user, with_profile
+from earshot.session import cut_lineage
 
 FEATURES = ("user_id", "song_id", "country_id", "gender_id", "age")
 
@@ -32,6 +33,18 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def split_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Labels, features and ``is_train``."""
+    examples = with_split(next_song_examples(plays, profiles))
+    return examples.select("is_train", "next_songId", *FEATURES)
+
+
+def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) -> bayes.BayesModel:
+    """Fit on the training side of :func:`split_examples`."""
+    totals = bayes.class_totals(examples.filter("is_train"), "next_songId", FEATURES)
+    return bayes.train(totals, FEATURES, driver_classes)
+
+
 def train(
     plays: DataFrame,
     profiles: DataFrame,
@@ -39,12 +52,10 @@ def train(
     retrain: bool = False,
     driver_classes: int = bayes.DRIVER_CLASSES,
 ) -> bayes.BayesModel:
-    """Fit on the training side of the split, or load the model kept at ``path``."""
+    """Fit, or load the model kept at ``path``."""
 
     def fit() -> bayes.BayesModel:
-        examples = with_split(next_song_examples(plays, profiles)).filter("is_train")
-        totals = bayes.class_totals(examples, "next_songId", FEATURES)
-        return bayes.train(totals, FEATURES, driver_classes)
+        return train_on(split_examples(plays, profiles), driver_classes)
 
     return load_or_train(plays.sparkSession, path, fit, bayes.save, bayes.load, retrain)
 
@@ -62,6 +73,13 @@ def predict(
     )
 
 
-def holdout_accuracy(model: bayes.BayesModel, plays: DataFrame, profiles: DataFrame) -> DataFrame:
-    test = with_split(next_song_examples(plays, profiles)).filter("NOT is_train")
-    return bayes.accuracy(model, test, "next_songId", FEATURES)
+def holdout_accuracy(model: bayes.BayesModel, examples: DataFrame) -> DataFrame:
+    """Accuracy on the test side of :func:`split_examples`, as one row."""
+    return bayes.accuracy(model, examples.filter("NOT is_train"), "next_songId", FEATURES)
+
+
+def train_and_score(plays: DataFrame, profiles: DataFrame) -> tuple[bayes.BayesModel, DataFrame]:
+    """A model and its holdout accuracy, from examples that are computed once."""
+    examples = cut_lineage(split_examples(plays, profiles), "next-song-examples")
+    model = train_on(examples)
+    return model, holdout_accuracy(model, examples)

@@ -45,27 +45,34 @@ def forward_gap_examples(plays: DataFrame) -> DataFrame:
     )
 
 
-def _bucketed_split(plays: DataFrame, bucket_ms: int) -> DataFrame:
-    bucket = F.expr(f"gap_ms div {bucket_ms}")
-    return with_split(forward_gap_examples(plays)).withColumn("bucket", bucket)
+def split_examples(plays: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+    """Gaps, their buckets, features and ``is_train``."""
+    examples = with_split(forward_gap_examples(plays))
+    return examples.select("is_train", "gap_ms", F.expr(f"gap_ms div {bucket_ms}").alias("bucket"), *FEATURES)
 
 
 @dataclass(frozen=True)
 class NextTimeModel:
+    """A classifier of gap buckets and, for each bucket seen in training, its median gap."""
+
     classifier: bayes.BayesModel
     medians: DataFrame
-    bucket_ms: int
 
 
-def _fit(plays: DataFrame, bucket_ms: int, driver_classes: int) -> NextTimeModel:
-    training = _bucketed_split(plays, bucket_ms).filter("is_train")
+def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) -> NextTimeModel:
+    """Fit on the training side of :func:`split_examples`, which is read twice."""
+    training = examples.filter("is_train")
     totals = bayes.class_totals(training, "bucket", FEATURES)
     # Equal gaps are counted first, so a bucket holds at most bucket_ms distinct values.
     counted = training.groupBy("bucket", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
     medians = counted.groupBy(F.col("bucket").cast("string").alias("predicted_label")).agg(
         F.percentile("gap_ms", 0.5, F.col("n")).cast("long").alias("predicted_gap_ms")
     )
-    return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"), bucket_ms)
+    return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"))
+
+
+def _examples_once(plays: DataFrame, bucket_ms: int) -> DataFrame:
+    return cut_lineage(split_examples(plays, bucket_ms), "next-time-examples")
 
 
 def _save(model: NextTimeModel, path: str) -> None:
@@ -80,14 +87,14 @@ def train(
     retrain: bool = False,
     driver_classes: int = bayes.DRIVER_CLASSES,
 ) -> NextTimeModel:
-    """Fit on the training side of the split, or load the model kept at ``path``."""
+    """Fit, or load the model kept at ``path``."""
 
     def load(spark: SparkSession, saved: str) -> NextTimeModel:
         medians = spark.read.parquet(f"{saved}/medians")
-        return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians, bucket_ms)
+        return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians)
 
     def fit() -> NextTimeModel:
-        return _fit(plays, bucket_ms, driver_classes)
+        return train_on(_examples_once(plays, bucket_ms), driver_classes)
 
     return load_or_train(plays.sparkSession, path, fit, _save, load, retrain)
 
@@ -108,18 +115,38 @@ def predict(model: NextTimeModel, plays: DataFrame, users: Users = None) -> Data
     )
 
 
-def holdout_accuracy(model: NextTimeModel, plays: DataFrame) -> DataFrame:
-    test = _bucketed_split(plays, model.bucket_ms).filter("NOT is_train")
-    return bayes.accuracy(model.classifier, test, "bucket", FEATURES)
+def holdout_accuracy(model: NextTimeModel, examples: DataFrame) -> DataFrame:
+    """Share of test examples whose bucket is predicted, as one row."""
+    return bayes.accuracy(model.classifier, examples.filter("NOT is_train"), "bucket", FEATURES)
+
+
+def train_and_score(plays: DataFrame, bucket_ms: int = HOUR_MS) -> tuple[NextTimeModel, DataFrame]:
+    """A model and its holdout accuracy, from examples that are computed once."""
+    examples = _examples_once(plays, bucket_ms)
+    model = train_on(examples)
+    return model, holdout_accuracy(model, examples)
 
 
 def train_linear(plays: DataFrame) -> LinearRegressionModel:
-    """Least squares on the same features; the normal equations need one pass and 4 x 4 sums."""
+    """Least squares of the gap on the same features, over all examples.
+
+    Examples with equal features are replaced by their mean gap, weighted by their number.
+    That leaves the solution unchanged and at most 168 rows per user to solve it from.
+    """
+    means = (
+        forward_gap_examples(plays)
+        .groupBy(*FEATURES)
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("gap_ms").alias("mean_gap"))
+    )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     regression = LinearRegression(
-        featuresCol="_features", labelCol="gap_ms", predictionCol="predicted_gap", solver="normal"
+        featuresCol="_features",
+        labelCol="mean_gap",
+        weightCol="n",
+        predictionCol="predicted_gap",
+        solver="normal",
     )
-    return regression.fit(assembler.transform(forward_gap_examples(plays)))
+    return regression.fit(assembler.transform(cut_lineage(means, "gap-means")))
 
 
 def linear_mse(model: LinearRegressionModel, plays: DataFrame) -> DataFrame:

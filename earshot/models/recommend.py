@@ -20,6 +20,9 @@ ITERATIONS = 10
 REGULARIZATION = 0.01
 SEED = 11
 
+# Factor blocks follow the number of ratings, up to one per shuffle partition.
+RATINGS_PER_BLOCK = 1_000_000
+
 
 @dataclass(frozen=True)
 class Recommender:
@@ -41,6 +44,8 @@ def _fit(plays: DataFrame, item: str) -> Recommender:
         .select("user_id", "item_index", F.col("play_count").cast("float").alias("rating")),
         "ratings",
     )
+    widest = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(widest, ratings.count() // RATINGS_PER_BLOCK + 1)
     als = ALS(
         userCol="user_id",
         itemCol="item_index",
@@ -51,6 +56,8 @@ def _fit(plays: DataFrame, item: str) -> Recommender:
         seed=SEED,
         coldStartStrategy="drop",
         checkpointInterval=5,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
     )
     return Recommender(als.fit(ratings), index, ratings, item)
 

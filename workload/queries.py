@@ -97,8 +97,8 @@ def predict_next_song(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_song_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, people = plays(spark, sf_dir), profiles(spark, sf_dir)
-    return next_song.holdout_accuracy(next_song.train(log, people), log, people)
+    _, accuracy = next_song.train_and_score(plays(spark, sf_dir), profiles(spark, sf_dir))
+    return accuracy
 
 
 def gap_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,8 @@ def predict_next_play_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_time_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = plays(spark, sf_dir)
-    return next_time.holdout_accuracy(next_time.train(log), log)
+    _, accuracy = next_time.train_and_score(plays(spark, sf_dir))
+    return accuracy
 
 
 def next_time_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
