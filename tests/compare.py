@@ -38,3 +38,8 @@ def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
         for where, side in (("spark", ours - theirs), ("duckdb", theirs - ours))
         if side
     ] + ([] if ours else ["no rows"])
+
+
+def explained(df) -> str:
+    """The formatted plan as text."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -202,12 +202,21 @@ solved AS (
          (xx*(yy*zg - yg*yz) - xy*(xy*zg - yg*xz) + xg*(xy*yz - yy*xz)) / det AS bz
   FROM (SELECT *, xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS det FROM moments)
 )
+"""
+
+_LINEAR_GAP = "mg + bx * (user_id - mx) + by_ * (day_of_week - my) + bz * (hour_of_day - mz)"
+
+_LINEAR_PREDICTION = f"""
 SELECT user_id, "user",
-       CAST(round(round(mg + bx * (user_id - mx) + by_ * (day_of_week - my) + bz * (hour_of_day - mz)) / 1000)
-            AS BIGINT) AS predicted_gap_s
+       CAST(round(round({_LINEAR_GAP}) / 1000) AS BIGINT) AS predicted_gap_s
 FROM last_plays CROSS JOIN solved
 """
 
+_LINEAR_ERROR = f"""
+SELECT CAST(round(sqrt(avg(pow({_LINEAR_GAP} - gap_ms, 2))) / 1000) AS BIGINT) AS rmse_s
+FROM examples CROSS JOIN solved
+"""
+
 ORACLE: dict[str, str] = {
     "scan_play_log": sql(
         f"""
@@ -310,5 +319,6 @@ JOIN (SELECT CAST(bucket AS VARCHAR) AS label, CAST(floor(quantile_cont(gap_ms,
         NEXT_TIME,
         bayes("bucket", TIME_FEATURES, f"SELECT * FROM examples WHERE NOT ({SPLIT})", "event_id"),
     ),
-    "next_time_linear": sql(_LINEAR, NEXT_TIME),
+    "next_time_linear": sql(_LINEAR + _LINEAR_PREDICTION, NEXT_TIME),
+    "next_time_linear_error": sql(_LINEAR + _LINEAR_ERROR, NEXT_TIME),
 }

@@ -126,6 +126,12 @@ def next_time_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def next_time_linear_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = plays(spark, sf_dir)
+    mse = next_time.linear_mse(next_time.train_linear(log), log)
+    return mse.select(F.round(F.sqrt("mse") / 1000).cast("long").alias("rmse_s"))
+
+
 def recommend_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = plays(spark, sf_dir)
     return recommend.recommend_songs(recommend.train(log, "songId"), log, RECOMMENDATIONS)
@@ -172,4 +178,5 @@ QUERIES: dict[str, Query] = {
     "predict_next_play_time": predict_next_play_time,
     "next_time_accuracy": next_time_accuracy,
     "next_time_linear": next_time_linear,
+    "next_time_linear_error": next_time_linear_error,
 }
