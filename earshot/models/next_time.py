@@ -23,6 +23,9 @@ from earshot.session import cut_lineage
 
 FEATURES = ("user_id", "day_of_week", "hour_of_day")
 
+# Enough for any bigint.
+BUCKET_DIGITS = 19
+
 
 def _example_columns(plays: DataFrame) -> list[str]:
     return [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns] + list(FEATURES)
@@ -45,10 +48,15 @@ def forward_gap_examples(plays: DataFrame) -> DataFrame:
     )
 
 
-def split_examples(plays: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
-    """Gaps, their buckets, features and ``is_train``."""
-    examples = with_split(forward_gap_examples(plays))
-    return examples.select("is_train", "gap_ms", F.expr(f"gap_ms div {bucket_ms}").alias("bucket"), *FEATURES)
+def split_examples(plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True) -> DataFrame:
+    """Gaps, their buckets, features and ``is_train``.
+
+    ``forward=False`` with ``bucket_ms=1`` learns every gap as its own class from the plays
+    that end it. Bucket numbers are padded, so their text order is their numeric order.
+    """
+    examples = forward_gap_examples(plays) if forward else gap_examples(plays).withColumnRenamed("pdiff", "gap_ms")
+    bucket = F.lpad(F.expr(f"gap_ms div {bucket_ms}").cast("string"), BUCKET_DIGITS, "0")
+    return with_split(examples).select("is_train", "gap_ms", bucket.alias("bucket"), *FEATURES)
 
 
 @dataclass(frozen=True)
@@ -65,14 +73,14 @@ def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) ->
     totals = bayes.class_totals(training, "bucket", FEATURES)
     # Equal gaps are counted first, so a bucket holds at most bucket_ms distinct values.
     counted = training.groupBy("bucket", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
-    medians = counted.groupBy(F.col("bucket").cast("string").alias("predicted_label")).agg(
+    medians = counted.groupBy(F.col("bucket").alias("predicted_label")).agg(
         F.percentile("gap_ms", 0.5, F.col("n")).cast("long").alias("predicted_gap_ms")
     )
     return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"))
 
 
-def _examples_once(plays: DataFrame, bucket_ms: int) -> DataFrame:
-    return cut_lineage(split_examples(plays, bucket_ms), "next-time-examples")
+def _examples_once(plays: DataFrame, bucket_ms: int, forward: bool) -> DataFrame:
+    return cut_lineage(split_examples(plays, bucket_ms, forward), "next-time-examples")
 
 
 def _save(model: NextTimeModel, path: str) -> None:
@@ -84,6 +92,7 @@ def train(
     plays: DataFrame,
     path: str | None = None,
     bucket_ms: int = HOUR_MS,
+    forward: bool = True,
     retrain: bool = False,
     driver_classes: int = bayes.DRIVER_CLASSES,
 ) -> NextTimeModel:
@@ -94,7 +103,7 @@ def train(
         return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians)
 
     def fit() -> NextTimeModel:
-        return train_on(_examples_once(plays, bucket_ms), driver_classes)
+        return train_on(_examples_once(plays, bucket_ms, forward), driver_classes)
 
     return load_or_train(plays.sparkSession, path, fit, _save, load, retrain)
 
@@ -120,9 +129,11 @@ def holdout_accuracy(model: NextTimeModel, examples: DataFrame) -> DataFrame:
     return bayes.accuracy(model.classifier, examples.filter("NOT is_train"), "bucket", FEATURES)
 
 
-def train_and_score(plays: DataFrame, bucket_ms: int = HOUR_MS) -> tuple[NextTimeModel, DataFrame]:
+def train_and_score(
+    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True
+) -> tuple[NextTimeModel, DataFrame]:
     """A model and its holdout accuracy, from examples that are computed once."""
-    examples = _examples_once(plays, bucket_ms)
+    examples = _examples_once(plays, bucket_ms, forward)
     model = train_on(examples)
     return model, holdout_accuracy(model, examples)
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import rankings, sessions
 from earshot.operators.users import Users, numbers_of
-from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users
+from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, with_play_numbers
 from earshot.sources.profiles import read_profiles
-from earshot.sources.tables import register_views
+from earshot.sources.tables import read_table, register_views, write_plays
 
 Asked = str | Iterable[str] | DataFrame | None
 
@@ -44,6 +44,21 @@ class ListeningLog:
         log._raw_users = read_raw_users(spark, log_path)
         return log
 
+    def store(self, folder: str) -> None:
+        """Write the tables as Parquet, so that later questions do not parse text again."""
+        write_plays(with_play_numbers(self.raw_log), f"{folder}/raw_log")
+        self.unique_users_raw().write.mode("overwrite").parquet(f"{folder}/raw_users")
+        self.profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
+
+    @classmethod
+    def from_store(
+        cls, spark: SparkSession, folder: str, model_dir: str | None = None, retrain: bool = False
+    ) -> ListeningLog:
+        raw_log, profiles = read_table(spark, f"{folder}/raw_log"), read_table(spark, f"{folder}/profiles")
+        log = cls(raw_log, profiles, model_dir, retrain)
+        log._raw_users = read_table(spark, f"{folder}/raw_users")
+        return log
+
     def register_views(self) -> None:
         register_views(self.plays, self.profiles)
 

@@ -138,9 +138,9 @@ def test_next_song_equals_the_closed_form(monkeypatch, plays, profiles, driver_c
 
 
 @pytest.mark.parametrize("driver_classes", [bayes.DRIVER_CLASSES, 2])
-@pytest.mark.parametrize("bucket_ms", [1, 60_000, next_time.HOUR_MS])
-def test_next_time_equals_the_closed_form(plays, bucket_ms, driver_classes):
-    examples = next_time.split_examples(plays, bucket_ms)
+@pytest.mark.parametrize("bucket_ms, forward", [(1, False), (60_000, True), (next_time.HOUR_MS, True)])
+def test_next_time_equals_the_closed_form(plays, bucket_ms, forward, driver_classes):
+    examples = next_time.split_examples(plays, bucket_ms, forward)
     model = next_time.train_on(examples, driver_classes)
     training = [r for r in examples.collect() if r.is_train]
     pick = closed_form(training, "bucket", next_time.FEATURES)

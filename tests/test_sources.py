@@ -149,6 +149,22 @@ def test_stored_plays_answer_the_same_and_filter_in_the_scan(spark, files, tmp_p
     assert asked.count() == 2
 
 
+def test_a_stored_log_answers_like_its_files(spark, files, tmp_path):
+    log = ListeningLog.from_files(spark, str(files / "log.tsv"), str(files / "profiles.tsv"))
+    log.store(str(tmp_path / "store"))
+    stored = ListeningLog.from_store(spark, str(tmp_path / "store"))
+    for ask in (
+        lambda one: one.unique_users(),
+        lambda one: one.unique_users_raw(),
+        lambda one: one.top_songs(10),
+        lambda one: one.top_users(10),
+        lambda one: one.top_sessions(10),
+        lambda one: one.profiles,
+        lambda one: one.plays.select("user_id", "song_id", "artist_id", "hour_of_day", "ts_ms"),
+    ):
+        assert sorted(map(str, ask(stored).collect())) == sorted(map(str, ask(log).collect()))
+
+
 def test_results_are_written_as_rows(spark, tmp_path):
     df = spark.createDataFrame([("s1", 3)], "songId string, playCount bigint")
     write_result(df, str(tmp_path / "out"), "json")

@@ -116,7 +116,7 @@ NEXT_TIME = """
 followed AS (
   SELECT *, lead(ts_ms) OVER (PARTITION BY "user" ORDER BY ts_ms, "artistId", "songId", event_id) AS nts FROM plays
 ),
-examples AS (SELECT *, nts - ts_ms AS gap_ms, (nts - ts_ms) // 3600000 AS bucket FROM followed WHERE nts IS NOT NULL),
+examples AS (SELECT *, nts - ts_ms AS gap_ms, lpad(CAST((nts - ts_ms) // 3600000 AS VARCHAR), 19, '0') AS bucket FROM followed WHERE nts IS NOT NULL),
 last_plays AS (
   SELECT * FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DESC) = 1
 )
