@@ -82,15 +82,15 @@ def train(
 
 
 def _class_blocks(totals: DataFrame, features: Sequence[str], n_classes: int) -> DataFrame:
+    """``block`` and ``classes``: structs of label, prior and one weight per feature, by label."""
     n_examples = totals.agg(F.sum("n")).first()[0]
     n_blocks = -(-n_classes // BLOCK_CLASSES)
     mass = reduce(add, [F.col(f) for f in features]) + SMOOTHING * len(features)
     prior = F.log(F.col("n") + SMOOTHING) - F.log(F.lit(n_examples + n_classes * SMOOTHING))
-    weights = F.array(*[F.log(F.col(f) + SMOOTHING) - F.log(mass) for f in features])
+    weights = [(F.log(F.col(f) + SMOOTHING) - F.log(mass)).alias(f"w_{f}") for f in features]
+    one_class = F.struct("label", prior.alias("prior"), *weights)
     blocks = totals.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_blocks)).alias("block")).agg(
-        F.collect_list(
-            F.struct("label", prior.alias("prior"), weights.alias("weights"))
-        ).alias("classes")
+        F.sort_array(F.collect_list(one_class)).alias("classes")
     )
     return cut_lineage(blocks, "class-blocks")
 
@@ -100,22 +100,40 @@ def predict(model: BayesModel, rows: DataFrame, features: Sequence[str]) -> Data
     rows = as_features(rows, features)
     if isinstance(model, PipelineModel):
         return model.transform(rows).drop("_features", "_class")
-    last_block = model.agg(F.max("block")).scalar()
-    points = rows.select(*features).distinct()
+    return rows.join(_best_by_block(model, rows.select(*features).distinct(), features), list(features))
 
-    def cost(one: Column) -> Column:
-        terms = [one["weights"][i] * F.col(f) for i, f in enumerate(features)]
-        return F.struct((-(one["prior"] + reduce(add, terms))).alias("cost"), one["label"].alias("label"))
 
-    best = (
+def _best_by_block(blocks: DataFrame, points: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The best label of every distinct feature row.
+
+    A point meets a block as one row and leaves it as one row, with the block's best class.
+    The rows are few bytes and much work, so they are spread over all shuffle partitions by
+    an explicit number, which adaptive execution does not merge, and salted to fill them.
+    """
+    width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = blocks.count()
+    salts = -(-4 * width // n_blocks)
+    salt = F.pmod(F.xxhash64(*features), F.lit(salts))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    last_block = blocks.agg(F.max("block")).scalar()
+
+    def score(one: Column) -> Column:
+        return reduce(add, [one[f"w_{f}"] * F.col(f) for f in features], one["prior"])
+
+    return (
         points.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        .join(model, "block")
-        .select(*features, F.array_min(F.transform("classes", cost)).alias("best"))
+        .withColumn("salt", salt)
+        .repartition(width, "block", "salt")
+        .join(blocks.withColumn("salt", every_salt).repartition(width, "block", "salt"), ["block", "salt"])
+        .withColumn("scores", F.transform("classes", score))
+        .withColumn("score", F.array_max("scores"))
+        # classes are in label order, so the first position wins a tie
+        .withColumn("place", F.array_position("scores", F.col("score")) - 1)
+        .select(*features, F.struct(-F.col("score"), F.get("classes", F.col("place"))["label"].alias("label")).alias("best"))
         .groupBy(*features)
         .agg(F.min("best").alias("best"))
         .select(*features, F.col("best.label").alias("predicted_label"))
     )
-    return rows.join(best, list(features))
 
 
 def accuracy(model: BayesModel, test: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
