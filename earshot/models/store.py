@@ -13,12 +13,16 @@ Model = TypeVar("Model")
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.text(f"{path}/complete")
+        marker = spark.read.text(f"{path}/state")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
-    return True
+    return [row["value"] for row in marker.collect()] == ["complete"]
+
+
+def _mark(spark: SparkSession, path: str, state: str) -> None:
+    spark.createDataFrame([(state,)], "value string").write.mode("overwrite").text(f"{path}/state")
 
 
 def load_or_train(
@@ -31,14 +35,15 @@ def load_or_train(
 ) -> Model:
     """Load the model at ``path`` or train and save it there; without a path, just train.
 
-    The path is the caller's, so they decide when new data means a new model. A marker is
-    written last: a save that was cut short is not mistaken for a model.
+    The path is the caller's, so they decide when new data means a new model. A marker says
+    when the save is over: one that was cut short is not mistaken for a model.
     """
     if path is None:
         return train()
     if not retrain and is_complete(spark, path):
         return load(spark, path)
     model = train()
+    _mark(spark, path, "saving")
     save(model, path)
-    spark.createDataFrame([("ok",)], "value string").write.mode("overwrite").text(f"{path}/complete")
+    _mark(spark, path, "complete")
     return model

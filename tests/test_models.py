@@ -203,15 +203,21 @@ def test_models_are_kept_and_replaced(spark, plays, tmp_path, monkeypatch):
     assert len(trained) == 2
 
 
-def test_a_save_cut_short_is_not_a_model(spark, tmp_path):
+@pytest.mark.parametrize("had_one", [False, True])
+def test_a_save_cut_short_is_not_a_model(spark, tmp_path, had_one):
     path = str(tmp_path / "model")
 
-    def fails(model, target):
+    def keeps(model, target):
         spark.range(1).write.parquet(f"{target}/part")
+
+    def fails(model, target):
         raise OSError("disk full")
 
+    if had_one:
+        store.load_or_train(spark, path, lambda: 1, keeps, lambda s, p: 2)
+        assert store.is_complete(spark, path)
     with pytest.raises(OSError):
-        store.load_or_train(spark, path, lambda: 1, fails, lambda s, p: 2)
+        store.load_or_train(spark, path, lambda: 1, fails, lambda s, p: 2, retrain=True)
     assert not store.is_complete(spark, path)
 
 
