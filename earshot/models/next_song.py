@@ -10,14 +10,14 @@ from earshot.models import bayes
 from earshot.models.store import load_or_train
 from earshot.operators.items import song_dimension
 from earshot.operators.splits import with_split
-from earshot.operators.timeline import next_song_pairs
+from earshot.operators.timeline import HOUR_MS, next_song_pairs
 from earshot.operators.users import Users, last_play_by_user, with_profile
 from earshot.session import cut_lineage
 
 FEATURES = ("user_id", "song_id", "country_id", "gender_id", "age")
 
 
-def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
+def next_song_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """One example per play that has a successor.
 
     ``next_songId`` is the label; ``next_song_id`` is its hash key, for information only,
@@ -25,7 +25,7 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     cannot change who follows whom.
     """
     identity = [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns]
-    return next_song_pairs(plays, profiles=profiles).select(
+    return next_song_pairs(plays, slice_ms, profiles).select(
         *identity,
         *FEATURES,
         "next_songId",
@@ -33,9 +33,9 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def split_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
+def split_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """Labels, features and ``is_train``."""
-    examples = with_split(next_song_examples(plays, profiles))
+    examples = with_split(next_song_examples(plays, profiles, slice_ms))
     return examples.select("is_train", "next_songId", *FEATURES)
 
 
@@ -51,11 +51,12 @@ def train(
     path: str | None = None,
     retrain: bool = False,
     driver_classes: int = bayes.DRIVER_CLASSES,
+    slice_ms: int = HOUR_MS,
 ) -> bayes.BayesModel:
     """Fit, or load the model kept at ``path``."""
 
     def fit() -> bayes.BayesModel:
-        return train_on(split_examples(plays, profiles), driver_classes)
+        return train_on(split_examples(plays, profiles, slice_ms), driver_classes)
 
     return load_or_train(plays.sparkSession, path, fit, bayes.save, bayes.load, retrain)
 

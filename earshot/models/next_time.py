@@ -31,30 +31,35 @@ def _example_columns(plays: DataFrame) -> list[str]:
     return [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns] + list(FEATURES)
 
 
-def gap_examples(plays: DataFrame) -> DataFrame:
+def gap_examples(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """The gap *before* each play, with that play's calendar; 0 for a user's first play."""
-    return play_gaps(plays).select(*_example_columns(plays), F.coalesce("pdiff", F.lit(0)).alias("pdiff"))
+    return play_gaps(plays, slice_ms).select(*_example_columns(plays), F.coalesce("pdiff", F.lit(0)).alias("pdiff"))
 
 
-def forward_gap_examples(plays: DataFrame) -> DataFrame:
+def forward_gap_examples(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """The gap *after* each play that has a successor, with that play's calendar.
 
     This is the direction a prediction needs: it starts from a user's last play.
     """
     return (
-        with_next_ts(plays)
+        with_next_ts(plays, slice_ms)
         .filter(F.col("nts").isNotNull())
         .select(*_example_columns(plays), (F.col("nts") - F.col("ts_ms")).alias("gap_ms"))
     )
 
 
-def split_examples(plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True) -> DataFrame:
+def split_examples(
+    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True, slice_ms: int = HOUR_MS
+) -> DataFrame:
     """Gaps, their buckets, features and ``is_train``.
 
     ``forward=False`` with ``bucket_ms=1`` learns every gap as its own class from the plays
     that end it. Bucket numbers are padded, so their text order is their numeric order.
     """
-    examples = forward_gap_examples(plays) if forward else gap_examples(plays).withColumnRenamed("pdiff", "gap_ms")
+    if forward:
+        examples = forward_gap_examples(plays, slice_ms)
+    else:
+        examples = gap_examples(plays, slice_ms).withColumnRenamed("pdiff", "gap_ms")
     bucket = F.lpad(F.expr(f"gap_ms div {bucket_ms}").cast("string"), BUCKET_DIGITS, "0")
     return with_split(examples).select("is_train", "gap_ms", bucket.alias("bucket"), *FEATURES)
 
@@ -79,8 +84,8 @@ def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) ->
     return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"))
 
 
-def _examples_once(plays: DataFrame, bucket_ms: int, forward: bool) -> DataFrame:
-    return cut_lineage(split_examples(plays, bucket_ms, forward), "next-time-examples")
+def _examples_once(plays: DataFrame, bucket_ms: int, forward: bool, slice_ms: int) -> DataFrame:
+    return cut_lineage(split_examples(plays, bucket_ms, forward, slice_ms), "next-time-examples")
 
 
 def _save(model: NextTimeModel, path: str) -> None:
@@ -95,6 +100,7 @@ def train(
     forward: bool = True,
     retrain: bool = False,
     driver_classes: int = bayes.DRIVER_CLASSES,
+    slice_ms: int = HOUR_MS,
 ) -> NextTimeModel:
     """Fit, or load the model kept at ``path``."""
 
@@ -103,7 +109,7 @@ def train(
         return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians)
 
     def fit() -> NextTimeModel:
-        return train_on(_examples_once(plays, bucket_ms, forward), driver_classes)
+        return train_on(_examples_once(plays, bucket_ms, forward, slice_ms), driver_classes)
 
     return load_or_train(plays.sparkSession, path, fit, _save, load, retrain)
 
@@ -130,10 +136,10 @@ def holdout_accuracy(model: NextTimeModel, examples: DataFrame) -> DataFrame:
 
 
 def train_and_score(
-    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True
+    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True, slice_ms: int = HOUR_MS
 ) -> tuple[NextTimeModel, DataFrame]:
     """A model and its holdout accuracy, from examples that are computed once."""
-    examples = _examples_once(plays, bucket_ms, forward)
+    examples = _examples_once(plays, bucket_ms, forward, slice_ms)
     model = train_on(examples)
     return model, holdout_accuracy(model, examples)
 

@@ -13,15 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.time import slice_start
-from earshot.operators.timeline import play_order
+from earshot.operators.timeline import HOUR_MS, play_order
 
 # Fixed value: more than 20 minutes between two starts ends a session.
 SESSION_GAP_MS = 1_200_000
 
+# Also for wider gaps, no task has to sort more than an hour of one user's plays.
+WIDEST_SLICE_MS = HOUR_MS
+
 # Top-n rows are broadcast up to this n, and joined by slice beyond it.
 BROADCAST_SESSIONS = 1_000
 
 
+def slice_width(gap_ms: int) -> int:
+    return max(1, min(gap_ms, WIDEST_SLICE_MS))
+
+
 def session_slices(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """One row per user and non-empty slice: first and last play, session number.
 
@@ -30,7 +37,7 @@ def session_slices(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     by_slice = Window.partitionBy("user").orderBy("slice")
     starts = F.col("prev_ts").isNull() | (F.col("first_ts") - F.col("prev_ts") > gap_ms)
     return (
-        plays.groupBy("user", slice_start(F.col("ts_ms"), max(gap_ms, 1)).alias("slice"))
+        plays.groupBy("user", slice_start(F.col("ts_ms"), slice_width(gap_ms)).alias("slice"))
         .agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
         .withColumn("prev_ts", F.lag("last_ts").over(by_slice))
         .withColumn("user_session_id", F.sum(F.when(starts, 1).otherwise(0)).over(by_slice))
@@ -40,7 +47,7 @@ def session_slices(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
 def sessionize(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """Plays with ``pts``, ``pdiff``, ``is_new_session`` and ``user_session_id``."""
     slices = session_slices(plays, gap_ms).select("user", "slice", "prev_ts", "user_session_id")
-    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), max(gap_ms, 1)))
+    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms)))
     in_slice = Window.partitionBy("user", "slice").orderBy(*play_order(plays))
     pts, pdiff = F.col("pts"), F.col("pdiff")
     return (
@@ -94,7 +101,7 @@ def top_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) -> Data
     else:
         slices = session_slices(plays, gap_ms).select("user", "slice", "user_session_id")
         best_slices = slices.join(best, ["user", "user_session_id"])
-        sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), max(gap_ms, 1)))
+        sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms)))
         detailed = sliced.join(best_slices, ["user", "slice"])
     return detailed.orderBy(
         F.desc("session_length"), "user", "user_session_id", *play_order(plays)
@@ -142,7 +149,7 @@ def sessions_sql(spark: SparkSession, gap_ms: int = SESSION_GAP_MS) -> DataFrame
                user_session_id
         FROM gaps
         """,
-        args={"gap": gap_ms, "width": max(gap_ms, 1)},
+        args={"gap": gap_ms, "width": slice_width(gap_ms)},
     )
     sessions.createOrReplaceTempView("sessions")
     return sessions

@@ -21,12 +21,30 @@ from earshot.operators.users import with_profile
 
 HOUR_MS = 3_600_000
 
+# Slice widths to choose from, and how many plays of one user in one slice a task may sort.
+SLICE_WIDTHS_MS = (HOUR_MS, 60_000, 1_000, 1)
+PLAYS_PER_SLICE = 5_000_000
+
 
 def play_order(plays: DataFrame) -> list[str]:
     """Columns that put one user's plays in a repeatable order, also within one millisecond."""
     return [c for c in ("ts_ms", "artistId", "songId", "event_id") if c in plays.columns]
 
 
+def slice_for(plays: DataFrame, plays_per_slice: int = PLAYS_PER_SLICE) -> int:
+    """The widest slice that keeps every (user, slice) within ``plays_per_slice``.
+
+    For logs with bursts: an hour is right for listening as such, but not if a user's hour
+    holds a third of the log. Each width tried is one job over two columns that ends in one
+    number; usually the first is enough.
+    """
+    for width in SLICE_WIDTHS_MS:
+        counts = plays.groupBy("user", slice_start(F.col("ts_ms"), width).alias("slice")).count()
+        if (counts.agg(F.max("count")).first()[0] or 0) <= plays_per_slice:
+            return width
+    return SLICE_WIDTHS_MS[-1]
+
+
 def _with_edges(
     sliced: DataFrame,
     here: Column,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import rankings, sessions
+from earshot.operators.timeline import HOUR_MS
 from earshot.operators.users import Users, numbers_of
 from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, with_play_numbers
 from earshot.sources.profiles import read_profiles
@@ -21,9 +22,12 @@ class ListeningLog:
 
     Per-user questions take a user name, several names, a DataFrame with ``user_id``, or
     nothing for all users. Users who are not in the log get no row. With ``model_dir``,
-    models are kept there and loaded next time; ``retrain=True`` replaces them.
+    models are kept there and loaded next time; ``retrain=True`` replaces them. Logs with
+    bursts set ``log.slice_ms = slice_for(log.plays)`` before models are trained.
     """
 
+    slice_ms = HOUR_MS
+
     def __init__(
         self, raw_log: DataFrame, profiles: DataFrame, model_dir: str | None = None, retrain: bool = False
     ):
@@ -78,12 +82,18 @@ class ListeningLog:
         return sessions.top_sessions(self.plays, n, gap_ms)
 
     def predict_next_play_time(self, users: Asked = None) -> DataFrame:
-        model = self._model("next_time", lambda path: next_time.train(self.plays, path, retrain=self._retrain))
+        model = self._model(
+            "next_time",
+            lambda path: next_time.train(self.plays, path, retrain=self._retrain, slice_ms=self.slice_ms),
+        )
         return next_time.predict(model, self.plays, self._users(users))
 
     def predict_next_song(self, users: Asked = None) -> DataFrame:
         model = self._model(
-            "next_song", lambda path: next_song.train(self.plays, self.profiles, path, retrain=self._retrain)
+            "next_song",
+            lambda path: next_song.train(
+                self.plays, self.profiles, path, retrain=self._retrain, slice_ms=self.slice_ms
+            ),
         )
         return next_song.predict(model, self.plays, self.profiles, self._users(users))
 

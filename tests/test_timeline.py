@@ -34,6 +34,17 @@ def test_neighbours_do_not_depend_on_the_slices(make_plays, skewed_rows, slice_m
     assert timeline.next_song_pairs(plays, slice_ms).count() == len(skewed_rows) - 3
 
 
+def test_slices_narrow_for_bursts(make_plays):
+    quiet = [("user_1", hour * timeline.HOUR_MS, "a", "s") for hour in range(50)]
+    burst = [("user_2", ms, "a", "s") for ms in range(0, 3_000, 30)]
+    assert timeline.slice_for(make_plays(quiet), 10) == timeline.HOUR_MS
+    assert timeline.slice_for(make_plays(quiet + burst), 100) == timeline.HOUR_MS
+    assert timeline.slice_for(make_plays(quiet + burst), 40) == 1_000
+    assert timeline.slice_for(make_plays(quiet + burst), 10) == 1
+    assert timeline.slice_for(make_plays(quiet + quiet), 1) == 1
+    assert timeline.slice_for(make_plays(quiet).limit(0)) == timeline.HOUR_MS
+
+
 def expected_sessions(rows, gap_ms):
     numbered = []
     for history in by_user(rows):
@@ -59,6 +70,15 @@ def test_sessions_match_a_plain_loop(spark, make_plays, skewed_rows, gap_ms):
     assert spark.table("sessions").count() == len(skewed_rows)
 
 
+def test_wide_gaps_keep_narrow_slices():
+    assert [sessions.slice_width(g) for g in (0, 1, sessions.SESSION_GAP_MS, 10**9)] == [
+        1,
+        1,
+        sessions.SESSION_GAP_MS,
+        timeline.HOUR_MS,
+    ]
+
+
 def test_lengths_agree_with_session_window(make_plays, skewed_rows):
     plays = make_plays(skewed_rows)
     windows = plays.groupBy("user", F.session_window("ts", "20 minutes")).agg(
