@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,13 +23,17 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable without ever writing to one executor's own disk."""
+    """Make ``checkpoint()`` usable without ever writing to one executor's own disk.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a session that runs
+    in one process (master ``local`` or ``local[...]``) may do without it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="earshot-checkpoints-")
     context.setCheckpointDir(shared)

@@ -3,7 +3,9 @@
 import pytest
 from compare import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -13,13 +15,13 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_duckdb(spark, con, name):
-    assert differences(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) == []
+    assert differences(queries()[name](spark, SF_DIR), con, ORACLE[name]) == []
 
 
 def test_every_query_is_checked_or_is_a_factor_model():
-    assert set(queries()) - set(oracle_sql()) == {"recommend_artists", "recommend_songs"}
+    assert set(QUERIES) - set(ORACLE) == {"recommend_artists", "recommend_songs"}
 
 
 def test_entry_runs(spark):
