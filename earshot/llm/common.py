@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +40,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def narrow(df: DataFrame) -> DataFrame:
     """``df`` of short stored rows, sent to all executors if its counted rows are few enough."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    name = "earshot-package.zip"
+    if any(file.endswith(name) for file in context.listFiles):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="earshot-")) / name
+    with zipfile.ZipFile(archive, "w") as to:
+        for file in sorted(package.rglob("*.py")):
+            to.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
