@@ -26,17 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import ship, stored, text_or_empty
-from earshot.llm.tokens import Remembered, chunks, public_path
+from earshot.llm.tokens import REMEMBERED, Remembered, chunks, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points; longer texts are encoded as a tree.
 LEAF = 65_536
+#: Rows that a worker holds as lists of words or ids.
+AT_ONCE = 128
 #: Tokens on either side of a join in its first window.
 WINDOW = 16
 #: Neighbouring tokens that must agree on either side.
 AGREEING = 2
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 class WordEncoder:
     """Ids and token texts of a tokenizers file."""
 
@@ -60,10 +68,11 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; words not met before go to the library together."""
         cut = [chunks(text) for text in texts]
-        new = [word for word in set().union(*cut) if word not in self.words]
-        if len(self.words) + len(new) > 3 * 65_536:
+        met = set().union(*cut)
+        new = [word for word in met if word not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-            new = list(set().union(*cut))
+            new = list(met)
         for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.words[word] = found.ids
         return [[number for word in words for number in self.words[word]] for words in cut]
@@ -158,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFr
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = encoder.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -198,7 +207,7 @@ def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = word_encoder(path).library
-        for batch in batches:
+        for batch in few_rows(batches):
             found = library.decode_batch(batch.column(1).to_pylist(), skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", "decoded"])
 

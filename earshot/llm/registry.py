@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, exact_duplicates, licenses, packing, quality, token_counts
+from earshot.llm import bpe, exact_duplicates, licenses, near_duplicates, packing, quality, token_counts, warc
 from earshot.llm.common import table
 from earshot.llm.oracle import ORACLE  # noqa: F401
 
@@ -19,6 +19,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.components(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_best_fit_packing,
+        op2_minhash,
+        op4_warc,
         op5_quality_rules,
         op6_exact_dedup,
         op7_license_scan,
