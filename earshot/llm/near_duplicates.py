@@ -22,8 +22,9 @@ A pair at the threshold has fewer collisions with probability 4e-8, one above it
 The pairwise step looks at pairs of a list that are still apart; with many unlinked documents in
 one list its time grows with their number squared, its output doesn't.
 
-Texts without words (null, empty) have an empty set and no links. Rows are answered by their own
-text; rows that repeat a ``doc_id`` are linked as one document. A null ``doc_id`` takes its text's
+Texts without words (null, empty) have an empty set and no links. Rows that repeat a ``doc_id``
+are answered by their own text; where their texts differ and no other document has them, one text
+(that of the smallest set hash) takes part in links between different sets. A null ``doc_id`` takes its text's
 component if other rows have it, else null, and is kept. An empty table gives no rows; other
 columns are ignored by ``components`` and kept by ``without_near_copies``.
 """
@@ -89,6 +90,10 @@ def signature(found: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.n
     return ((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | (least >> np.uint64(32))).astype(np.int64)
 
 
+def _set_hash(packed: bytes) -> bytes:
+    return blake2b(packed, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_hash, signature``; the last two are null without words."""
     ship(docs.sparkSession)
@@ -101,7 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 sizes.append(len(found))
-                hashes.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                hashes.append(_set_hash(found.tobytes()) if len(found) else None)
                 signed.append(signature(found, factors, terms) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signed, pa.list_(pa.int64()))],
@@ -114,13 +119,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, hashes`` (ascending, packed) of the documents in ``ids``."""
+    """``doc_id, hashes`` (ascending, packed) of the documents and sets in ``ids`` (``doc_id, set_hash``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [shingles(text.as_py()).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "hashes"])
+            asked = [_set_hash(found) == expected.as_py() for found, expected in zip(packed, batch.column(2))]
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "hashes"])
+            yield found.filter(pa.array(asked, pa.bool_()))
 
     chosen = docs.select("doc_id", text_or_empty().alias("text")).join(narrow(ids), "doc_id")
     return chosen.mapInArrow(hashed, f"doc_id {kind}, hashes binary")
@@ -154,27 +161,31 @@ def _reachable(n_a: Column, n_b: Column, overlap: Column) -> Column:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (``a, b`` and more) with ``overlap``, the size of the intersection of full sets."""
+    """Pairs ``a, b`` with ``n_a, n_b, overlap``: sizes of the full sets and of their intersection."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(batch.schema.get_field_index(name)) for name in ("hashes_a", "hashes_b"))
             sizes = []
-            for one, other in zip(left, right):
-                both = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in (one, other)])
+            for one, other in zip(batch.column(2), batch.column(3)):
+                left, right = (np.frombuffer(packed.as_py(), np.uint64) for packed in (one, other))
+                both = np.concatenate([left, right])
                 both.sort(kind="stable")
-                sizes.append(int(np.count_nonzero(both[1:] == both[:-1])))
-            kept = batch.drop_columns(["hashes_a", "hashes_b"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64())], names=[*kept.schema.names, "overlap"])
+                sizes.append((len(left), len(right), int(np.count_nonzero(both[1:] == both[:-1]))))
+            counted = [pa.array(x, pa.int64()) for x in zip(*sizes)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counted], names=["a", "b", "n_a", "n_b", "overlap"])
 
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
     of_b = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.join(of_a, "a").join(of_b, "b").select(*pairs.columns, "hashes_a", "hashes_b").mapInArrow(
-        count, f"{kinds}, overlap bigint"
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(
+        count, f"a {kind}, b {kind}, n_a bigint, n_b bigint, overlap bigint"
     )
 
 
+def _linked(overlaps: DataFrame) -> DataFrame:
+    return overlaps.filter(_reachable(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
+
+
 def connected(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``doc_id, component`` with components joined along ``links`` (``a, b``, documents).
 
@@ -225,13 +236,6 @@ def _leader_pairs(posts: DataFrame, order: Column) -> DataFrame:
     return best.select(F.col("doc_id").alias("a"), "b")
 
 
-def _linked(overlaps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs that are links, and for each what a bound needs."""
-    n_a = sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"))
-    n_b = sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
-    return overlaps.join(n_a, "a").join(n_b, "b").filter(_reachable(F.col("n_a"), F.col("n_b"), F.col("overlap"))).select("a", "b")
-
-
 def _rest(posts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Pairs of documents that are still apart and may be linked; each under its first common post."""
     facts = stored(posts.join(anchors, "doc_id", "left").select(
@@ -254,13 +258,10 @@ def _rest(posts: DataFrame, anchors: DataFrame) -> DataFrame:
     return a.join(b, may_be).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-def links_and_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links_and_labels(docs: DataFrame, signed: DataFrame, firsts: DataFrame) -> DataFrame:
     """``doc_id, component`` of one document of each set that has links to other sets."""
-    firsts = stored(
-        signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")).drop("set_hash"),
-        "first-of-set",
-    ).distinct()
-    classes = stored(signed.filter("n_shingles > 0").join(firsts, "doc_id").select("doc_id", "n_shingles", "signature"), "set-classes")
+    one_set = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.min("set_hash").alias("set_hash"))
+    classes = stored(signed.filter("n_shingles > 0").join(one_set, ["doc_id", "set_hash"]), "set-classes")
 
     def pairs_of(of: DataFrame) -> DataFrame:
         return of.select("doc_id", F.explode("signature").alias("post"))
@@ -269,7 +270,7 @@ def links_and_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
         COORDINATES - F.coalesce("alone", F.lit(0)) >= MATCHES
     )
     sharing = stored(sharing.drop("alone"), "sharing-pairs")
-    sets = stored(full_sets(docs, sharing.select("doc_id").distinct()), "full-sets")
+    sets = stored(full_sets(docs, sharing.select("doc_id", "set_hash").distinct()), "full-sets")
     shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
     similar = stored(
         sharing.join(_alone(_unpacked(sets), "shingle"), "doc_id", "left")
@@ -288,8 +289,7 @@ def links_and_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
     prefix = F.slice("ordered", F.lit(1), F.size("ordered") - MATCHES + 1)
     prefixes = stored(similar.join(gathered, "doc_id").select("doc_id", "n_shingles", "shared", prefix.alias("prefix")), "prefixes")
-    sizes = prefixes.select("doc_id", "n_shingles")
-    labels = prefixes.select("doc_id", F.col("doc_id").alias("component"))
+    labels = prefixes.select("doc_id", F.col("doc_id").alias("component")).distinct()
     anchors = None
     for number in range(LEADER_ROUNDS):
         posts = stored(prefixes.join(labels, "doc_id").select("*", F.explode("prefix").alias("post")).drop("prefix"), "posts")
@@ -297,10 +297,10 @@ def links_and_labels(docs: DataFrame, signed: DataFrame) -> DataFrame:
         overlaps = stored(_overlaps(_leader_pairs(posts, order), sets), "overlaps")
         if anchors is None:
             anchors = overlaps.select(F.col("a").alias("doc_id"), F.col("b").alias("anchor"), F.col("overlap").alias("anchored"))
-        labels = connected(labels, _linked(overlaps, sizes))
+        labels = connected(labels, _linked(overlaps))
     apart = prefixes.join(labels, "doc_id").select("*", F.explode("prefix").alias("post"))
     pairs = stored(_rest(apart, anchors), "pairs-apart")
-    return connected(labels, _linked(_overlaps(pairs, sets), sizes))
+    return connected(labels, _linked(_overlaps(pairs, sets)))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def components(docs: DataFrame) -> DataFrame:
     firsts = stored(
         signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first")), "set-firsts"
     )
-    labels = links_and_labels(docs, signed)
+    labels = links_and_labels(docs, signed, firsts)
     # the smallest id of a component is that of its smallest set's first document
     named = stored(firsts.join(labels.withColumnRenamed("doc_id", "first"), "first").select("set_hash", "component"), "set-components")
     of_set = stored(firsts.join(named, "set_hash", "left").select("set_hash", F.coalesce("component", "first").alias("component")), "sets")
