@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from earshot.llm import exact_duplicates, quality
+from earshot.llm import exact_duplicates, near_duplicates, packing, personal_data, quality
 from earshot.llm.common import stored, table
 
 
@@ -18,9 +19,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_duplicates.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_duplicates.without_near_copies(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts replaced by its kind; ``n_chars`` follows the text."""
+    return personal_data.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in training sequences."""
+    pieces = packing.pieces(docs)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 STAGES = [
     ("quality rules", accept),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("personal data", redact),
+    ("best-fit packing", pack),
 ]
 
 #: The later stages have no SQL form; tests hold them against brute force.

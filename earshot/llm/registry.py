@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, exact_duplicates, licenses, near_duplicates, packing, quality, token_counts, warc
+from earshot.llm import (
+    bpe,
+    exact_duplicates,
+    language_model,
+    licenses,
+    near_duplicates,
+    packing,
+    personal_data,
+    quality,
+    token_counts,
+    warc,
+)
 from earshot.llm.common import table
 from earshot.llm.oracle import ORACLE  # noqa: F401
 
@@ -23,6 +34,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -39,6 +54,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
@@ -52,10 +71,12 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_best_fit_packing,
         op2_minhash,
+        op3_language_model,
         op4_warc,
         op5_quality_rules,
         op6_exact_dedup,
         op7_license_scan,
+        op8_personal_data,
         op9_bpe,
         op10_token_counts,
     )
