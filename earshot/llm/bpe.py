@@ -16,6 +16,7 @@ tokens, as in the library.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import ship, stored, text_or_empty
-from earshot.llm.tokens import REMEMBERED, Remembered, chunks, public_path
+from earshot.llm.tokens import Remembered, chunks, pack_ids, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points; longer texts are encoded as a tree.
@@ -45,8 +46,24 @@ def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, AT_ONCE)
 
 
+#: Chunks of plain words, marks and line ends, and their parts.
+PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[.,!?;:\n])*")
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(byte) if byte in shown else chr(next(hidden)) for byte in range(256)]
+
+
 class WordEncoder:
-    """Ids and token texts of a tokenizers file."""
+    """Ids and token texts of a tokenizers file, words remembered.
+
+    A chunk of plain Latin words and marks is cut where the library's pre-tokenizer cuts it and
+    goes to its merges word by word; every other chunk passes the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,28 +71,28 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = Remembered(self._ids)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for word in map(self.words.__getitem__, chunks(text)):
-            ids += word
-        return ids
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; words not met before go to the library together."""
-        cut = [chunks(text) for text in texts]
-        met = set().union(*cut)
-        new = [word for word in met if word not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(met)
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = found.ids
-        return [[number for word in words for number in self.words[word]] for words in cut]
+        self.tokens = {number: token for token, number in self.library.get_vocab().items()}
+        self.letters = byte_letters()
+        self.parts = Remembered(self._merged)
+        self.chunks = Remembered(self._of_chunk)
+
+    def _merged(self, part: str) -> bytes:
+        return pack_ids([token.id for token in self.library.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))])
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(chunk.lower())))
+        return pack_ids(self.library.encode(chunk, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids."""
+        return b"".join(map(self.chunks.__getitem__, chunks(text)))
+
+    def decode(self, ids: list[int]) -> str:
+        """As the library's decode, which joins tokens by spaces where a file names no decoder."""
+        if self.library.decoder is not None:
+            return self.library.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @functools.cache
@@ -168,8 +185,10 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFr
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in few_rows(batches):
-            ids = encoder.encode_all(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            packed = [encoder.encode(text) for text in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *(len(ids) // 4 for ids in packed)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -206,9 +225,9 @@ def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded_docs`` with the text that ``ids`` stand for as ``decoded``; special tokens are kept."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = word_encoder(path).library
+        encoder = word_encoder(path)
         for batch in few_rows(batches):
-            found = library.decode_batch(batch.column(1).to_pylist(), skip_special_tokens=False)
+            found = [encoder.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", "decoded"])
 
     ship(encoded_docs.sparkSession)

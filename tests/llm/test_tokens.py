@@ -109,7 +109,9 @@ def test_plan_is_best_fit_decreasing(lengths):
 @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab '\n .1é́")), max_size=60))
 def test_chunks_give_the_ids_of_the_library(text):
     assert list(np.frombuffer(byte_encoder().encode(text), "<u4")) == ids_of(text)
-    assert bpe.word_encoder().encode_all([text]) == [WORDS.encode(text, add_special_tokens=False).ids]
+    ids = WORDS.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(bpe.word_encoder().encode(text), "<u4")) == ids
+    assert bpe.word_encoder().decode(ids) == WORDS.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=200, deadline=None)
