@@ -25,14 +25,17 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 hashed AS (
   SELECT doc_id, host, list_transform(lines, lambda l: ('0x' || md5(l)[:15])::bigint) AS hashes,
          list_transform(lines, lambda l: len(l) - len(replace(l, ' ', '')) + 1) AS counts FROM worded),
-marked AS (SELECT DISTINCT host, unnest(hashes) AS line, list_min(hashes) AS mark FROM hashed),
+least AS (SELECT doc_id, host, list_sort(list_distinct(hashes)) AS h FROM hashed),
+lined AS (SELECT doc_id, host, h[1] AS one, coalesce(h[2], h[1]) AS two, unnest(h) AS line FROM least),
+marked AS (SELECT host, line, CASE WHEN line = one THEN two ELSE one END AS mark, min(doc_id) AS first_id FROM lined GROUP BY ALL),
 hosts AS (SELECT host, count(*) AS n FROM texts GROUP BY host),
 frequent AS (
-  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM marked GROUP BY ALL) AS counted JOIN hosts USING (host)
+  SELECT host, line, first_id
+  FROM (SELECT host, line, count(*) AS n, min(first_id) AS first_id FROM marked GROUP BY host, line) AS counted JOIN hosts USING (host)
   WHERE counted.n >= {quality.MIN_DOCUMENTS} AND counted.n > {quality.MAX_SHARE} * hosts.n),
 located AS (SELECT doc_id, host, unnest(hashes) AS line, unnest(counts) AS words FROM hashed),
 left_over AS (
-  SELECT doc_id, sum(words) AS words, coalesce(sum(words) FILTER (frequent.line IS NOT NULL), 0) AS removed
+  SELECT doc_id, sum(words) AS words, coalesce(sum(words) FILTER (frequent.line IS NOT NULL AND doc_id <> first_id), 0) AS removed
   FROM located LEFT JOIN frequent USING (host, line) GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(words)::bigint AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint AS word_chars,
@@ -83,7 +86,26 @@ SELECT doc_id, license, coalesce(names, '') AS line_licenses, coalesce(n, 0)::bi
 FROM whole LEFT JOIN by_line USING (doc_id)
 """
 
+# Base32 of a SHA-1: five hex digits are four letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * group + 1}, 5))::BIGINT >> {shift}) & 31)::INTEGER + 1, 1)"
+    for group in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+OP4 = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages),
+hashed AS (SELECT *, sha1(payload) AS h FROM payloads)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to,
+       CASE WHEN page_id = latest THEN true END AS intact
+FROM hashed
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_warc": OP4,
     "op5_quality_rules": OP5,
     "op6_exact_dedup": OP6,
     "op7_license_scan": OP7,

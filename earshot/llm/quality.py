@@ -4,9 +4,10 @@ Method: lines are normalised (lower case, letters and digits only) and hashed; d
 are counted per host and line; lines of more documents than the limit are removed; a document is
 rejected when little of it is left. The host is the ``source`` column.
 
-Copies of one document would otherwise make all of their own lines frequent. So documents are told
-apart by the smallest line hash they hold: a line counts one document for each different value,
-which copies share and documents that only have the line in common don't.
+Copies of one document would make all of their own lines frequent. So, for a line, documents are
+told apart by what else they hold, the smallest hash among their other lines: copies share it,
+documents that only have the line in common don't. And the first document (smallest ``doc_id``)
+with a line keeps it, so one of any group of alike documents stays.
 
 A null text has no words (and fails the base rules); null hosts form one host. Rows that repeat a
 ``doc_id`` are measured one by one and share the decision about their lines. An empty table gives
@@ -102,16 +103,18 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measures: DataFrame) -> DataFrame:
-    """``host, line`` of the lines over the limit."""
-    marks = measures.select(
-        "host", F.array_min("lines.line").alias("mark"), F.explode(F.array_distinct("lines.line")).alias("line")
+    """``host, line, first_id`` of the lines over the limit."""
+    least = F.array_sort(F.array_distinct("lines.line"))
+    marks = measures.select("doc_id", "host", least.alias("least")).select(
+        "doc_id", "host", F.get("least", F.lit(0)).alias("one"), F.get("least", F.lit(1)).alias("two"), F.explode("least").alias("line")
     )
-    spread = marks.groupBy("host", "line", "mark").agg(F.count("*").alias("n"))
-    counts = spread.groupBy("host", "line").agg(F.count("*").alias("n_documents"))
+    mark = F.when(F.col("line") == F.col("one"), F.coalesce("two", "one")).otherwise(F.col("one"))
+    spread = marks.groupBy("host", "line", mark.alias("mark")).agg(F.min("doc_id").alias("first_id"))
+    counts = spread.groupBy("host", "line").agg(F.count("*").alias("n_documents"), F.min("first_id").alias("first_id"))
     hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
-    over = (F.col("n_documents") >= MIN_DOCUMENTS) & (F.col("n_documents") > MAX_SHARE * F.col("host_documents"))
     common = stored(counts.filter(F.col("n_documents") >= MIN_DOCUMENTS), "common-lines")
-    return common.join(hosts, "host").filter(over).select("host", "line")
+    over = F.col("n_documents") > MAX_SHARE * F.col("host_documents")
+    return common.join(hosts, "host").filter(over).select("host", "line", "first_id")
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -123,6 +126,7 @@ def quality(docs: DataFrame) -> DataFrame:
     )
     removed = (
         lines.join(frequent, ["host", "line"])
+        .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("doc_id")
         .agg(F.sum("words").alias("removed"))
     )

@@ -206,11 +206,14 @@ class Archive:
     def _inflated(self):
         """Pieces of one gzip member, stopping behind it."""
         unpack = zlib.decompressobj(zlib.MAX_WBITS | 16)
-        while not unpack.eof and self._need(1):
-            # small bites, so that little is inflated before the headers are known
-            piece = unpack.decompress(self.buffer[self.at :], 2048 if self.first else 0)
+        while not unpack.eof:
+            given = self._need(1) and self.buffer[self.at :]
+            # a small bite first, so that little is inflated before the headers are known
+            piece = unpack.decompress(given, 2048 if self.first else CHUNK)
             self.first = False
             self.at = len(self.buffer) - len(unpack.unused_data or unpack.unconsumed_tail)
+            if not given and not piece:
+                return
             yield piece
 
     def records(self, wanted) -> Iterator[tuple[dict, bytes | None]]:
@@ -234,8 +237,8 @@ class Archive:
         """``known``: the rest need not be inflated to find the next record."""
         have = b""
         for piece in pieces:
-            have += piece
-            while (end := have.find(b"\r\n\r\n")) >= 0 and have.lstrip(b"\r\n")[:5] == b"WARC/":
+            have = (have + piece).lstrip(b"\r\n")
+            while have.startswith(b"WARC/") and (end := have.find(b"\r\n\r\n")) >= 0:
                 lines = have[:end].decode("utf-8", "replace").strip().split("\r\n")[1:]
                 headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
                 size = int(headers.get("content-length", 0))
@@ -250,7 +253,7 @@ class Archive:
                     parts = [*parts, piece] if keep else [piece[-(got - size) :] if got > size else b""]
                 rest = b"".join(parts)
                 block = rest[:size] if keep else None
-                have = rest[len(rest) - (got - size) :] if got > size else b""
+                have = rest[len(rest) - (got - size) :].lstrip(b"\r\n") if got > size else b""
                 if keep is not None:
                     yield headers, block
 
