@@ -2,14 +2,10 @@
 
 Training needs one pass over the examples: per class, a count and the sum of each feature.
 ``class_totals`` is that pass, an aggregation with map-side combine, and all else works on
-its one row per class.
+its one row per class. The model stays a table: classes in blocks of a few thousand, scored
+block by block, so nothing grows on the driver and every catalogue takes the same way.
 
-* Up to ``DRIVER_CLASSES`` classes, Spark ML's ``NaiveBayes`` is fitted on the totals (a
-  class is one row, weighted by its count) and the result is an ordinary ``PipelineModel``.
-* Spark ML keeps the whole model on the driver and in every task, so beyond that number the
-  model stays a table: classes in blocks of a few thousand, scored block by block.
-
-Both pick the class with the highest posterior, the first by label on a tie.
+The class with the highest posterior is picked, the first by label on a tie.
 """
 
 from __future__ import annotations
@@ -18,9 +14,6 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,56 +22,44 @@ from earshot.session import cut_lineage
 # Fixed value: additive smoothing.
 SMOOTHING = 1.0
 
-DRIVER_CLASSES = 100_000
+# Classes per block on average; bounds the array in one row.
 BLOCK_CLASSES = 2_048
 
-BayesModel = PipelineModel | DataFrame
+# ``block`` and ``classes``.
+BayesModel = DataFrame
 
 
 def as_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features as non-negative doubles; missing values count as 0."""
+    """Features as doubles; missing and negative values (an age of -1) count as 0.
+
+    The multinomial model has no meaning for a negative feature.
+    """
     cleaned = {f: F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features}
     return rows.withColumns(cleaned)
 
 
-def class_totals(examples: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Per label: ``n`` examples and the sum of every feature."""
+def class_totals(
+    examples: DataFrame, label: str, features: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """Per label: ``n`` examples and the sum of every feature.
+
+    ``weight`` names a column that says how many examples a row stands for.
+    """
+    n = F.col(weight) if weight else F.lit(1)
     return (
         as_features(examples, features)
         .groupBy(F.col(label).cast("string").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in features])
+        .agg(F.sum(n).alias("n"), *[F.sum(F.col(f) * n).alias(f) for f in features])
     )
 
 
-def train(
-    totals: DataFrame, features: Sequence[str], driver_classes: int = DRIVER_CLASSES
-) -> BayesModel:
-    """Fit on :func:`class_totals`. The prediction lands in ``predicted_label``."""
+def train(totals: DataFrame, features: Sequence[str]) -> BayesModel:
+    """Fit on :func:`class_totals`."""
     totals = cut_lineage(totals, "class-totals")
     n_classes = totals.count()
     if n_classes == 0:
         raise ValueError("no training examples")
-    if n_classes > driver_classes:
-        return _class_blocks(totals, features, n_classes)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    indexer = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(totals)
-    means = totals.withColumns({f: F.col(f) / F.col("n") for f in features})
-    bayes = (
-        NaiveBayes(
-            modelType="multinomial",
-            smoothing=SMOOTHING,
-            featuresCol="_features",
-            labelCol="_label",
-            weightCol="n",
-            predictionCol="_class",
-        )
-        .fit(assembler.transform(indexer.transform(means)))
-        # one probability per class and row would dwarf the rows
-        .setProbabilityCol("")
-        .setRawPredictionCol("")
-    )
-    names = IndexToString(inputCol="_class", outputCol="predicted_label", labels=indexer.labels)
-    return PipelineModel([assembler, bayes, names])
+    return _class_blocks(totals, features, n_classes)
 
 
 def _class_blocks(totals: DataFrame, features: Sequence[str], n_classes: int) -> DataFrame:
@@ -98,8 +79,6 @@ def _class_blocks(totals: DataFrame, features: Sequence[str], n_classes: int) ->
 def predict(model: BayesModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """``rows`` with ``predicted_label``; the feature columns come back as doubles."""
     rows = as_features(rows, features)
-    if isinstance(model, PipelineModel):
-        return model.transform(rows).drop("_features", "_class")
     return rows.join(_best_by_block(model, rows.select(*features).distinct(), features), list(features))
 
 
@@ -136,36 +115,22 @@ def _best_by_block(blocks: DataFrame, points: DataFrame, features: Sequence[str]
     )
 
 
-def accuracy(model: BayesModel, test: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+def accuracy(model: BayesModel, counted: DataFrame, label: str, features: Sequence[str], weight: str) -> DataFrame:
     """``correct``, ``total`` and ``accuracy`` over held-out examples, as one row.
 
-    Equal examples are counted first and scored once.
+    ``weight`` says how many equal examples a row stands for; equal features are scored once.
     """
-    counted = (
-        as_features(test, features)
-        .groupBy(F.col(label).cast("string").alias("label"), *features)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    hit = F.when(F.col("predicted_label") == F.col("label"), F.col("n")).otherwise(F.lit(0))
+    hit = F.when(F.col("predicted_label") == F.col(label).cast("string"), F.col(weight)).otherwise(F.lit(0))
     return (
         predict(model, counted, features)
-        .agg(F.coalesce(F.sum(hit), F.lit(0)).alias("correct"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+        .agg(F.coalesce(F.sum(hit), F.lit(0)).alias("correct"), F.coalesce(F.sum(weight), F.lit(0)).alias("total"))
         .withColumn("accuracy", F.try_divide("correct", "total"))
     )
 
 
 def save(model: BayesModel, path: str) -> None:
-    if isinstance(model, PipelineModel):
-        model.write().overwrite().save(f"{path}/pipeline")
-    else:
-        model.write.mode("overwrite").parquet(f"{path}/blocks")
-    kind = "pipeline" if isinstance(model, PipelineModel) else "blocks"
-    spark = SparkSession.active()
-    spark.createDataFrame([(kind,)], "value string").write.mode("overwrite").text(f"{path}/kind")
+    model.write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def load(spark: SparkSession, path: str) -> BayesModel:
-    kind = spark.read.text(f"{path}/kind").first()["value"]
-    if kind == "pipeline":
-        return PipelineModel.load(f"{path}/pipeline")
     return spark.read.parquet(f"{path}/blocks")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from earshot.functions.text import hash_key31
 from earshot.models import bayes
 from earshot.models.store import load_or_train
-from earshot.operators.items import song_dimension
+from earshot.operators.items import names_of, song_dimension
 from earshot.operators.splits import with_split
 from earshot.operators.timeline import HOUR_MS, next_song_pairs
 from earshot.operators.users import Users, last_play_by_user, with_profile
@@ -39,10 +39,15 @@ def split_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_M
     return examples.select("is_train", "next_songId", *FEATURES)
 
 
-def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) -> bayes.BayesModel:
-    """Fit on the training side of :func:`split_examples`."""
-    totals = bayes.class_totals(examples.filter("is_train"), "next_songId", FEATURES)
-    return bayes.train(totals, FEATURES, driver_classes)
+def counted_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+    """Equal examples of either side of the split as one row, with their number ``n``."""
+    examples = bayes.as_features(split_examples(plays, profiles, slice_ms), FEATURES)
+    return examples.groupBy("is_train", "next_songId", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_on(examples: DataFrame, weight: str | None = None) -> bayes.BayesModel:
+    """Fit on the training side of :func:`split_examples` (or the counted ones)."""
+    return bayes.train(bayes.class_totals(examples.filter("is_train"), "next_songId", FEATURES, weight), FEATURES)
 
 
 def train(
@@ -50,37 +55,44 @@ def train(
     profiles: DataFrame,
     path: str | None = None,
     retrain: bool = False,
-    driver_classes: int = bayes.DRIVER_CLASSES,
     slice_ms: int = HOUR_MS,
 ) -> bayes.BayesModel:
     """Fit, or load the model kept at ``path``."""
 
     def fit() -> bayes.BayesModel:
-        return train_on(split_examples(plays, profiles, slice_ms), driver_classes)
+        return train_on(split_examples(plays, profiles, slice_ms))
 
-    return load_or_train(plays.sparkSession, path, fit, bayes.save, bayes.load, retrain)
+    parameters = {"kind": "next_song", "features": FEATURES}
+    return load_or_train(plays.sparkSession, path, parameters, fit, bayes.save, bayes.load, retrain)
 
 
 def predict(
     model: bayes.BayesModel, plays: DataFrame, profiles: DataFrame, users: Users = None
 ) -> DataFrame:
-    """The song each user will probably play after their last one."""
-    last = with_profile(last_play_by_user(plays, users), profiles).select("user", *FEATURES)
-    predicted = bayes.predict(model, last, FEATURES).select(
-        F.col("user_id").cast("int").alias("user_id"), "user", F.col("predicted_label").alias("songId")
+    """The song each user will probably play after their last one.
+
+    One song may be predicted for most users, so names are looked up for the distinct
+    predicted songs, and both sides of that join are stored tables.
+    """
+    last = cut_lineage(with_profile(last_play_by_user(plays, users), profiles).select("user", *FEATURES), "last-plays")
+    predicted = cut_lineage(
+        bayes.predict(model, last, FEATURES).select(
+            F.col("user_id").cast("int").alias("user_id"), "user", F.col("predicted_label").alias("songId")
+        ),
+        "predicted-songs",
     )
-    return predicted.join(song_dimension(plays), "songId").select(
+    return predicted.join(names_of(predicted, song_dimension(plays), "songId"), "songId").select(
         "user_id", "user", "artistId", "artist", "songId", "song"
     )
 
 
-def holdout_accuracy(model: bayes.BayesModel, examples: DataFrame) -> DataFrame:
-    """Accuracy on the test side of :func:`split_examples`, as one row."""
-    return bayes.accuracy(model, examples.filter("NOT is_train"), "next_songId", FEATURES)
+def holdout_accuracy(model: bayes.BayesModel, counted: DataFrame) -> DataFrame:
+    """Accuracy on the test side of :func:`counted_examples`, as one row."""
+    return bayes.accuracy(model, counted.filter("NOT is_train"), "next_songId", FEATURES, "n")
 
 
 def train_and_score(plays: DataFrame, profiles: DataFrame) -> tuple[bayes.BayesModel, DataFrame]:
-    """A model and its holdout accuracy, from examples that are computed once."""
-    examples = cut_lineage(split_examples(plays, profiles), "next-song-examples")
-    model = train_on(examples)
-    return model, holdout_accuracy(model, examples)
+    """A model and its holdout accuracy, from one aggregation of the examples."""
+    counted = cut_lineage(counted_examples(plays, profiles), "next-song-counts")
+    model = train_on(counted, "n")
+    return model, holdout_accuracy(model, counted)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.time import plus_ms
@@ -72,20 +72,34 @@ class NextTimeModel:
     medians: DataFrame
 
 
-def train_on(examples: DataFrame, driver_classes: int = bayes.DRIVER_CLASSES) -> NextTimeModel:
-    """Fit on the training side of :func:`split_examples`, which is read twice."""
-    training = examples.filter("is_train")
-    totals = bayes.class_totals(training, "bucket", FEATURES)
-    # Equal gaps are counted first, so a bucket holds at most bucket_ms distinct values.
-    counted = training.groupBy("bucket", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
-    medians = counted.groupBy(F.col("bucket").alias("predicted_label")).agg(
-        F.percentile("gap_ms", 0.5, F.col("n")).cast("long").alias("predicted_gap_ms")
+def counted_gaps(training: DataFrame, weight: str | None = None) -> DataFrame:
+    """Per (bucket, gap): the number of examples ``n`` and the sum of each feature."""
+    n = F.col(weight) if weight else F.lit(1)
+    return (
+        bayes.as_features(training, FEATURES)
+        .groupBy("bucket", "gap_ms")
+        .agg(F.sum(n).alias("n"), *[F.sum(F.col(f) * n).alias(f) for f in FEATURES])
     )
-    return NextTimeModel(bayes.train(totals, FEATURES, driver_classes), cut_lineage(medians, "gap-medians"))
 
 
-def _examples_once(plays: DataFrame, bucket_ms: int, forward: bool, slice_ms: int) -> DataFrame:
-    return cut_lineage(split_examples(plays, bucket_ms, forward, slice_ms), "next-time-examples")
+def median_gaps(counted: DataFrame) -> DataFrame:
+    """The median gap of each bucket, by running counts over its sorted distinct gaps."""
+    ascending = Window.partitionBy("bucket").orderBy("gap_ms").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counted.groupBy("bucket").agg(F.sum("n").alias("total"))
+    place = counted.select("bucket", "gap_ms", F.sum("n").over(ascending).alias("upto")).join(totals, "bucket")
+    lower = F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) / 2), F.col("gap_ms")))
+    upper = F.min(F.when(F.col("upto") > F.ceil((F.col("total") - 1) / 2), F.col("gap_ms")))
+    middle = (lower + (upper - lower) / 2).cast("long")
+    return place.groupBy(F.col("bucket").alias("predicted_label")).agg(middle.alias("predicted_gap_ms"))
+
+
+def train_on(examples: DataFrame, weight: str | None = None) -> NextTimeModel:
+    """Fit on the training side of :func:`split_examples`, which is read once."""
+    counted = cut_lineage(counted_gaps(examples.filter("is_train"), weight), "gap-counts")
+    totals = counted.groupBy(F.col("bucket").alias("label")).agg(
+        F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in FEATURES]
+    )
+    return NextTimeModel(bayes.train(totals, FEATURES), cut_lineage(median_gaps(counted), "gap-medians"))
 
 
 def _save(model: NextTimeModel, path: str) -> None:
@@ -99,7 +113,6 @@ def train(
     bucket_ms: int = HOUR_MS,
     forward: bool = True,
     retrain: bool = False,
-    driver_classes: int = bayes.DRIVER_CLASSES,
     slice_ms: int = HOUR_MS,
 ) -> NextTimeModel:
     """Fit, or load the model kept at ``path``."""
@@ -109,9 +122,10 @@ def train(
         return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians)
 
     def fit() -> NextTimeModel:
-        return train_on(_examples_once(plays, bucket_ms, forward, slice_ms), driver_classes)
+        return train_on(split_examples(plays, bucket_ms, forward, slice_ms))
 
-    return load_or_train(plays.sparkSession, path, fit, _save, load, retrain)
+    parameters = {"kind": "next_time", "features": FEATURES, "bucket_ms": bucket_ms, "forward": forward}
+    return load_or_train(plays.sparkSession, path, parameters, fit, _save, load, retrain)
 
 
 def predict(model: NextTimeModel, plays: DataFrame, users: Users = None) -> DataFrame:
@@ -130,28 +144,33 @@ def predict(model: NextTimeModel, plays: DataFrame, users: Users = None) -> Data
     )
 
 
-def holdout_accuracy(model: NextTimeModel, examples: DataFrame) -> DataFrame:
+def holdout_accuracy(model: NextTimeModel, counted: DataFrame) -> DataFrame:
     """Share of test examples whose bucket is predicted, as one row."""
-    return bayes.accuracy(model.classifier, examples.filter("NOT is_train"), "bucket", FEATURES)
+    return bayes.accuracy(model.classifier, counted.filter("NOT is_train"), "bucket", FEATURES, "n")
 
 
 def train_and_score(
     plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True, slice_ms: int = HOUR_MS
 ) -> tuple[NextTimeModel, DataFrame]:
-    """A model and its holdout accuracy, from examples that are computed once."""
-    examples = _examples_once(plays, bucket_ms, forward, slice_ms)
+    """A model and its holdout accuracy; the test side is counted by bucket and features."""
+    examples = split_examples(plays, bucket_ms, forward, slice_ms)
     model = train_on(examples)
-    return model, holdout_accuracy(model, examples)
+    counted = (
+        bayes.as_features(examples.filter("NOT is_train"), FEATURES)
+        .groupBy("is_train", "bucket", *FEATURES)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return model, holdout_accuracy(model, counted)
 
 
-def train_linear(plays: DataFrame) -> LinearRegressionModel:
+def train_linear(plays: DataFrame, slice_ms: int = HOUR_MS) -> LinearRegressionModel:
     """Least squares of the gap on the same features, over all examples.
 
     Examples with equal features are replaced by their mean gap, weighted by their number.
     That leaves the solution unchanged and at most 168 rows per user to solve it from.
     """
     means = (
-        forward_gap_examples(plays)
+        forward_gap_examples(plays, slice_ms)
         .groupBy(*FEATURES)
         .agg(F.count(F.lit(1)).alias("n"), F.avg("gap_ms").alias("mean_gap"))
     )
@@ -166,10 +185,10 @@ def train_linear(plays: DataFrame) -> LinearRegressionModel:
     return regression.fit(assembler.transform(cut_lineage(means, "gap-means")))
 
 
-def linear_mse(model: LinearRegressionModel, plays: DataFrame) -> DataFrame:
+def linear_mse(model: LinearRegressionModel, plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """Mean squared error over all examples, as one row."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    scored = model.transform(assembler.transform(forward_gap_examples(plays)))
+    scored = model.transform(assembler.transform(forward_gap_examples(plays, slice_ms)))
     return scored.agg(F.avg(F.pow(F.col("predicted_gap") - F.col("gap_ms"), 2)).alias("mse"))
 
 

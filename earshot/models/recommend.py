@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.models.store import load_or_train
-from earshot.operators.items import artist_dimension, item_index, play_counts, song_dimension
+from earshot.operators.items import artist_dimension, item_index, names_of, play_counts, song_dimension
 from earshot.operators.users import Users, of_users
-from earshot.session import cut_lineage, ensure_checkpoint_dir
+from earshot.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 # The training parameters.
 RANK = 10
@@ -20,32 +22,32 @@ ITERATIONS = 10
 REGULARIZATION = 0.01
 SEED = 11
 
-# Factor blocks follow the number of ratings, up to one per shuffle partition.
-RATINGS_PER_BLOCK = 1_000_000
+# Factor blocks. They decide the first factors and so the answer; a parameter that is kept with
+# the model, never taken from the data or the session. Raise it for more ratings than fit ten tasks.
+BLOCKS = 10
+
+# Users and items that are scored against each other at a time.
+USER_BLOCK = 256
+ITEM_BLOCK = 1_024
 
 
 @dataclass(frozen=True)
 class Recommender:
-    """A factor model with what its item numbers mean and what its users had heard."""
+    """A factor model with what its item numbers mean."""
 
     als: ALSModel
     index: DataFrame
-    ratings: DataFrame
     item: str
 
 
-def _fit(plays: DataFrame, item: str) -> Recommender:
+def _fit(plays: DataFrame, item: str, blocks: int) -> Recommender:
     ensure_checkpoint_dir(plays.sparkSession)
-    numbered = item_index(plays, item).withColumn("item_index", F.col("item_index").cast("int"))
+    counts = cut_lineage(play_counts(plays, item), "play-counts")
+    numbered = item_index(counts, item).withColumn("item_index", F.col("item_index").cast("int"))
     index = cut_lineage(numbered, "item-index")
-    ratings = cut_lineage(
-        play_counts(plays, item)
-        .join(index, item)
-        .select("user_id", "item_index", F.col("play_count").cast("float").alias("rating")),
-        "ratings",
+    ratings = counts.join(index, item).select(
+        "user_id", "item_index", F.col("play_count").cast("float").alias("rating")
     )
-    widest = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(widest, ratings.count() // RATINGS_PER_BLOCK + 1)
     als = ALS(
         userCol="user_id",
         itemCol="item_index",
@@ -59,78 +61,126 @@ def _fit(plays: DataFrame, item: str) -> Recommender:
         numUserBlocks=blocks,
         numItemBlocks=blocks,
     )
-    return Recommender(als.fit(ratings), index, ratings, item)
+    # the order of ratings within a block decides how sums are rounded
+    ordered = cut_lineage(ratings.repartitionByRange(blocks, "user_id", "item_index").sortWithinPartitions("user_id", "item_index"), "ratings")
+    return Recommender(als.fit(ordered), index, item)
 
 
 def _save(model: Recommender, path: str) -> None:
     model.als.write().overwrite().save(f"{path}/als")
     model.index.write.mode("overwrite").parquet(f"{path}/index")
-    model.ratings.write.mode("overwrite").parquet(f"{path}/ratings")
 
 
-def train(plays: DataFrame, item: str, path: str | None = None, retrain: bool = False) -> Recommender:
+def train(
+    plays: DataFrame, item: str, path: str | None = None, retrain: bool = False, blocks: int = BLOCKS
+) -> Recommender:
     """Fit on all play counts of ``item`` (songId or artistId), or load from ``path``."""
 
     def load(spark: SparkSession, saved: str) -> Recommender:
-        index, ratings = spark.read.parquet(f"{saved}/index"), spark.read.parquet(f"{saved}/ratings")
-        return Recommender(ALSModel.load(f"{saved}/als"), index, ratings, item)
-
-    return load_or_train(plays.sparkSession, path, lambda: _fit(plays, item), _save, load, retrain)
-
-
-def recommend(model: Recommender, n: int, users: Users = None) -> DataFrame:
+        return Recommender(ALSModel.load(f"{saved}/als"), spark.read.parquet(f"{saved}/index"), item)
+
+    parameters = {"kind": "recommender", "item": item, "rank": RANK, "iterations": ITERATIONS, "blocks": blocks}
+    return load_or_train(plays.sparkSession, path, parameters, lambda: _fit(plays, item, blocks), _save, load, retrain)
+
+
+def _best(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks, every user's n best items that are not in ``heard`` (and ties)."""
+
+    def block(cell) -> tuple[np.ndarray, np.ndarray]:
+        ids = cell.values.field("id").to_numpy()
+        return ids, cell.values.field("features").flatten().to_numpy().reshape(len(ids), -1)
+
+    for batch in batches:
+        users_in, items_in, heard_in = (batch.column(batch.schema.get_field_index(c)) for c in ("users", "items", "heard"))
+        for row in range(batch.num_rows):
+            (user_ids, users), (item_ids, items) = block(users_in[row]), block(items_in[row])
+            # in double precision, so that the size of a block leaves no trace after rounding
+            scores = users.astype(np.float64) @ items.T.astype(np.float64)
+            heard = heard_in[row].values
+            if heard is not None and len(heard):
+                of = np.searchsorted(user_ids, heard.field("user_id").to_numpy())
+                at = np.searchsorted(item_ids, heard.field("item_index").to_numpy())
+                scores[of, at] = -np.inf
+            nth = -np.partition(-scores, min(n, len(item_ids)) - 1, axis=1)[:, min(n, len(item_ids)) - 1]
+            user, item = np.nonzero((scores >= nth[:, None]) & np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(user_ids[user]), pa.array(item_ids[item]), pa.array(scores[user, item].astype(np.float32))],
+                names=["user_id", "item_index", "score"],
+            )
+
+
+def recommend(model: Recommender, plays: DataFrame, n: int, users: Users = None) -> DataFrame:
     """The n best unheard items per user: ``user_id``, ``rank``, ``score`` and the item.
 
-    A user's best ``n + heard`` items hold at least n unheard ones, so the ranking never
-    needs the full list of unheard pairs. Users are handled in groups whose n + heard lies
-    below the same power of two, so a few heavy listeners do not lengthen everybody's list.
+    What is heard comes from ``plays``, so a play after training removes its item. The asked
+    users, in blocks, meet the catalogue, in blocks, once; each pair of blocks is one row whose
+    heard items are masked before its n best per user are taken. Rows are spread by (item block,
+    salt), so that a small catalogue is not one task.
     """
-    heard = of_users(model.ratings.select("user_id", "item_index"), users)
-    wanted = cut_lineage(
-        heard.groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("heard"))
-        .select("user_id", F.ceil(F.log2(F.col("heard") + n)).cast("int").alias("level")),
-        "heard-levels",
+    ship_package(plays.sparkSession)
+    heard = of_users(plays.select("user_id", model.item), users).distinct().join(model.index, model.item)
+    heard = cut_lineage(heard.select("user_id", "item_index"), "heard")
+    asked = heard.select(F.col("user_id").alias("id")).distinct()
+    known = cut_lineage(model.als.userFactors.join(asked, "id", "left_semi"), "asked-users")
+    user_blocks = known.count() // USER_BLOCK + 1
+    width = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def block_of_user(number):
+        return F.pmod(F.xxhash64(number), F.lit(user_blocks))
+
+    def gathered(factors: DataFrame, key: str) -> DataFrame:
+        return factors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "features"))).alias("members"))
+
+    by_item = cut_lineage(
+        gathered(model.als.itemFactors.withColumn("item_block", F.expr(f"id div {ITEM_BLOCK}")), "item_block"), "item-blocks"
     )
-    # at most one level per bit of a count
-    levels = sorted(row["level"] for row in wanted.select("level").distinct().collect())
-    n_items = model.index.count()
-    if not levels:
-        return _empty_answer(model)
-    ranked = reduce(
-        DataFrame.unionAll,
-        [
-            model.als.recommendForUserSubset(wanted.filter(F.col("level") == level), min(2**level, n_items))
-            for level in levels
-        ],
+    n_blocks = (by_item.agg(F.max("item_block")).first()[0] or 0) + 1
+    salts = -(-4 * width // n_blocks)
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    rated = heard.join(known.select(F.col("id").alias("user_id")), "user_id", "left_semi").join(
+        model.als.itemFactors.select(F.col("id").alias("item_index")), "item_index", "left_semi"
+    )
+    masks = rated.groupBy(
+        block_of_user(F.col("user_id")).alias("user_block"), F.expr(f"item_index div {ITEM_BLOCK}").alias("item_block")
+    ).agg(F.collect_list(F.struct("user_id", "item_index")).alias("heard"))
+    cells = (
+        gathered(known.withColumn("user_block", block_of_user(F.col("id"))), "user_block")
+        .withColumnRenamed("members", "users")
+        .withColumn("item_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        .join(masks, ["user_block", "item_block"], "left")
+        .withColumn("salt", F.pmod("user_block", F.lit(salts)))
+        .repartition(width, "item_block", "salt")
+        .join(
+            by_item.withColumnRenamed("members", "items").withColumn("salt", every_salt).repartition(width, "item_block", "salt"),
+            ["item_block", "salt"],
+        )
+    )
+    found = cells.select("users", "items", "heard").mapInArrow(
+        lambda batches: _best(batches, n), "user_id int, item_index int, score float"
     )
     by_score = Window.partitionBy("user_id").orderBy(F.desc("score"), model.item)
     return (
-        ranked.select("user_id", F.explode("recommendations").alias("r"))
-        .select("user_id", F.col("r.item_index").alias("item_index"), F.col("r.rating").alias("score"))
-        .join(heard, ["user_id", "item_index"], "left_anti")
-        .join(model.index, "item_index")
+        found.join(model.index, "item_index")
         .withColumn("rank", F.row_number().over(by_score))
         .filter(F.col("rank") <= n)
         .select("user_id", "rank", "score", model.item)
     )
 
 
-def _empty_answer(model: Recommender) -> DataFrame:
-    no_ratings = model.ratings.limit(0).select(
-        "user_id", F.lit(0).alias("rank"), F.col("rating").alias("score"), "item_index"
-    )
-    return no_ratings.join(model.index, "item_index").select("user_id", "rank", "score", model.item)
+def _named(model: Recommender, plays: DataFrame, n: int, users: Users, dimension: DataFrame) -> DataFrame:
+    """One item may be recommended to everybody, so names and answers meet as stored tables."""
+    answers = cut_lineage(recommend(model, plays, n, users), "recommendations")
+    return answers.join(names_of(answers, dimension, model.item), model.item)
 
 
 def recommend_songs(model: Recommender, plays: DataFrame, n: int, users: Users = None) -> DataFrame:
-    return recommend(model, n, users).join(song_dimension(plays), "songId").select(
+    return _named(model, plays, n, users, song_dimension(plays)).select(
         "user_id", "rank", "score", "artistId", "artist", "songId", "song"
     )
 
 
 def recommend_artists(model: Recommender, plays: DataFrame, n: int, users: Users = None) -> DataFrame:
-    return recommend(model, n, users).join(artist_dimension(plays), "artistId").select(
+    return _named(model, plays, n, users, artist_dimension(plays)).select(
         "user_id", "rank", "score", "artistId", "artist"
     )
 

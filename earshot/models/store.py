@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -11,23 +12,25 @@ from pyspark.sql import SparkSession
 Model = TypeVar("Model")
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
+def kept_parameters(spark: SparkSession, path: str) -> dict | None:
+    """The parameters of the model saved at ``path``; None if there is none or its save was cut short."""
     try:
-        marker = spark.read.text(f"{path}/state")
+        lines = [row["value"] for row in spark.read.text(f"{path}/state").collect()]
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
-            return False
+            return None
         raise
-    return [row["value"] for row in marker.collect()] == ["complete"]
+    return json.loads(lines[0])["parameters"] if lines and lines[0].startswith("{") else None
 
 
 def _mark(spark: SparkSession, path: str, state: str) -> None:
-    spark.createDataFrame([(state,)], "value string").write.mode("overwrite").text(f"{path}/state")
+    spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
 
 def load_or_train(
     spark: SparkSession,
     path: str | None,
+    parameters: dict,
     train: Callable[[], Model],
     save: Callable[[Model, str], None],
     load: Callable[[SparkSession, str], Model],
@@ -35,15 +38,17 @@ def load_or_train(
 ) -> Model:
     """Load the model at ``path`` or train and save it there; without a path, just train.
 
-    The path is the caller's, so they decide when new data means a new model. A marker says
-    when the save is over: one that was cut short is not mistaken for a model.
+    The path is the caller's, so they decide when new data means a new model. A marker holds
+    the parameters the model was trained with and says that the save is over: a model of
+    other parameters is replaced, and a save cut short is not mistaken for a model.
     """
     if path is None:
         return train()
-    if not retrain and is_complete(spark, path):
+    wanted = json.loads(json.dumps(parameters))
+    if not retrain and kept_parameters(spark, path) == wanted:
         return load(spark, path)
     model = train()
     _mark(spark, path, "saving")
     save(model, path)
-    _mark(spark, path, "complete")
+    _mark(spark, path, json.dumps({"parameters": wanted}, sort_keys=True))
     return model

@@ -30,6 +30,11 @@ def song_dimension(plays: DataFrame) -> DataFrame:
     return _latest_names(plays, "songId", ["artistId", "artist", "song"])
 
 
+def names_of(answers: DataFrame, dimension: DataFrame, item: str) -> DataFrame:
+    """Rows of ``dimension`` for the items in ``answers``, as a stored table."""
+    return cut_lineage(dimension.join(answers.select(item).distinct(), item, "left_semi"), "names")
+
+
 def play_counts(plays: DataFrame, item: str) -> DataFrame:
     """Plays per user and item, the rating that recommendations are trained on."""
     return plays.groupBy("user_id", item).agg(F.count(F.lit(1)).alias("play_count"))
@@ -100,18 +105,20 @@ def unheard_items(plays: DataFrame, item: str, users: Users = None) -> DataFrame
         .select("user_id", "range.*")
         .filter("low <= high")
     )
+    # A small catalogue is one block; the salt spreads the users who take slices of it.
+    salts = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = ranges.withColumn(
         "block", F.explode(F.expr(f"sequence(low div {BLOCK_ITEMS}, high div {BLOCK_ITEMS})"))
-    )
+    ).withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)))
     blocks = index.groupBy(F.expr(f"item_index div {BLOCK_ITEMS}").alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("item_index", item))).alias("items")
-    )
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     base = F.col("block") * BLOCK_ITEMS
     start = F.greatest(F.col("low") - base, F.lit(0))
     end = F.least(F.col("high") - base, F.lit(BLOCK_ITEMS - 1))
     taken = F.slice(F.col("items"), (start + 1).cast("int"), (end - start + 1).cast("int"))
     return (
-        pieces.join(blocks, "block")
+        pieces.join(blocks, ["block", "salt"])
         .select("user_id", F.explode(taken).alias("taken"))
         .select("user_id", F.col(f"taken.{item}").alias(item))
     )

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.time import slice_start
-from earshot.operators.timeline import HOUR_MS, play_order
+from earshot.operators.timeline import HOUR_MS, carried, play_order
+from earshot.session import cut_lineage
 
 # Fixed value: more than 20 minutes between two starts ends a session.
 SESSION_GAP_MS = 1_200_000
@@ -21,33 +22,61 @@ SESSION_GAP_MS = 1_200_000
 # Also for wider gaps, no task has to sort more than an hour of one user's plays.
 WIDEST_SLICE_MS = HOUR_MS
 
-# Top-n rows are broadcast up to this n, and joined by slice beyond it.
-BROADCAST_SESSIONS = 1_000
+# Sessions of slices narrower than this are numbered hour by hour, then within the hour.
+NARROW_SLICE_MS = 60_000
 
 
-def slice_width(gap_ms: int) -> int:
-    return max(1, min(gap_ms, WIDEST_SLICE_MS))
+def slice_width(gap_ms: int, slice_ms: int = WIDEST_SLICE_MS) -> int:
+    """No wider than the gap, the hour, and what ``slice_for`` found for a log with bursts."""
+    return max(1, min(gap_ms, slice_ms, WIDEST_SLICE_MS))
 
 
-def session_slices(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+def session_slices(
+    plays: DataFrame, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
+) -> DataFrame:
     """One row per user and non-empty slice: first and last play, session number.
 
     ``prev_ts`` is the user's last play before the slice.
     """
-    by_slice = Window.partitionBy("user").orderBy("slice")
-    starts = F.col("prev_ts").isNull() | (F.col("first_ts") - F.col("prev_ts") > gap_ms)
+    width = slice_width(gap_ms, slice_ms)
+    slices = plays.groupBy("user", slice_start(F.col("ts_ms"), width).alias("slice")).agg(
+        F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts")
+    )
+    starts = F.when(F.col("prev_ts").isNull() | (F.col("first_ts") - F.col("prev_ts") > gap_ms), 1).otherwise(0)
+    if width >= NARROW_SLICE_MS:
+        by_slice = Window.partitionBy("user").orderBy("slice")
+        return slices.withColumn("prev_ts", F.lag("last_ts").over(by_slice)).withColumn(
+            "user_session_id", F.sum(starts).over(by_slice)
+        )
+    edges = slices.withColumnRenamed("slice", "_slice").withColumn("prev_ts", F.col("last_ts"))
+    linked = (
+        carried(edges, width, back=True, value="prev_ts")
+        .withColumnRenamed("_slice", "slice")
+        .withColumn("_hour", slice_start(F.col("slice"), HOUR_MS))
+        .withColumn("_starts", starts)
+    )
+    before = Window.partitionBy("user").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = (
+        linked.groupBy("user", "_hour")
+        .agg(F.sum("_starts").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    in_hour = F.sum("_starts").over(Window.partitionBy("user", "_hour").orderBy("slice"))
     return (
-        plays.groupBy("user", slice_start(F.col("ts_ms"), slice_width(gap_ms)).alias("slice"))
-        .agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
-        .withColumn("prev_ts", F.lag("last_ts").over(by_slice))
-        .withColumn("user_session_id", F.sum(F.when(starts, 1).otherwise(0)).over(by_slice))
+        linked.withColumn("_in_hour", in_hour)
+        .join(hours, ["user", "_hour"])
+        .withColumn("user_session_id", F.col("_before") + F.col("_in_hour"))
+        .drop("_hour", "_starts", "_before", "_in_hour")
     )
 
 
-def sessionize(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+def sessionize(
+    plays: DataFrame, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
+) -> DataFrame:
     """Plays with ``pts``, ``pdiff``, ``is_new_session`` and ``user_session_id``."""
-    slices = session_slices(plays, gap_ms).select("user", "slice", "prev_ts", "user_session_id")
-    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms)))
+    slices = session_slices(plays, gap_ms, slice_ms).select("user", "slice", "prev_ts", "user_session_id")
+    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms, slice_ms)))
     in_slice = Window.partitionBy("user", "slice").orderBy(*play_order(plays))
     pts, pdiff = F.col("pts"), F.col("pdiff")
     return (
@@ -86,23 +115,19 @@ def longest_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) ->
 def top_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """Every play of the n longest sessions, longest session first, plays in order.
 
-    Up to ``BROADCAST_SESSIONS`` sessions go to the plays as n broadcast rows, so the log
-    itself is never shuffled. More sessions meet the plays by (user, slice).
+    The slices of these sessions are a stored table that meets the plays by (user, slice); its
+    size is known, so the planner sends it to the plays while it is small. A session that is
+    most of the log stays spread over its slices until the final sort.
     """
-    best = longest_sessions(plays, n, gap_ms)
-    if n <= BROADCAST_SESSIONS:
-        best = best.withColumnRenamed("user", "_user")
-        in_session = (F.col("user") == F.col("_user")) & F.col("ts_ms").between(
-            F.col("start_ts"), F.col("end_ts")
-        )
-        # spread the few matching plays first: a global sort samples its input, which must
-        # then be those plays and not another scan of the log
-        detailed = plays.join(F.broadcast(best), in_session).repartition("user", "user_session_id")
-    else:
-        slices = session_slices(plays, gap_ms).select("user", "slice", "user_session_id")
-        best_slices = slices.join(best, ["user", "user_session_id"])
-        sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms)))
-        detailed = sliced.join(best_slices, ["user", "slice"])
+    slices = session_slices(plays, gap_ms)
+    best = slices.select("user", "slice", "user_session_id").join(
+        longest_sessions(plays, n, gap_ms), ["user", "user_session_id"]
+    )
+    best = cut_lineage(best.select("user", "slice", "user_session_id", "session_length"), "longest-sessions")
+    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms)))
+    # spread the matching plays first: a global sort samples its input, which must then be those
+    # plays and not another scan of the log
+    detailed = sliced.join(best, ["user", "slice"]).repartition("user", "slice")
     return detailed.orderBy(
         F.desc("session_length"), "user", "user_session_id", *play_order(plays)
     ).select(
@@ -114,7 +139,9 @@ def top_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) -> Data
     )
 
 
-def sessions_sql(spark: SparkSession, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+def sessions_sql(
+    spark: SparkSession, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
+) -> DataFrame:
     """The SQL form of :func:`sessionize` over the view ``plays``, registered as ``sessions``."""
     sessions = spark.sql(
         """
@@ -149,7 +176,7 @@ def sessions_sql(spark: SparkSession, gap_ms: int = SESSION_GAP_MS) -> DataFrame
                user_session_id
         FROM gaps
         """,
-        args={"gap": gap_ms, "width": slice_width(gap_ms)},
+        args={"gap": gap_ms, "width": slice_width(gap_ms, slice_ms)},
     )
     sessions.createOrReplaceTempView("sessions")
     return sessions

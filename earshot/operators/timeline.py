@@ -3,8 +3,8 @@
 A plain ``PARTITION BY user`` window puts a user's whole history in one task, and one user
 may own a third of the log. Here the window runs per (user, slice of time). Only the first
 (or last) play of a slice has its neighbour elsewhere; those come from an *edge* table of
-one row per non-empty slice, whose own per-user window is bounded by the time span of the
-log over the slice width, not by the number of plays. The join that brings them back reuses
+one row per non-empty slice, whose own per-user window is bounded by the hours in the time
+span of the log, not by the number of plays (slices under an hour are carried in two levels). The join that brings them back reuses
 the window's partitioning, so plays are shuffled once.
 """
 
@@ -45,15 +45,42 @@ def slice_for(plays: DataFrame, plays_per_slice: int = PLAYS_PER_SLICE) -> int:
     return SLICE_WIDTHS_MS[-1]
 
 
+def carried(edges: DataFrame, slice_ms: int, back: bool, value: str = "_edge") -> DataFrame:
+    """``edges`` with ``value`` of the user's previous (or next) non-empty slice in its place.
+
+    Slices under an hour are carried within the hour, and from hour to hour by one row each, so
+    that a window over a user alone sees hours, however narrow the slices are.
+    """
+    step = F.lag if back else F.lead
+    if slice_ms >= HOUR_MS:
+        return edges.withColumn(value, step(value).over(Window.partitionBy("user").orderBy("_slice")))
+    hourly = edges.withColumn("_hour", slice_start(F.col("_slice"), HOUR_MS))
+    end = F.max_by(value, "_slice") if back else F.min_by(value, "_slice")
+    hours = (
+        hourly.groupBy("user", "_hour")
+        .agg(end.alias("_far"))
+        .withColumn("_far", step("_far").over(Window.partitionBy("user").orderBy("_hour")))
+    )
+    in_hour = Window.partitionBy("user", "_hour").orderBy("_slice")
+    return (
+        hourly.withColumn(value, step(value).over(in_hour))
+        .join(hours, ["user", "_hour"])
+        .withColumn(value, F.coalesce(value, "_far"))
+        .drop("_hour", "_far")
+    )
+
+
 def _with_edges(
     sliced: DataFrame,
+    slice_ms: int,
     here: Column,
     edge: Column,
-    neighbour: Column,
+    back: bool,
     name: str,
     describe: Callable[[DataFrame], DataFrame] = lambda edges: edges,
 ) -> DataFrame:
-    edges = sliced.groupBy("user", "_slice").agg(edge.alias("_edge")).withColumn("_edge", neighbour)
+    edges = sliced.groupBy("user", "_slice").agg(edge.alias("_edge"))
+    edges = carried(edges, slice_ms, back)
     return (
         sliced.withColumn("_here", here)
         .join(describe(edges), ["user", "_slice"])
@@ -66,12 +93,12 @@ def with_previous_ts(plays: DataFrame, slice_ms: int = HOUR_MS, name: str = "pts
     """Add the ``ts_ms`` of the same user's previous play; NULL for the first one."""
     sliced = plays.withColumn("_slice", slice_start(F.col("ts_ms"), slice_ms))
     in_slice = Window.partitionBy("user", "_slice").orderBy(*play_order(plays))
-    by_slice = Window.partitionBy("user").orderBy("_slice")
     return _with_edges(
         sliced,
+        slice_ms,
         here=F.lag("ts_ms").over(in_slice),
         edge=F.max("ts_ms"),
-        neighbour=F.lag("_edge").over(by_slice),
+        back=True,
         name=name,
     )
 
@@ -80,12 +107,12 @@ def with_next_ts(plays: DataFrame, slice_ms: int = HOUR_MS, name: str = "nts") -
     """Add the ``ts_ms`` of the same user's next play; NULL for the last one."""
     sliced = plays.withColumn("_slice", slice_start(F.col("ts_ms"), slice_ms))
     in_slice = Window.partitionBy("user", "_slice").orderBy(*play_order(plays))
-    by_slice = Window.partitionBy("user").orderBy("_slice")
     return _with_edges(
         sliced,
+        slice_ms,
         here=F.lead("ts_ms").over(in_slice),
         edge=F.min("ts_ms"),
-        neighbour=F.lead("_edge").over(by_slice),
+        back=False,
         name=name,
     )
 
@@ -102,7 +129,6 @@ def with_next_song(
     order = play_order(plays)
     sliced = plays.withColumn("_slice", slice_start(F.col("ts_ms"), slice_ms))
     in_slice = Window.partitionBy("user", "_slice").orderBy(*order)
-    by_slice = Window.partitionBy("user").orderBy("_slice")
 
     def described(edges: DataFrame) -> DataFrame:
         if profiles is None:
@@ -111,9 +137,10 @@ def with_next_song(
 
     return _with_edges(
         sliced,
+        slice_ms,
         here=F.lead("songId").over(in_slice),
         edge=F.min_by("songId", F.struct(*order)),
-        neighbour=F.lead("_edge").over(by_slice),
+        back=False,
         name="next_songId",
         describe=described,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions.text import user_number
+from earshot.session import cut_lineage
 from earshot.sources.profiles import one_per_user
 
 _LAST_FIELDS = ("user", "ts", "ts_ms", "artistId", "artist", "songId", "song", "song_id", "day_of_week", "hour_of_day")
@@ -48,9 +49,12 @@ def with_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """Left join on the user number; age and the code columns are 0 without a profile.
 
     Profiles grow with users, so whether they are broadcast is left to Spark's own size
-    estimates; in the sort-merge case adaptive execution splits a user with many rows.
+    estimates. They are made unique in a stored table first: then both sides of a sort-merge
+    join are bare exchanges, and adaptive execution can split a user with very many rows.
     """
-    known = one_per_user(profiles).select("user_id", "gender", "age", "country", "gender_id", "country_id")
+    known = cut_lineage(
+        one_per_user(profiles).select("user_id", "gender", "age", "country", "gender_id", "country_id"), "profiles"
+    )
     codes = {c: F.coalesce(c, F.lit(0)) for c in ("age", "gender_id", "country_id")}
     return rows.join(known, "user_id", "left").withColumns(codes)
 

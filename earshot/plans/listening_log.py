@@ -81,10 +81,12 @@ class ListeningLog:
     def top_sessions(self, n: int, gap_ms: int = sessions.SESSION_GAP_MS) -> DataFrame:
         return sessions.top_sessions(self.plays, n, gap_ms)
 
-    def predict_next_play_time(self, users: Asked = None) -> DataFrame:
+    def predict_next_play_time(self, users: Asked = None, exact: bool = False) -> DataFrame:
+        """From the gap after a play, by the hour; ``exact`` learns every gap before a play instead."""
+        kind = {"bucket_ms": 1, "forward": False} if exact else {}
         model = self._model(
-            "next_time",
-            lambda path: next_time.train(self.plays, path, retrain=self._retrain, slice_ms=self.slice_ms),
+            "next_time_exact" if exact else "next_time",
+            lambda path: next_time.train(self.plays, path, retrain=self._retrain, slice_ms=self.slice_ms, **kind),
         )
         return next_time.predict(model, self.plays, self._users(users))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,17 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    name = "earshot-package.zip"
+    if any(file.endswith(name) for file in context.listFiles):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="earshot-")) / name
+    with zipfile.ZipFile(archive, "w") as to:
+        for file in sorted(package.rglob("*.py")):
+            to.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))

@@ -5,8 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot import ListeningLog
@@ -118,18 +116,17 @@ def closed_form(examples, label, features):
     return lambda row: names[int(np.argmax(priors + weights @ np.array([float(row[f]) for f in features])))]
 
 
-@pytest.mark.parametrize("driver_classes", [bayes.DRIVER_CLASSES, 3])
-def test_next_song_equals_the_closed_form(monkeypatch, plays, profiles, driver_classes):
-    monkeypatch.setattr(bayes, "BLOCK_CLASSES", 4)
+@pytest.mark.parametrize("block_classes", [bayes.BLOCK_CLASSES, 4])
+def test_next_song_equals_the_closed_form(monkeypatch, plays, profiles, block_classes):
+    monkeypatch.setattr(bayes, "BLOCK_CLASSES", block_classes)
     examples = next_song.split_examples(plays, profiles)
-    model = next_song.train_on(examples, driver_classes)
-    assert isinstance(model, PipelineModel if driver_classes > 3 else DataFrame)
+    model = next_song.train_on(examples)
     rows = examples.collect()
     pick = closed_form([r for r in rows if r.is_train], "next_songId", next_song.FEATURES)
     test = [r for r in rows if not r.is_train]
     predicted = bayes.predict(model, examples.filter("NOT is_train"), next_song.FEATURES).collect()
     assert Counter(r.predicted_label for r in predicted) == Counter(pick(r) for r in test)
-    score = next_song.holdout_accuracy(model, examples).first()
+    score = next_song.holdout_accuracy(model, next_song.counted_examples(plays, profiles)).first()
     assert (score.correct, score.total) == (sum(pick(r) == r.next_songId for r in test), len(test))
     answers = {r.user_id: r.songId for r in next_song.predict(model, plays, profiles).collect()}
     last = plays_with_profile(last_play_by_user(plays), profiles).collect()
@@ -137,11 +134,10 @@ def test_next_song_equals_the_closed_form(monkeypatch, plays, profiles, driver_c
     assert next_song.predict(model, plays, profiles, [12345]).count() == 0
 
 
-@pytest.mark.parametrize("driver_classes", [bayes.DRIVER_CLASSES, 2])
 @pytest.mark.parametrize("bucket_ms, forward", [(1, False), (60_000, True), (next_time.HOUR_MS, True)])
-def test_next_time_equals_the_closed_form(plays, bucket_ms, forward, driver_classes):
+def test_next_time_equals_the_closed_form(plays, bucket_ms, forward):
     examples = next_time.split_examples(plays, bucket_ms, forward)
-    model = next_time.train_on(examples, driver_classes)
+    model = next_time.train_on(examples)
     training = [r for r in examples.collect() if r.is_train]
     pick = closed_form(training, "bucket", next_time.FEATURES)
     for last in last_play_by_user(plays).collect():
@@ -172,7 +168,7 @@ def test_linear_model_is_least_squares(plays):
 def test_recommendations_are_the_best_unheard_items(crowd, item):
     n = 4
     model = recommend.train(crowd, item)
-    found = recommend.recommend(model, n).collect()
+    found = recommend.recommend(model, crowd, n).collect()
     candidates = items.unheard_items(crowd, item).join(model.index, item)
     scored = model.als.transform(candidates).collect()
     for user in range(1, 41):
@@ -182,12 +178,74 @@ def test_recommendations_are_the_best_unheard_items(crowd, item):
         assert [r.score for r in mine] == pytest.approx(scores, rel=1e-5)
         allowed = {r[item] for r in scored if r.user_id == user}
         assert {r[item] for r in mine} <= allowed
-    some = recommend.recommend(model, n, [5, 999]).collect()
+    some = recommend.recommend(model, crowd, n, [5, 999]).collect()
     assert sorted(some) == sorted(r for r in found if r.user_id == 5)
-    assert recommend.recommend(model, n, [999]).collect() == []
-
-
-def test_models_are_kept_and_replaced(spark, plays, tmp_path, monkeypatch):
+    assert recommend.recommend(model, crowd, n, [999]).collect() == []
+
+
+def test_a_play_after_training_removes_its_item(spark, crowd, make_plays):
+    model = recommend.train(crowd, "songId")
+    best = {r.user_id: r for r in recommend.recommend(model, crowd, 1).collect()}
+    user = min(best)
+    again = make_plays([(f"user_{user:06d}", 2_000_000_000_000, "art", best[user].songId)])
+    after = recommend.recommend(model, crowd.unionByName(again), 1, [user]).collect()
+    assert [r.songId for r in after] != [best[user].songId]
+
+
+def test_factors_do_not_depend_on_the_session(spark, crowd):
+    before, answers = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for width in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        answers.append(sorted(recommend.recommend(recommend.train(crowd, "songId"), crowd, 3).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert answers[0] == answers[1]
+
+
+def test_user_factors_solve_their_normal_equations(crowd):
+    """ALS ends with the users' step: each factor is the regularised fit to the item factors."""
+    model = recommend.train(crowd, "songId")
+    index = {r.songId: r.item_index for r in model.index.collect()}
+    items_ = {r.id: np.array(r.features) for r in model.als.itemFactors.collect()}
+    users_ = {r.id: np.array(r.features) for r in model.als.userFactors.collect()}
+    counts = {}
+    for r in crowd.groupBy("user_id", "songId").count().collect():
+        counts.setdefault(r.user_id, []).append((index[r.songId], r["count"]))
+    errors = []
+    for user, rated in counts.items():
+        x = np.array([items_[i] for i, _ in rated])
+        y = np.array([n for _, n in rated], dtype=float)
+        left = x.T @ x + recommend.REGULARIZATION * len(rated) * np.eye(recommend.RANK)
+        solution = np.linalg.solve(left, x.T @ y)
+        errors.append(np.abs(x @ solution - x @ users_[user]).max() / (1 + np.abs(y).max()))
+    items_too = {}
+    for user, rated in counts.items():
+        for i, n in rated:
+            items_too.setdefault(i, []).append((user, n))
+    item_errors = []
+    for item, rated in items_too.items():
+        x = np.array([users_[u] for u, _ in rated])
+        y = np.array([n for _, n in rated], dtype=float)
+        left = x.T @ x + recommend.REGULARIZATION * len(rated) * np.eye(recommend.RANK)
+        item_errors.append(np.abs(x @ np.linalg.solve(left, x.T @ y) - x @ items_[item]).max() / (1 + np.abs(y).max()))
+    assert min(max(errors), max(item_errors)) < 1e-3
+
+
+def test_models_of_other_parameters_are_replaced(spark, plays, profiles, crowd, tmp_path):
+    path = str(tmp_path / "time")
+    exact = next_time.train(plays, path, bucket_ms=1, forward=False)
+    hourly = next_time.train(plays, path)
+    assert exact.medians.count() != 0 and store.kept_parameters(spark, path)["bucket_ms"] == next_time.HOUR_MS
+    assert sorted(hourly.medians.collect()) == sorted(next_time.train(plays).medians.collect())
+    path = str(tmp_path / "items")
+    recommend.train(crowd, "songId", path)
+    assert "artistId" in recommend.train(crowd, "artistId", path).index.columns
+    assert recommend.train(crowd, "artistId", path, blocks=3).als.rank == recommend.RANK
+    assert store.kept_parameters(spark, path)["blocks"] == 3
+    next_song.train(plays, profiles, path)
+    assert store.kept_parameters(spark, path)["kind"] == "next_song"
+
+
+def test_models_are_kept_and_replaced(spark, plays, tmp_path):
     path, trained = str(tmp_path / "model"), []
 
     def fit():
@@ -195,7 +253,7 @@ def test_models_are_kept_and_replaced(spark, plays, tmp_path, monkeypatch):
         return next_time.train(plays)
 
     def get(retrain=False):
-        return store.load_or_train(spark, path, fit, next_time._save, lambda s, p: p, retrain)
+        return store.load_or_train(spark, path, {"a": 1}, fit, next_time._save, lambda s, p: p, retrain)
 
     get()
     assert get() == path and len(trained) == 1
@@ -214,11 +272,11 @@ def test_a_save_cut_short_is_not_a_model(spark, tmp_path, had_one):
         raise OSError("disk full")
 
     if had_one:
-        store.load_or_train(spark, path, lambda: 1, keeps, lambda s, p: 2)
-        assert store.is_complete(spark, path)
+        store.load_or_train(spark, path, {}, lambda: 1, keeps, lambda s, p: 2)
+        assert store.kept_parameters(spark, path) == {}
     with pytest.raises(OSError):
-        store.load_or_train(spark, path, lambda: 1, fails, lambda s, p: 2, retrain=True)
-    assert not store.is_complete(spark, path)
+        store.load_or_train(spark, path, {}, lambda: 1, fails, lambda s, p: 2, retrain=True)
+    assert store.kept_parameters(spark, path) is None
 
 
 def test_all_questions_with_stored_models(crowd, profiles, tmp_path):
@@ -247,11 +305,10 @@ def test_all_questions_with_stored_models(crowd, profiles, tmp_path):
     assert first.top_sessions(2).select("user", "sessionId").distinct().count() == 2
 
 
-def test_stored_block_models(spark, plays, profiles, tmp_path):
+def test_stored_song_models(spark, plays, profiles, tmp_path):
     path = str(tmp_path / "model")
-    model = next_song.train(plays, profiles, path, driver_classes=3)
+    model = next_song.train(plays, profiles, path)
     again = next_song.train(plays, profiles, path)
-    assert isinstance(again, DataFrame)
     assert sorted(next_song.predict(model, plays, profiles).collect()) == sorted(
         next_song.predict(again, plays, profiles).collect()
     )

@@ -182,3 +182,24 @@ def test_identified_plays_drop_null_and_empty_ids(spark):
 
 def test_raw_log_keeps_unreadable_lines(spark, files):
     assert read_raw_log(spark, str(files / "log.tsv")).count() == len(LOG)
+
+
+def test_long_numbers_are_not_cut(spark, tmp_path):
+    from compare import connect
+
+    from workload import event_tables, oracle
+
+    path = str(tmp_path / "events.parquet")
+    numbers = spark.createDataFrame([(1, 1_000_000, 1234), (2, 1_000_009, 1235), (3, 7, 5)], "event_id bigint, user_id bigint, k int")
+    numbers.select(
+        "event_id",
+        "user_id",
+        F.lit("click").alias("event_type"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+        F.format_string('{"k": %d}', "k").alias("props"),
+    ).coalesce(1).write.parquet(path)
+    ours = {(r.user, r.artistId) for r in event_tables.raw_log(spark, str(tmp_path)).collect()}
+    assert ours == {("user_1000000", "art_1234"), ("user_1000009", "art_1235"), ("user_000007", "art_005")}
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert set(con.execute(oracle.sql('SELECT "user", "artistId" FROM raw')).fetchall()) == ours

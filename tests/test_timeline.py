@@ -98,7 +98,7 @@ def test_the_gap_is_strict(make_plays):
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 10_000])
-def test_top_sessions_with_and_without_broadcast(make_plays, skewed_rows, monkeypatch, n):
+def test_top_sessions_match_a_plain_loop(spark, make_plays, skewed_rows, n):
     plays = make_plays(skewed_rows)
     expected = {}
     for *play, _, _, session in expected_sessions(skewed_rows, sessions.SESSION_GAP_MS):
@@ -110,8 +110,10 @@ def test_top_sessions_with_and_without_broadcast(make_plays, skewed_rows, monkey
         for p in plays_
     ]
     assert [tuple(r) for r in sessions.top_sessions(plays, n).collect()] == rows
-    monkeypatch.setattr(sessions, "BROADCAST_SESSIONS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert [tuple(r) for r in sessions.top_sessions(plays, n).collect()] == rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_longest_sessions_by_length_in_descending_order(make_plays, skewed_rows):

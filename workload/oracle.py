@@ -14,14 +14,14 @@ raw0 AS (
 ),
 raw AS (
   SELECT event_id,
-         'user_' || lpad(CAST(uid AS VARCHAR), 6, '0') AS "user",
+         printf('user_%06d', CAST(uid AS BIGINT)) AS "user",
          ts,
          CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms,
          CASE WHEN event_type = 'signup' AND k % 10 = 0 THEN ''
-              ELSE 'art_' || lpad(CAST(k AS VARCHAR), 3, '0') END AS "artistId",
+              ELSE printf('art_%03d', k) END AS "artistId",
          'Artist ' || k AS artist,
          CASE WHEN event_type = 'error' THEN ''
-              ELSE 'song_' || lpad(CAST(k AS VARCHAR), 3, '0') || '_' || event_type END AS "songId",
+              ELSE printf('song_%03d', k) || '_' || event_type END AS "songId",
          'Song ' || k || ' ' || event_type AS song
   FROM raw0
 ),
@@ -33,7 +33,7 @@ plays AS (
   FROM raw WHERE "artistId" <> '' AND "songId" <> ''
 ),
 profile_fields AS (
-  SELECT 'user_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS "user",
+  SELECT printf('user_%06d', CAST(c_custkey AS BIGINT)) AS "user",
          CASE c_mktsegment WHEN 'BUILDING' THEN 'm' WHEN 'AUTOMOBILE' THEN 'M'
                            WHEN 'MACHINERY' THEN 'f' ELSE '' END AS gender,
          CAST(CASE WHEN c_acctbal < 0 THEN 0 ELSE 15 + c_custkey % 60 END AS INTEGER) AS age,
@@ -112,6 +112,19 @@ last_plays AS (
 )
 """
 
+# Every gap before a play is its own class.
+EXACT_GAPS = """
+lagged AS (
+  SELECT *, lag(ts_ms) OVER (PARTITION BY "user" ORDER BY ts_ms, "artistId", "songId", event_id) AS pts FROM plays
+),
+examples AS (
+  SELECT *, coalesce(ts_ms - pts, 0) AS gap_ms, lpad(CAST(coalesce(ts_ms - pts, 0) AS VARCHAR), 19, '0') AS bucket FROM lagged
+),
+last_plays AS (
+  SELECT * FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DESC) = 1
+)
+"""
+
 NEXT_TIME = """
 followed AS (
   SELECT *, lead(ts_ms) OVER (PARTITION BY "user" ORDER BY ts_ms, "artistId", "songId", event_id) AS nts FROM plays
@@ -182,6 +195,21 @@ WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = u.user_id AND p."{key}
 """
 
 
+def _recommend_check(key: str) -> str:
+    """Every user gets five items, or as many as they have not heard."""
+    return f"""
+SELECT user_id, least(5, (SELECT count(DISTINCT "{key}") FROM plays) - count(DISTINCT "{key}")) AS n_items,
+       true AS ranks_run, true AS scores_fall, true AS none_heard
+FROM plays GROUP BY user_id
+"""
+
+
+_ASKED = """
+asked AS (
+  SELECT user_id FROM plays GROUP BY "user", user_id ORDER BY count(DISTINCT "songId") DESC, "user" LIMIT 10
+)
+"""
+
 _SESSION_ROWS = 'SELECT event_id, "user", ts_ms, pts, pdiff, is_new_session, user_session_id FROM sessions'
 
 # Least squares by Cramer's rule on the covariances of three features.
@@ -208,8 +236,16 @@ _LINEAR_GAP = "mg + bx * (user_id - mx) + by_ * (day_of_week - my) + bz * (hour_
 
 _LINEAR_PREDICTION = f"""
 SELECT user_id, "user",
-       CAST(round(round({_LINEAR_GAP}) / 1000) AS BIGINT) AS predicted_gap_s
-FROM last_plays CROSS JOIN solved
+       ts AS last_ts, gap_s AS predicted_gap_s, ts + to_microseconds(gap_s * 1000000) AS predicted_ts
+FROM (SELECT *, CAST(round(round({_LINEAR_GAP}) / 1000) AS BIGINT) AS gap_s FROM last_plays CROSS JOIN solved)
+"""
+
+_PREDICTED_TIME = f"""
+SELECT l.user_id, l."user", l.ts AS last_ts, m.gap AS predicted_gap_ms,
+       l.ts + to_microseconds(m.gap * 1000) AS predicted_ts
+FROM last_plays l JOIN predicted p ON p.key = l.user_id
+JOIN (SELECT CAST(bucket AS VARCHAR) AS label, CAST(floor(quantile_cont(gap_ms, 0.5)) AS BIGINT) AS gap
+      FROM examples WHERE {SPLIT} GROUP BY bucket) m ON m.label = p.label
 """
 
 _LINEAR_ERROR = f"""
@@ -274,6 +310,15 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DE
     ),
     "unheard_artists": sql(_unheard("artistId")),
     "unheard_songs": sql(_unheard("songId")),
+    "recommend_artists_check": sql(_recommend_check("artistId")),
+    "recommend_songs_check": sql(_recommend_check("songId")),
+    "last_play_of_asked": sql(
+        """
+SELECT user_id, "user", ts_ms, "artistId", "songId" FROM plays JOIN asked USING (user_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DESC, "artistId" DESC) = 1""",
+        _ASKED,
+    ),
+    "unheard_songs_of_asked": sql(f"SELECT * FROM ({_unheard('songId')}) JOIN asked USING (user_id)", _ASKED),
     "next_song_pairs": sql(
         'SELECT event_id, "user", ts_ms, "songId", next_songId AS "next_songId" FROM examples', PROFILES, NEXT_SONG
     ),
@@ -305,14 +350,10 @@ JOIN ({_dimension("songId", ["artistId", "artist", "song"])}) d ON d."songId" =
     ),
     "forward_gap_examples": sql("SELECT event_id, user_id, day_of_week, hour_of_day, gap_ms FROM examples", NEXT_TIME),
     "predict_next_play_time": sql(
-        f"""
-SELECT l.user_id, l."user", l.ts AS last_ts, m.gap AS predicted_gap_ms,
-       l.ts + to_microseconds(m.gap * 1000) AS predicted_ts
-FROM last_plays l JOIN predicted p ON p.key = l.user_id
-JOIN (SELECT CAST(bucket AS VARCHAR) AS label, CAST(floor(quantile_cont(gap_ms, 0.5)) AS BIGINT) AS gap
-      FROM examples WHERE {SPLIT} GROUP BY bucket) m ON m.label = p.label""",
-        NEXT_TIME,
-        bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id"),
+        _PREDICTED_TIME, NEXT_TIME, bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id")
+    ),
+    "predict_next_play_time_exact": sql(
+        _PREDICTED_TIME, EXACT_GAPS, bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id")
     ),
     "next_time_accuracy": sql(
         _accuracy("bucket"),

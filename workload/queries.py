@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.functions.text import hash_key31
+from earshot.functions.text import hash_key31, user_number
+from earshot.functions.time import plus_ms
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import items, rankings, sessions, splits, timeline, users
 from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
 from earshot.sources.tables import register_views
-from workload.event_tables import plays, profile_lines, profiles, raw_log, write_log_lines
+from workload.event_tables import plays, profiles, raw_log, write_log_lines, write_profile_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +30,7 @@ def scan_play_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_profiles(profile_lines(spark, sf_dir))
+    return parse_profiles(spark.read.text(write_profile_lines(spark, sf_dir)))
 
 
 def user_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +121,15 @@ def next_time_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_time_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps in whole seconds: the last digits of a millisecond depend on the order of sums."""
     log = plays(spark, sf_dir)
+    seconds = F.round(F.col("predicted_gap_ms") / 1000).cast("long")
     return next_time.predict_linear(next_time.train_linear(log), log).select(
-        "user_id", "user", F.round(F.col("predicted_gap_ms") / 1000).cast("long").alias("predicted_gap_s")
+        "user_id",
+        "user",
+        "last_ts",
+        seconds.alias("predicted_gap_s"),
+        plus_ms(F.col("last_ts"), seconds * 1000).alias("predicted_ts"),
     )
 
 
@@ -132,6 +139,11 @@ def next_time_linear_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mse.select(F.round(F.sqrt("mse") / 1000).cast("long").alias("rmse_s"))
 
 
+def predict_next_play_time_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = plays(spark, sf_dir)
+    return next_time.predict(next_time.train(log, bucket_ms=1, forward=False), log)
+
+
 def recommend_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = plays(spark, sf_dir)
     return recommend.recommend_songs(recommend.train(log, "songId"), log, RECOMMENDATIONS)
@@ -142,6 +154,50 @@ def recommend_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.recommend_artists(recommend.train(log, "artistId"), log, RECOMMENDATIONS)
 
 
+def _recommend_check(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
+    """What must hold of every user's recommendations, one row per user."""
+    log = plays(spark, sf_dir)
+    found = recommend.recommend(recommend.train(log, item), log, RECOMMENDATIONS)
+    heard = log.select("user_id", item).distinct().withColumn("was_heard", F.lit(True))
+    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    by_user = (
+        found.join(heard, ["user_id", item], "left")
+        .withColumn("before", before)
+        .groupBy("user_id")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_distinct("rank").alias("ranks"),
+            F.max("rank").alias("last"),
+            F.count_if(F.col("score") > F.col("before")).alias("rises"),
+            F.count("was_heard").alias("n_heard"),
+        )
+    )
+    return (
+        log.select("user_id").distinct().join(by_user, "user_id", "left").select(
+            "user_id",
+            F.coalesce("n", F.lit(0)).alias("n_items"),
+            F.coalesce((F.col("ranks") == F.col("n")) & (F.col("last") == F.col("n")), F.lit(True)).alias("ranks_run"),
+            F.coalesce(F.col("rises") == 0, F.lit(True)).alias("scores_fall"),
+            F.coalesce(F.col("n_heard") == 0, F.lit(True)).alias("none_heard"),
+        )
+    )
+
+
+def asked_users(log: DataFrame) -> DataFrame:
+    """The users of ``top_users``, as a table."""
+    return rankings.top_users(log, TOP_N).select(user_number(F.col("userName")).alias("user_id"))
+
+
+def last_play_of_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = plays(spark, sf_dir)
+    return users.last_play_by_user(log, asked_users(log)).select("user_id", "user", "ts_ms", "artistId", "songId")
+
+
+def unheard_of_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = plays(spark, sf_dir)
+    return items.unheard_items(log, "songId", asked_users(log))
+
+
 QUERIES: dict[str, Query] = {
     "scan_play_log": scan_play_log,
     "scan_user_profiles": scan_user_profiles,
@@ -168,6 +224,10 @@ QUERIES: dict[str, Query] = {
     "unheard_songs": lambda spark, sf_dir: items.unheard_items(plays(spark, sf_dir), "songId"),
     "recommend_artists": recommend_artists,
     "recommend_songs": recommend_songs,
+    "recommend_artists_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "artistId"),
+    "recommend_songs_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "songId"),
+    "last_play_of_asked": last_play_of_asked,
+    "unheard_songs_of_asked": unheard_of_asked,
     "next_song_pairs": next_song_pairs,
     "next_song_examples": next_song_examples,
     "train_test_split": train_test_split,
@@ -176,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "gap_examples": gap_examples,
     "forward_gap_examples": forward_gap_examples,
     "predict_next_play_time": predict_next_play_time,
+    "predict_next_play_time_exact": predict_next_play_time_exact,
     "next_time_accuracy": next_time_accuracy,
     "next_time_linear": next_time_linear,
     "next_time_linear_error": next_time_linear_error,
