@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.session import cut_lineage
+from earshot.session import cut_lineage, ship_package
 
 #: White space that separates words: space and the characters 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,6 +16,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+#: Rows that travel together between the JVM and Python; texts can be long.
+BATCH_ROWS = 1_000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,14 +45,7 @@ def narrow(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
-    context = spark.sparkContext
-    name = "earshot-package.zip"
-    if any(file.endswith(name) for file in context.listFiles):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="earshot-")) / name
-    with zipfile.ZipFile(archive, "w") as to:
-        for file in sorted(package.rglob("*.py")):
-            to.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    """Make ready for Python workers: they get this package, and texts in batches that stay small."""
+    ship_package(spark)
+    if int(spark.conf.get(ROWS_SETTING)) > BATCH_ROWS:
+        spark.conf.set(ROWS_SETTING, BATCH_ROWS)

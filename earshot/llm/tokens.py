@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
 
-#: Chunks that one Python worker remembers (about 60 MB); then it starts anew.
-REMEMBERED = 200_000
+#: Chunks that one Python worker remembers (about 15 MB); then it starts anew.
+REMEMBERED = 60_000
 LONGEST_REMEMBERED = 40
 DOUBLE_SPACE = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -63,13 +64,13 @@ class ByteEncoder:
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.by_rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
-        self.special = {token.content: number for number, token in self.library.get_added_tokens_decoder().items()}
+        self.path = path
+        with open(path, "rb") as file:
+            self.special = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
         self.any_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         size = max(max(ranks.values()), *self.special.values(), 0) + 1
         self.byte_lengths = np.zeros(size, dtype=np.int64)
@@ -79,6 +80,13 @@ class ByteEncoder:
             self.byte_lengths[number] = len(token.encode())
         self.words = Remembered(lambda word: self._fresh(" " + word))
 
+    @functools.cached_property
+    def library(self):
+        """Loaded when a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _fresh(self, chunk: str) -> bytes:
         if LATIN.fullmatch(chunk):
             return pack_ids(self.by_rank.encode_ordinary(chunk))
