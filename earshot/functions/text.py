@@ -30,13 +30,21 @@ def gender_code(gender: Column) -> Column:
 
 
 def hash_key31(text: Column) -> Column:
-    """Java's ``String.hashCode`` without its sign bit, for text in the Basic Multilingual Plane.
+    """Java's ``String.hashCode`` without its sign bit: over UTF-16 code units.
 
-    Distinct texts may collide, so this is a numeric feature and never a join key.
+    A letter beyond the Basic Multilingual Plane counts as its two surrogates. Distinct texts
+    may collide, so this is a numeric feature and never a join key.
     """
-    folded = F.aggregate(
-        F.split(text, ""),
-        F.lit(0).cast("long"),
-        lambda key, letter: (key * 31 + F.ascii(letter)).bitwiseAND(F.lit(_UNSIGNED_32_BITS)),
-    )
-    return folded.bitwiseAND(F.lit(_UNSIGNED_31_BITS)).cast("int")
+
+    def folded(key: Column, unit: Column) -> Column:
+        return (key * 31 + unit).bitwiseAND(F.lit(_UNSIGNED_32_BITS))
+
+    def letter(key: Column, point: Column) -> Column:
+        beyond = point - 0x10000
+        high = F.shiftright(beyond, 10) + 0xD800
+        low = beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(point < 0x10000, folded(key, point)).otherwise(folded(folded(key, high), low))
+
+    start = F.lit(0).cast("long")
+    key = F.aggregate(F.split(text, ""), start, lambda so_far, one: letter(so_far, F.ascii(one)))
+    return key.bitwiseAND(F.lit(_UNSIGNED_31_BITS)).cast("int")

@@ -110,11 +110,12 @@ def test_text_functions(spark):
 def test_hash_key_is_the_java_string_hash(spark):
     def expected(text):
         key = 0
-        for letter in text:
-            key = (key * 31 + ord(letter)) & 0xFFFFFFFF
+        units = text.encode("utf-16-be")
+        for at in range(0, len(units), 2):
+            key = (key * 31 + int.from_bytes(units[at : at + 2], "big")) & 0xFFFFFFFF
         return key & 0x7FFFFFFF
 
-    texts = ["hello", "", "żółć", "Aa", "BB", "polygenelubricants", str(uuid.UUID(int=2**127 + 12345))]
+    texts = ["hello", "", "żółć", "Aa", "BB", "polygenelubricants", str(uuid.UUID(int=2**127 + 12345)), "a😀b", "\U0010ffff\U00010000\uffff"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(hash_key31(F.col("t"))).collect()]
     assert got == [expected(t) for t in texts]
