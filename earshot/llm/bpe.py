@@ -71,7 +71,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.tokens = {number: token for token, number in self.library.get_vocab().items()}
+        vocabulary = self.library.get_vocab()
+        self.tokens = np.full(max(vocabulary.values()) + 1, "", dtype=object)
+        self.tokens[list(vocabulary.values())] = list(vocabulary)
         self.letters = byte_letters()
         self.parts = Remembered(self._merged)
         self.chunks = Remembered(self._of_chunk)
@@ -88,11 +90,11 @@ class WordEncoder:
         """Packed ids."""
         return b"".join(map(self.chunks.__getitem__, chunks(text)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """As the library's decode, which joins tokens by spaces where a file names no decoder."""
         if self.library.decoder is not None:
-            return self.library.decode(ids, skip_special_tokens=False)
-        return " ".join(map(self.tokens.__getitem__, ids))
+            return self.library.decode(list(map(int, ids)), skip_special_tokens=False)
+        return " ".join(self.tokens[np.asarray(ids, dtype=np.int64)].tolist())
 
 
 @functools.cache
@@ -227,7 +229,7 @@ def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in few_rows(batches):
-            found = [encoder.decode(ids) for ids in batch.column(1).to_pylist()]
+            found = [encoder.decode(ids.values.to_numpy()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", "decoded"])
 
     ship(encoded_docs.sparkSession)
