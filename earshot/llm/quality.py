@@ -4,17 +4,17 @@ Method: lines are normalised (lower case, letters and digits only) and hashed; d
 are counted per host and line; lines of more documents than the limit are removed; a document is
 rejected when little of it is left. The host is the ``source`` column.
 
-Copies of one document would make all of their own lines frequent. So, for a line, documents are
-told apart by what else they hold, the smallest hash among their other lines: copies share it,
-documents that only have the line in common don't. And the first document (smallest ``doc_id``)
-with a line keeps it, so one of any group of alike documents stays.
+Copies of one document would make all of their own lines frequent. So rows are one document if the
+hash of all their lines in order is the same, and two whatever else they share if it is not. And
+the first document (smallest ``doc_id``) with a line keeps it, so one of any group of alike
+documents stays.
 
 A null text has no words (and fails the base rules); null hosts form one host. Rows that repeat a
 ``doc_id`` are measured one by one and share the decision about their lines. An empty table gives
 no rows.
 
 Scale: base measures stay inside a row. Lines are shuffled as three integers, counted with
-map-side sums over (host, line, document mark) and then (host, line). A host has at most
+map-side sums over (host, line, document hash) and then (host, line). A host has at most
 ``lines per document / share`` frequent lines. They meet the lines in a join of stored tables,
 which adaptive execution broadcasts when small and splits when a line is very common.
 """
@@ -104,12 +104,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(measures: DataFrame) -> DataFrame:
     """``host, line, first_id`` of the lines over the limit."""
-    least = F.array_sort(F.array_distinct("lines.line"))
-    marks = measures.select("doc_id", "host", least.alias("least")).select(
-        "doc_id", "host", F.get("least", F.lit(0)).alias("one"), F.get("least", F.lit(1)).alias("two"), F.explode("least").alias("line")
+    each = measures.select(
+        "doc_id", "host", F.xxhash64("lines.line").alias("document"), F.explode(F.array_distinct("lines.line")).alias("line")
     )
-    mark = F.when(F.col("line") == F.col("one"), F.coalesce("two", "one")).otherwise(F.col("one"))
-    spread = marks.groupBy("host", "line", mark.alias("mark")).agg(F.min("doc_id").alias("first_id"))
+    spread = each.groupBy("host", "line", "document").agg(F.min("doc_id").alias("first_id"))
     counts = spread.groupBy("host", "line").agg(F.count("*").alias("n_documents"), F.min("first_id").alias("first_id"))
     hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
     common = stored(counts.filter(F.col("n_documents") >= MIN_DOCUMENTS), "common-lines")

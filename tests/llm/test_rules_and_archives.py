@@ -80,6 +80,17 @@ def test_documents_of_common_lines_go_and_copies_stay(spark):
     assert all(found[600 + at].kept for at in range(50))
 
 
+def test_documents_of_a_shared_header_and_footer_go(spark):
+    """Different texts around two common lines, which must not count as one for sharing both."""
+    header, footer = (" ".join(f"{name}{at}" for at in range(40)) for name in ("header", "footer"))
+    rows = [(at, f"{header}\nown text {at}\n{footer}", "h") for at in range(60)]
+    rows += [(100 + at, " ".join(f"w{at}x{k}" for k in range(60)), "h") for at in range(100)]
+    found = {row.doc_id: row for row in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert not any(row.base_failed for row in found.values())
+    assert [at for at in range(60) if found[at].kept] == [0]
+    assert all(found[100 + at].kept for at in range(100))
+
+
 def test_licenses_by_text_and_line(spark):
     mit = next(text for name, text in licenses.KNOWN if name == "MIT" and len(text) > 100)
     rows = [
