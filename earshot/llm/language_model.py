@@ -3,13 +3,20 @@
 Every word is predicted from the words on both sides of it: the sum over a document of the
 conditional log-probabilities is its pseudo-log-likelihood. The model is a small network in numpy:
 embeddings of the ``WINDOW`` words to the left and to the right, a hidden layer, and a softmax in
-two levels (class of the word, word in its class) over ``WORDS`` hashed words.
+two levels over groups of words, which share the low bits of their hash. The last level, the word
+in its group, is the word's share of the group's occurrences in a vocabulary counted over all
+documents. The number of groups grows with the vocabulary (one for at most ``PER_GROUP`` words,
+from ``WORDS`` to ``MOST_WORDS``), the vocabulary without limit.
+
+The vocabulary is a stored table of 64-bit word hashes and counts. Words that are over one in
+``COMMON`` of all occurrences, fewer than ``COMMON`` by that, are sent to the tasks; all others
+meet the vocabulary in a join, in which no word is hot.
 
 Training reads all documents once. They are dealt into ``ROUNDS`` parts by a hash; in each round
 every task continues from the common weights with its own documents of that part (Adagrad steps
 over batches of positions), and the weights of all tasks, in proportion to their positions, become
 the next common ones. Task weights are averaged as a tree of groups of ``FAN_IN``, so what meets in
-one task or the driver is a bounded number of weight vectors (about 150 kB each). A task that is
+one task or the driver is a bounded number of weight vectors (150 kB to 4.4 MB each). A task that is
 run again gives the same weights; other splits of the input give a slightly different model.
 
 Words are runs without white space, lower-cased. A null text or one without words has no tokens and
@@ -31,6 +38,9 @@ from earshot.llm.common import ship, stored, text_or_empty
 
 CLASSES, PER_CLASS = 32, 32
 WORDS = CLASSES * PER_CLASS
+MOST_WORDS = 32_768
+PER_GROUP = 2_048
+COMMON = 65_536
 WINDOW = 3
 HIDDEN = 16
 ROUNDS = 4
@@ -39,16 +49,29 @@ BATCH = 4096
 RATE = 0.1
 SEED = 11
 
-SHAPES = {
-    "left": (WORDS + 1, HIDDEN),
-    "right": (WORDS + 1, HIDDEN),
-    "shift": (HIDDEN,),
-    "to_class": (HIDDEN, CLASSES),
-    "class_bias": (CLASSES,),
-    "to_word": (HIDDEN, PER_CLASS),
-    "word_bias": (CLASSES, PER_CLASS),
-}
-SIZES = {name: int(np.prod(shape)) for name, shape in SHAPES.items()}
+
+
+def shapes(size: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights for ``size`` groups of words, a power of two."""
+    per_class = 1 << (size.bit_length() - 1) // 2
+    return {
+        "left": (size + 1, HIDDEN),
+        "right": (size + 1, HIDDEN),
+        "shift": (HIDDEN,),
+        "to_class": (HIDDEN, size // per_class),
+        "class_bias": (size // per_class,),
+        "to_word": (HIDDEN, per_class),
+        "word_bias": (size // per_class, per_class),
+    }
+
+
+def sizes(size: int) -> dict[str, int]:
+    return {name: int(np.prod(shape)) for name, shape in shapes(size).items()}
+
+
+SIZES = sizes(WORDS)
+#: Groups of words by the length of a weight vector.
+GROUPS = {sum(sizes(WORDS << k).values()): WORDS << k for k in range((MOST_WORDS // WORDS).bit_length())}
 #: Weight of the word at distance 1, 2, ... in the sum of its side.
 NEARNESS = np.array([1 / (1 + at) for at in range(WINDOW)], dtype=np.float32)
 
@@ -56,28 +79,36 @@ Weights = dict[str, np.ndarray]
 
 
 def split_weights(flat: np.ndarray) -> Weights:
-    parts = np.split(flat, np.cumsum(list(SIZES.values()))[:-1])
-    return {name: part.reshape(shape) for (name, shape), part in zip(SHAPES.items(), parts)}
+    size = GROUPS[len(flat)]
+    parts = np.split(flat, np.cumsum(list(sizes(size).values()))[:-1])
+    return {name: part.reshape(shape) for (name, shape), part in zip(shapes(size).items(), parts)}
 
 
-def first_weights() -> np.ndarray:
-    flat = np.random.default_rng(SEED).normal(0, 0.1, sum(SIZES.values())).astype(np.float32)
+def first_weights(size: int = WORDS) -> np.ndarray:
+    flat = np.random.default_rng(SEED).normal(0, 0.1, sum(sizes(size).values())).astype(np.float32)
     weights = split_weights(flat)
-    weights["left"][WORDS] = weights["right"][WORDS] = 0  # what stands beyond the ends
+    weights["left"][size] = weights["right"][size] = 0  # what stands beyond the ends
     return flat
 
 
-def word_numbers(text: str) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     words = text.lower().encode().split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return (hashes % np.uint64(WORDS)).astype(np.uint16)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def groups_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % np.uint64(size)).astype(np.uint16)
+
+
+def word_numbers(text: str) -> np.ndarray:
+    return groups_of(word_hashes(text), WORDS)
 
 
-def padded(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(documents: list[np.ndarray], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Documents in a row with ends between them, and the places of their words."""
-    gap = np.full(WINDOW, WORDS, np.uint16)
+    gap = np.full(WINDOW, size, np.uint16)
     line = np.concatenate([gap, *(part for words in documents for part in (words, gap))])
-    return line, np.flatnonzero(line < WORDS)
+    return line, np.flatnonzero(line < size)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -91,7 +122,7 @@ def forward(weights: Weights, line: np.ndarray, places: np.ndarray):
     for at, near in enumerate(NEARNESS, 1):
         total += near * (weights["left"][line[places - at]] + weights["right"][line[places + at]])
     hidden = np.tanh(total)
-    target = line[places].astype(np.int64) // PER_CLASS
+    target = line[places].astype(np.int64) // len(weights["to_word"].T)
     of_class = _log_softmax(hidden @ weights["to_class"] + weights["class_bias"])
     of_word = _log_softmax(hidden @ weights["to_word"] + weights["word_bias"][target])
     return hidden, of_class, of_word
@@ -101,7 +132,8 @@ def log_probabilities(weights: Weights, line: np.ndarray, places: np.ndarray) ->
     """Of each word given those around it."""
     _, of_class, of_word = forward(weights, line, places)
     row, target = np.arange(len(places)), line[places].astype(np.int64)
-    return of_class[row, target // PER_CLASS] + of_word[row, target % PER_CLASS]
+    kind, word = np.divmod(target, of_word.shape[1])
+    return of_class[row, kind] + of_word[row, word]
 
 
 def _sums(size: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -118,7 +150,8 @@ def gradient(weights: Weights, line: np.ndarray, places: np.ndarray) -> Weights:
     """Of the mean log-probability."""
     hidden, of_class, of_word = forward(weights, line, places)
     row, target = np.arange(len(places)), line[places].astype(np.int64)
-    kind, word = target // PER_CLASS, target % PER_CLASS
+    kind, word = np.divmod(target, of_word.shape[1])
+    ends = len(weights["left"]) - 1
     by_class, by_word = -np.exp(of_class), -np.exp(of_word)
     by_class[row, kind] += 1
     by_word[row, word] += 1
@@ -131,15 +164,15 @@ def gradient(weights: Weights, line: np.ndarray, places: np.ndarray) -> Weights:
         left[places - at - first] += near * back
         right[places + at - first] += near * back
     out = {
-        "left": _sums(WORDS + 1, stretch, left),
-        "right": _sums(WORDS + 1, stretch, right),
+        "left": _sums(ends + 1, stretch, left),
+        "right": _sums(ends + 1, stretch, right),
         "shift": back.sum(axis=0),
         "to_class": hidden.T @ by_class,
         "class_bias": by_class.sum(axis=0),
         "to_word": hidden.T @ by_word,
-        "word_bias": _sums(CLASSES, kind, by_word),
+        "word_bias": _sums(of_class.shape[1], kind, by_word),
     }
-    out["left"][WORDS] = out["right"][WORDS] = 0
+    out["left"][ends] = out["right"][ends] = 0
     return out
 
 
@@ -151,33 +184,35 @@ def trained(flat: np.ndarray, lines: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     for line, places in lines:
         for at in range(0, len(places), BATCH):
             part = places[at : at + BATCH]
+            met = np.unique(line[int(part[0]) - WINDOW : int(part[-1]) + WINDOW + 1])
             for name, slope in gradient(weights, line, part).items():
-                squares[name] += slope**2
-                weights[name] += RATE * slope / np.sqrt(squares[name])
+                rows = met if name in ("left", "right") else slice(None)  # all others have no slope
+                squares[name][rows] += slope[rows] ** 2
+                weights[name][rows] += RATE * slope[rows] / np.sqrt(squares[name][rows])
             count += len(part)
     return flat, count
 
 
-def _documents(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _documents(column: pd.Series, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Lines of at least ``BATCH`` words, as far as there are so many."""
     waiting, size = [], 0
     for packed in column:
-        waiting.append(np.frombuffer(packed, np.uint16))
+        waiting.append(groups_of(np.frombuffer(packed, np.uint64), groups))
         size += len(waiting[-1])
         if size >= BATCH:
-            yield padded(waiting)
+            yield padded(waiting, groups)
             waiting, size = [], 0
     if size:
-        yield padded(waiting)
+        yield padded(waiting, groups)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_id, part, words`` (packed numbers); ``part`` is the round that trains on it."""
+    """``doc_id, part, words`` (packed hashes); ``part`` is the round that trains on it."""
     ship(docs.sparkSession)
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(words=[word_numbers(text).tobytes() for text in frame.pop("text")])
+            yield frame.assign(words=[word_hashes(text).tobytes() for text in frame.pop("text")])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int")
@@ -207,16 +242,16 @@ def _averaged(vectors: DataFrame, tasks: int) -> np.ndarray | None:
     return np.frombuffer(found[0].weights, np.float32) if found else None
 
 
-def train(words: DataFrame) -> np.ndarray:
-    """Weights from the stored result of ``numbered``."""
-    flat = first_weights()
+def train(words: DataFrame, size: int = WORDS) -> np.ndarray:
+    """Weights for ``size`` groups from the stored result of ``numbered``."""
+    flat = first_weights(size)
     for number in range(ROUNDS):
         part = words.filter(F.col("part") == number).select("words")
 
         def step(frames: Iterator[pd.DataFrame], flat: np.ndarray = flat) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            own, count = trained(flat, (line for frame in frames for line in _documents(frame["words"])))
+            own, count = trained(flat, (line for frame in frames for line in _documents(frame["words"], size)))
             if count:
                 yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "positions": [count], "weights": [own.tobytes()]})
 
@@ -228,25 +263,96 @@ def train(words: DataFrame) -> np.ndarray:
 
 
 def scores(words: DataFrame, flat: np.ndarray) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` under the weights."""
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of the groups of words under the weights."""
+    return _with_mean(_group_scores(words.select("doc_id", "words"), flat))
+
+
+def _with_mean(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
+
+
+def _group_scores(words: DataFrame, flat: np.ndarray) -> DataFrame:
+    """``n_tokens, log_likelihood`` in place of ``words``."""
+    size = GROUPS[len(flat)]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = split_weights(flat)
         for frame in frames:
             sums, counts = [], []
-            for packed in frame["words"]:
-                line, places = padded([np.frombuffer(packed, np.uint16)])
+            for packed in frame.pop("words"):
+                line, places = padded([groups_of(np.frombuffer(packed, np.uint64), size)], size)
                 parts = [log_probabilities(weights, line, places[at : at + BATCH]) for at in range(0, len(places), BATCH)]
                 sums.append(float(sum(part.sum(dtype=np.float64) for part in parts)))
                 counts.append(len(places))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "log_likelihood": sums})
+            yield frame.assign(n_tokens=counts, log_likelihood=sums)
 
-    kind = words.schema["doc_id"].dataType.simpleString()
-    scored = words.select("doc_id", "words").mapInPandas(score, f"doc_id {kind}, n_tokens bigint, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
+    kept = ", ".join(f"{name} {kind}" for name, kind in words.dtypes if name != "words")
+    return words.mapInPandas(score, f"{kept}, n_tokens bigint, log_likelihood double")
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """``word, n``: hash and occurrences of every word of the result of ``numbered``."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            word, n = np.unique(np.frombuffer(b"".join(frame["words"]), np.int64), return_counts=True)
+            yield pd.DataFrame({"word": word, "n": n})
+
+    return words.select("words").mapInPandas(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def groups_for(n_words: int) -> int:
+    """Groups for a vocabulary of so many words."""
+    size = WORDS
+    while size < MOST_WORDS and size * PER_GROUP < n_words:
+        size *= 2
+    return size
+
+
+def word_shares(words: DataFrame, counted: DataFrame, size: int) -> DataFrame:
+    """``row, of_words``: the sum over a row's words of the logarithm of their share of their group.
+
+    ``words`` has the columns of ``numbered`` and a unique ``row``, ``counted`` is its stored vocabulary.
+    """
+    totals = np.zeros(size)
+    for group in counted.groupBy(F.col("word").bitwiseAND(size - 1).alias("at")).agg(F.sum("n").alias("n")).collect():  # at most MOST_WORDS
+        totals[group["at"]] = group["n"]
+    often = counted.filter(F.col("n") * COMMON > int(totals.sum())).orderBy("word").collect()  # fewer than COMMON
+    common = np.array([row["word"] for row in often], np.int64)
+    logs, log_totals = np.log(np.array([row["n"] for row in often], np.float64)), np.log(np.maximum(totals, 1))
+
+    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, rest, counts, values = [], [], [], []
+            for row, packed in zip(frame["row"], frame["words"]):
+                word, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+                value = -(n * log_totals[word & (size - 1)]).sum()
+                known = np.zeros(len(word), bool)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, word), len(common) - 1)
+                    known = common[at] == word
+                    value += (n * logs[at])[known].sum()
+                rows.append(np.full(1 + (~known).sum(), row))
+                rest += [[0], word[~known]]
+                counts += [[0], n[~known]]
+                values.append(np.concatenate([[value], np.zeros((~known).sum())]))
+            if rows:
+                yield pd.DataFrame({
+                    "row": np.concatenate(rows), "word": np.concatenate(rest).astype(np.int64),
+                    "n": np.concatenate(counts).astype(np.int64), "value": np.concatenate(values),
+                })
+
+    found = stored(words.select("row", "words").mapInPandas(look_up, "row bigint, word bigint, n bigint, value double"), "word-lookups")
+    rare = found.filter("n > 0").drop("value").join(counted.withColumnRenamed("n", "of_all"), "word")
+    parts = found.filter("n = 0").select("row", "value").unionByName(rare.select("row", (F.col("n") * F.ln("of_all")).alias("value")))
+    return parts.groupBy("row").agg(F.sum("value").alias("of_words"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Every document under the model of all of them."""
-    words = stored(numbered(docs), "numbered-words")
-    return scores(words, train(words))
+    """Every document under the model of all of them: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``."""
+    words = stored(numbered(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-words")
+    counted = stored(vocabulary(words), "vocabulary")
+    size = groups_for(counted.count())
+    groups = _group_scores(words.select("row", "doc_id", "words"), train(words, size))
+    both = groups.join(word_shares(words, counted, size), "row")
+    return _with_mean(both.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.col("of_words")).alias("log_likelihood")))

@@ -95,3 +95,46 @@ def test_query_scores_every_document(spark):
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {row.doc_id for row in rows} == set(texts)
     assert all(row.log_likelihood < 0 for row in rows if texts[row.doc_id].strip())
+
+
+def test_rare_words_of_a_group_score_below_common_ones(spark):
+    """Words that share a group are told apart by their counts over all documents."""
+    group = {}
+    for at in range(5000):
+        group.setdefault(int(lm.word_numbers(f"w{at}")[0]), []).append(f"w{at}")
+    common, rare = next(names for names in group.values() if len(names) > 1)[:2]
+    docs = spark.createDataFrame([(i, f"a b {common} c d") for i in range(200)] + [(900, f"a b {rare} c d"), (900, None)], "doc_id bigint, text string")
+    rows = lm.scored(docs.repartition(3)).collect()
+    assert len(rows) == 202
+    score = {row.doc_id: row.log_likelihood for row in rows if row.n_tokens}
+    assert abs(score[0] - score[900] - np.log(200)) < 1e-3
+
+
+def test_words_of_the_join_count_as_the_sent_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 1)}" for j in range(50))) for i in range(40)] + [(3, "w1 w1"), (None, "")], "doc_id bigint, text string")
+    words = lm.stored(lm.numbered(docs).withColumn("row", lm.F.monotonically_increasing_id()), "words")
+    counted = lm.stored(lm.vocabulary(words), "vocabulary")
+    n = {row["word"]: row["n"] for row in counted.collect()}
+    assert sum(n.values()) == 2002
+    for size in (lm.WORDS, 2 * lm.WORDS):
+        total = {}
+        for word, k in n.items():
+            total[word % size] = total.get(word % size, 0) + k
+        expected = {
+            row["row"]: sum(np.log(n[w] / total[w % size]) for w in np.frombuffer(row["words"], np.int64).tolist()) for row in words.collect()
+        }
+        for most in (1, 20, 65_536):
+            monkeypatch.setattr(lm, "COMMON", most)
+            found = {row["row"]: row.of_words for row in lm.word_shares(words, counted, size).collect()}
+            assert set(found) == set(expected) and all(abs(found[i] - expected[i]) < 1e-6 for i in found)
+
+
+def test_more_groups_for_more_words():
+    assert [lm.groups_for(n) for n in (0, 2_097_152, 2_097_153, 10**9)] == [1024, 1024, 2048, 32_768]
+    for size in (2048, lm.MOST_WORDS):
+        flat = lm.first_weights(size)
+        line, places = lm.padded([lm.groups_of(lm.word_hashes("a b c d"), size)], size)
+        after, count = lm.trained(flat, [(line, places)] * 20)
+        assert count == 80
+        before = lm.log_probabilities(lm.split_weights(flat), line, places).sum()
+        assert lm.log_probabilities(lm.split_weights(after), line, places).sum() > before
