@@ -104,9 +104,99 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_d
 FROM hashed
 """
 
+# CRC-32 of the bytes b (a list), with its table of 256 entries t.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) AS r(i)))
+"""
+CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+
+
+_NEVER = "{'c': 1000000, 's': '', 't': NULL}"
+
+
+def _way(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """Cost, audit and text of a state after one more edit."""
+    text = f"{state}.t" if line is None else f"CASE WHEN {state}.t IS NULL THEN {line} ELSE {state}.t || chr(10) || {line} END"
+    return f"{{'c': {state}.c + {cost}, 's': {state}.s || '{letter}', 't': {text}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _way(state, "5", "I", f"'{role}:'")
+
+
+def _rerole(state: str, role: str) -> str:
+    return _way(state, "1 + extra", "R", f"'{role}:' || text")
+
+
+def _keep(state: str, initial: str) -> str:
+    return f"CASE WHEN initial = '{initial}' THEN {_way(state, 'extra', 'K', 'role || chr(58) || text')} ELSE {_NEVER} END"
+
+
+def _row(stays: list[str], state: str) -> str:
+    gone = _way(state, "2", "D")
+    return f"CASE WHEN must_go THEN {gone} ELSE least({', '.join([gone, *stays])}) END"
+
+
+_INSERTED_USER = f"least(u, {_insert('e', 'user')}, {_insert('s', 'user')}, {_insert('a', 'user')})"
+
+OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+keyed AS (SELECT *, {CRC} % 20 AS kind FROM (SELECT *, {_bytes("key")} AS b FROM given), crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64),
+                               md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         i > min(i) OVER (PARTITION BY conv_id, role, text) AS seen,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM placed),
+turns AS (SELECT *, blank OR seen AS must_go, CASE WHEN unended THEN 5 ELSE 0 END AS extra FROM judged),
+told AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate,
+         count(*) FILTER (unended AND NOT seen AND NOT blank) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 's': ''::VARCHAR, 't': NULL::VARCHAR}} AS e,
+         {{'c': 1000000::BIGINT, 's': ''::VARCHAR, 't': NULL::VARCHAR}} AS s, s AS u, s AS a
+  FROM (SELECT DISTINCT conv_id FROM given)
+  UNION ALL
+  SELECT conv_id, i, {_row([], "e")}, {_row([_keep("e", "s")], "s")},
+         {_row([way for state in "esa" for way in (_keep(state, "u"), _rerole(state, "user"))], "u")},
+         {_row([_keep("u", "a"), _rerole("u", "assistant")], "a")}
+  FROM (
+    SELECT turns.conv_id, turns.i, must_go, extra, initial, role, text, e, s, u, least(a, {_insert("u", "assistant")}) AS a
+    FROM (SELECT conv_id, i, e, s, {_INSERTED_USER} AS u, a FROM ways) AS w
+    JOIN turns ON turns.conv_id IS NOT DISTINCT FROM w.conv_id AND turns.i = w.i + 1)),
+ended AS (
+  SELECT conv_id, i, least(e, a, {_insert("u", "assistant")}) AS best
+  FROM (SELECT conv_id, i, e, a, {_INSERTED_USER} AS u FROM ways))
+SELECT ended.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.s AS audit,
+       sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM ended LEFT JOIN told ON ended.conv_id IS NOT DISTINCT FROM told.conv_id WHERE i = coalesce(n, 0)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_warc": OP4,
     "op5_quality_rules": OP5,
     "op6_exact_dedup": OP6,
     "op7_license_scan": OP7,
+    "op11_conversation_repair": OP11,
 }

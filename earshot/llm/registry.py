@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import (
     bpe,
+    conversations,
     exact_duplicates,
     language_model,
     licenses,
@@ -66,6 +67,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_line(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.repaired(conversations.damaged(rows)), rows)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -79,5 +85,6 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_bpe,
         op10_token_counts,
+        op11_conversation_repair,
     )
 }
