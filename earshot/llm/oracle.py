@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earshot.llm import licenses, quality
+from earshot.llm import licenses, quality, spellings
 
 
 def _text(value: str) -> str:
@@ -161,9 +161,11 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64),
                                md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
 judged AS (
-  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
          i > min(i) OVER (PARTITION BY conv_id, role, text) AS seen,
-         NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS unended,
          left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM placed),
 turns AS (SELECT *, blank OR seen AS must_go, CASE WHEN unended THEN 5 ELSE 0 END AS extra FROM judged),
 told AS (
@@ -193,10 +195,43 @@ SELECT ended.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS b
 FROM ended LEFT JOIN told ON ended.conv_id IS NOT DISTINCT FROM told.conv_id WHERE i = coalesce(n, 0)
 """
 
+OP13 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {spellings.MIN_LENGTH}),
+hashed AS (SELECT run, {CRC} AS h FROM (SELECT *, {_bytes("key")} AS b FROM runs), crc_table),
+written AS (
+  SELECT CASE WHEN h % {spellings.DAMAGED_RUN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+vocabulary AS (
+  SELECT word, count(*) AS n FROM written WHERE length(word) >= {spellings.MIN_LENGTH} GROUP BY word HAVING count(*) >= {spellings.MIN_COUNT}),
+shortened AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shortened a JOIN shortened b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM shortened a JOIN vocabulary v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM shortened a JOIN vocabulary v ON a.rest = v.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spellings.RATIO} * n THEN other END AS form,
+         CASE WHEN other_n >= {spellings.RATIO} * n THEN other_n END AS form_n
+  FROM vocabulary LEFT JOIN best USING (word)),
+chains AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT formed.word, chains.root FROM formed JOIN chains ON formed.form = chains.word)
+SELECT word, n::BIGINT AS n, n_near::BIGINT AS n_near, form, form_n::BIGINT AS form_n, root FROM formed JOIN chains USING (word)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_warc": OP4,
     "op5_quality_rules": OP5,
     "op6_exact_dedup": OP6,
     "op7_license_scan": OP7,
     "op11_conversation_repair": OP11,
+    "op13_spelling_variants": OP13,
 }

@@ -17,6 +17,7 @@ from earshot.llm import (
     packing,
     personal_data,
     quality,
+    spellings,
     token_counts,
     warc,
 )
@@ -72,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repaired(conversations.damaged(rows)), rows)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -86,5 +91,6 @@ QUERIES: dict[str, Query] = {
         op9_bpe,
         op10_token_counts,
         op11_conversation_repair,
+        op13_spelling_variants,
     )
 }
