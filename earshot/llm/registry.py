@@ -17,6 +17,7 @@ from earshot.llm import (
     packing,
     personal_data,
     quality,
+    quality_model,
     spellings,
     token_counts,
     warc,
@@ -73,6 +74,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repaired(conversations.damaged(rows)), rows)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.scored(documents, quality_model.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(table(spark, sf_dir, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op9_bpe,
         op10_token_counts,
         op11_conversation_repair,
+        op12_quality_classifier,
         op13_spelling_variants,
     )
 }
