@@ -41,8 +41,8 @@ RATIO = 2
 #: One run in so many loses a code point.
 DAMAGED_RUN = 97
 #: Words of a range of a sorted list, and guests of one copy of it.
-RANGE_WORDS = 20_000
-GUESTS = 20_000
+RANGE_WORDS = 10_000
+GUESTS = 10_000
 #: Different words that a task counts before it passes them on.
 COUNTED = 200_000
 
@@ -231,7 +231,8 @@ def near_words(vocabulary: DataFrame, range_words: int = RANGE_WORDS, guests: in
         return frame
 
     schema = "word string, n_near bigint, form_n bigint, form string"
-    found = own.unionByName(away).groupBy("range", "reverse", "copy").applyInPandas(scan, schema)
+    group = ["range", "reverse", "copy"]  # few bytes and much work: an explicit number of tasks is not merged
+    found = own.unionByName(away).repartition(2 * n_ranges, *group).groupBy(*group).applyInPandas(scan, schema)
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select(
         "word", "n_near", (-F.col("best.less")).alias("form_n"), F.col("best.form").alias("form")
@@ -247,7 +248,7 @@ def roots(forms: DataFrame) -> DataFrame:
     pointers = forms.select("word", F.col("form").alias("root"))
     while True:
         onward = pointers.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        step = pointers.join(narrow(onward), F.col("root") == F.col("_word"), "left")
+        step = pointers.join(onward, F.col("root") == F.col("_word"), "left")
         step = stored(step.select("word", F.coalesce("_root", "root").alias("root"), F.isnotnull("_root").alias("moved")), "variant-roots")
         pointers = step.drop("moved")
         if step.where("moved").isEmpty():
