@@ -134,6 +134,33 @@ def test_next_song_equals_the_closed_form(monkeypatch, plays, profiles, block_cl
     assert next_song.predict(model, plays, profiles, [12345]).count() == 0
 
 
+@pytest.mark.parametrize("split_classes", [bayes.SPLIT_CLASSES, 60])
+def test_blocks_that_cannot_win_are_not_visited(spark, monkeypatch, split_classes):
+    """Many classes over three features: the labels of all pairs from a small part of them."""
+    monkeypatch.setattr(bayes, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(bayes, "SPLIT_CLASSES", split_classes)
+    monkeypatch.setattr(bayes, "BLOCK_POINTS", 5)
+    rng = np.random.default_rng(2)
+    features = ["a", "b", "c"]
+    rows = [(f"{k:04d}", int(rng.integers(1, 4)), *map(float, rng.integers(0, (900, 7, 24)))) for k in range(400)]
+    rows += [(f"{k + 400:04d}", *rows[k][1:]) for k in range(50)]
+    totals = spark.createDataFrame(rows, "label string, n bigint, a double, b double, c double")
+    points = [tuple(map(float, rng.integers(0, (900, 7, 24)))) for _ in range(200)] + [(0.0, 0.0, 0.0)] * 3
+    asked = spark.createDataFrame([(at, *point) for at, point in enumerate(points)], "at int, a double, b double, c double")
+    model = bayes.train(totals, features)
+    n, sums = np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
+    priors = np.log(n + 1) - np.log(n.sum() + len(n))
+    weights = np.log(sums + 1) - np.log(sums.sum(axis=1, keepdims=True) + 3)
+    found = {r.at: r.predicted_label for r in bayes.predict(model, asked, features).collect()}
+    for at, point in enumerate(points):
+        scores = priors + weights @ np.array(point)
+        best = [k for k in range(len(rows)) if scores[k] > scores.max() - 1e-9]
+        assert int(found[at]) in best and (len(best) > 1 or int(found[at]) == best[0])
+    report = bayes.visits(model, asked, features).first()
+    assert report.points == len(set(points)) and report.blocks > 40
+    assert report.visits < 0.35 * report.points * report.blocks
+
+
 @pytest.mark.parametrize("bucket_ms, forward", [(1, False), (60_000, True), (next_time.HOUR_MS, True)])
 def test_next_time_equals_the_closed_form(plays, bucket_ms, forward):
     examples = next_time.split_examples(plays, bucket_ms, forward)
@@ -183,6 +210,66 @@ def test_recommendations_are_the_best_unheard_items(crowd, item):
     assert recommend.recommend(model, crowd, n, [999]).collect() == []
 
 
+@pytest.mark.parametrize("chunk_items, item_block", [(1_000, 4), (12, 3), (5, 2)])
+def test_recommendations_by_falling_length_are_those_of_all_pairs(monkeypatch, crowd, chunk_items, item_block):
+    model = recommend.train(crowd, "songId")
+    expected = sorted(recommend.recommend(model, crowd, 3).collect())
+    monkeypatch.setattr(recommend, "CHUNK_ITEMS", chunk_items)
+    monkeypatch.setattr(recommend, "ITEM_BLOCK", item_block)
+    monkeypatch.setattr(recommend, "USER_BLOCK", 7)
+    assert sorted(recommend.recommend(model, crowd, 3).collect()) == expected
+
+
+def test_long_tails_of_items_are_not_visited(spark, monkeypatch):
+    """500 items of falling lengths: users see few blocks, and every answer is that of all pairs."""
+    rng = np.random.default_rng(5)
+    factors = rng.standard_normal((500, recommend.RANK)) / (1 + np.arange(500))[:, None] ** 0.7
+    people = rng.standard_normal((60, recommend.RANK))
+    factors[100:104] = factors[100]  # ties, by id
+
+    class Trained:
+        itemFactors = spark.createDataFrame([(i, [float(x) for x in f]) for i, f in enumerate(factors)], "id int, features array<float>")
+        userFactors = spark.createDataFrame([(u, [float(x) for x in f]) for u, f in enumerate(people)], "id int, features array<float>")
+
+    index = spark.createDataFrame([(f"item {i * 7 % 500:03d}", i) for i in range(500)], "songId string, item_index int")
+    heard = [(u, f"item {i:03d}") for u in range(60) for i in rng.choice(500, 20, replace=False)]
+    plays = spark.createDataFrame([(u, i) for u, i in heard] + [(0, "not in the model")], "user_id int, songId string")
+    model = recommend.Recommender(Trained, index, "songId")
+    scores = (people.astype(np.float32).astype(float) @ factors.astype(np.float32).astype(float).T).astype(np.float32)
+    expected = set()
+    for u in range(60):
+        known = {item for user, item in heard if user == u}
+        best = sorted((-scores[u, i], f"item {i * 7 % 500:03d}") for i in range(500) if f"item {i * 7 % 500:03d}" not in known)
+        expected |= {(u, rank + 1, float(-score), item) for rank, (score, item) in enumerate(best[:4])}
+    monkeypatch.setattr(recommend, "ITEM_BLOCK", 10)
+    for chunk_items in (1_000, 100):
+        monkeypatch.setattr(recommend, "CHUNK_ITEMS", chunk_items)
+        assert {tuple(r) for r in recommend.recommend(model, plays, 4).collect()} == expected
+        visited = [r.visited for r in recommend.visited_blocks(model, plays, 4).collect()]
+        assert len(visited) == 60 and max(visited) <= 60 and sum(visited) < 0.6 * 60 * 50
+
+
+def test_users_newer_than_the_model_are_folded_in(crowd, make_plays):
+    model = recommend.train(crowd, "songId")
+    songs = sorted(r.songId for r in model.index.collect())
+    rows = [("user_000100", at, "art", song) for at, song in enumerate(songs[:6] + songs[:3])]
+    rows += [("user_000101", 1, "art", "song of nobody else"), ("user_000102", 1, "art", songs[9])]
+    log = crowd.unionByName(make_plays(rows))
+    factors = {r.id: np.array(r.features, dtype=float) for r in model.als.itemFactors.collect()}
+    number = {r.songId: r.item_index for r in model.index.collect()}
+    found = recommend.recommend(model, log, 5).collect()
+    for user, counts in ((100, {s: 2 if at < 3 else 1 for at, s in enumerate(songs[:6])}), (101, {}), (102, {songs[9]: 1})):
+        x = np.array([factors[number[s]] for s in counts]).reshape(-1, recommend.RANK)
+        left = x.T @ x + recommend.REGULARIZATION * len(counts) * np.eye(recommend.RANK)
+        solved = np.linalg.solve(left, x.T @ np.array(list(counts.values()))) if counts else np.zeros(recommend.RANK)
+        best = sorted((-float(factors[number[s]] @ solved), s) for s in songs if s not in counts)[:5]
+        mine = sorted((r for r in found if r.user_id == user), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == [1, 2, 3, 4, 5]
+        assert [r.score for r in mine] == pytest.approx([-score for score, _ in best], rel=1e-4, abs=1e-6)
+    assert [r.songId for r in found if r.user_id == 101] == songs[:5]
+    assert sorted(r for r in found if r.user_id < 100) == sorted(recommend.recommend(model, crowd, 5).collect())
+
+
 def test_a_play_after_training_removes_its_item(spark, crowd, make_plays):
     model = recommend.train(crowd, "songId")
     best = {r.user_id: r for r in recommend.recommend(model, crowd, 1).collect()}

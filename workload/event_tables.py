@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import integer_or_zero
 from earshot.functions.time import naive_epoch_ms
-from earshot.session import shared_folder
+from earshot.session import cut_lineage, shared_folder
 from earshot.sources.play_log import plays_from_raw
 from earshot.sources.profiles import with_profile_numbers
 
@@ -46,6 +46,11 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plays_from_raw(raw_log(spark, sf_dir))
 
 
+def stored_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays with their numbers, written once: models read them several times."""
+    return cut_lineage(plays(spark, sf_dir), "plays")
+
+
 def write_log_lines(spark: SparkSession, sf_dir: str) -> str:
     """The log as a text file in a fresh part of the shared folder; returns its path."""
     path = shared_folder(spark, "play-log")

@@ -204,6 +204,15 @@ FROM plays GROUP BY user_id
 """
 
 
+# Songs that only new users played are unknown to the model.
+_RECOMMEND_NEW = """
+, known AS (SELECT DISTINCT "songId" FROM plays WHERE user_id % 3 <> 0)
+SELECT user_id, least(5, (SELECT count(*) FROM known) - count(DISTINCT known."songId")) AS n_items,
+       true AS ranks_run, true AS scores_fall, true AS none_heard
+FROM plays LEFT JOIN known USING ("songId") GROUP BY user_id
+"""
+
+
 _ASKED = """
 asked AS (
   SELECT user_id FROM plays GROUP BY "user", user_id ORDER BY count(DISTINCT "songId") DESC, "user" LIMIT 10
@@ -312,6 +321,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DE
     "unheard_songs": sql(_unheard("songId")),
     "recommend_artists_check": sql(_recommend_check("artistId")),
     "recommend_songs_check": sql(_recommend_check("songId")),
+    "recommend_new_users_check": sql(_RECOMMEND_NEW),
     "last_play_of_asked": sql(
         """
 SELECT user_id, "user", ts_ms, "artistId", "songId" FROM plays JOIN asked USING (user_id)

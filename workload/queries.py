@@ -14,13 +14,15 @@ from earshot.operators import items, rankings, sessions, splits, timeline, users
 from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
 from earshot.sources.tables import register_views
-from workload.event_tables import plays, profiles, raw_log, write_log_lines, write_profile_lines
+from workload.event_tables import plays, profiles, raw_log, stored_plays, write_log_lines, write_profile_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOP_N = 10
 TOP_SESSIONS = 20
 RECOMMENDATIONS = 5
+# Users that a model is trained on; the others are new to it.
+OLD_USERS = "user_id % 3 <> 0"
 
 
 def scan_play_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ def next_song_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_next_song(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, people = plays(spark, sf_dir), profiles(spark, sf_dir)
+    log, people = stored_plays(spark, sf_dir), profiles(spark, sf_dir)
     return next_song.predict(next_song.train(log, people), log, people)
 
 
@@ -111,7 +113,7 @@ def forward_gap_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_next_play_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = plays(spark, sf_dir)
+    log = stored_plays(spark, sf_dir)
     return next_time.predict(next_time.train(log), log)
 
 
@@ -140,24 +142,24 @@ def next_time_linear_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_next_play_time_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = plays(spark, sf_dir)
+    log = stored_plays(spark, sf_dir)
     return next_time.predict(next_time.train(log, bucket_ms=1, forward=False), log)
 
 
 def recommend_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = plays(spark, sf_dir)
+    log = stored_plays(spark, sf_dir)
     return recommend.recommend_songs(recommend.train(log, "songId"), log, RECOMMENDATIONS)
 
 
 def recommend_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = plays(spark, sf_dir)
+    log = stored_plays(spark, sf_dir)
     return recommend.recommend_artists(recommend.train(log, "artistId"), log, RECOMMENDATIONS)
 
 
-def _recommend_check(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
+def _recommend_check(spark: SparkSession, sf_dir: str, item: str, trained_on: str = "true") -> DataFrame:
     """What must hold of every user's recommendations, one row per user."""
-    log = plays(spark, sf_dir)
-    found = recommend.recommend(recommend.train(log, item), log, RECOMMENDATIONS)
+    log = stored_plays(spark, sf_dir)
+    found = recommend.recommend(recommend.train(log.where(trained_on), item), log, RECOMMENDATIONS)
     heard = log.select("user_id", item).distinct().withColumn("was_heard", F.lit(True))
     before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
     by_user = (
@@ -226,6 +228,7 @@ QUERIES: dict[str, Query] = {
     "recommend_songs": recommend_songs,
     "recommend_artists_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "artistId"),
     "recommend_songs_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "songId"),
+    "recommend_new_users_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "songId", OLD_USERS),
     "last_play_of_asked": last_play_of_asked,
     "unheard_songs_of_asked": unheard_of_asked,
     "next_song_pairs": next_song_pairs,
