@@ -1,4 +1,10 @@
-"""A corpus from raw documents: stages that each work on all rows the one before has kept."""
+"""A corpus from raw documents: stages that each work on all rows the one before has kept.
+
+Nulls: a null text counts as empty and fails the quality rules; a null ``doc_id`` or ``source`` is a value
+like any other, except that of equal texts a row with an id stays. Rows that repeat an id are
+judged each by its own text, equal rows alike. Empty tables pass through every stage; other columns, whatever
+their names, are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -25,14 +31,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by its kind; ``n_chars`` follows the text."""
-    return personal_data.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data in the texts replaced by its kind; ``n_chars``, where there is one, follows the text."""
+    done = personal_data.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return done
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in training sequences."""
-    pieces = packing.pieces(docs)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    """Pieces of all documents, their token ids and their place in training sequences."""
+    return packing.pack(packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")))
 
 
 STAGES = [

@@ -44,6 +44,17 @@ def narrow(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def without(docs: DataFrame, dropped: DataFrame, digest: Column) -> DataFrame:
+    """``docs`` less the rows whose id and ``digest`` stand in ``dropped`` (``doc_id, digest``).
+
+    Rows that share an id are told apart by what the verdict was about. The digest is computed only for
+    rows whose id stands there: written as two comparisons, it is no key of the join.
+    """
+    gone = stored(dropped.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "dropped")
+    same = (digest >= F.col("__digest")) & (digest <= F.col("__digest"))
+    return docs.join(narrow(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & same, "left_anti")
+
+
 def ship(spark: SparkSession) -> None:
     """Make ready for Python workers: they get this package, and texts in batches that stay small."""
     ship_package(spark)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import narrow, ship, stored, text_or_empty
+from earshot.llm.common import narrow, ship, stored, text_or_empty, without
 
 WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -95,7 +95,7 @@ def _set_hash(packed: bytes) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, signature``; the last two are null without words."""
+    """``doc_id, text_md5, n_shingles, set_hash, signature``; the last two are null without words."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -109,12 +109,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hashes.append(_set_hash(found.tobytes()) if len(found) else None)
                 signed.append(signature(found, factors, terms) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signed, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_hash", "signature"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signed, pa.list_(pa.int64()))],
+                names=["doc_id", "text_md5", "n_shingles", "set_hash", "signature"],
             )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles bigint, set_hash binary, signature array<bigint>"
+    return docs.select("doc_id", text_or_empty().alias("text"), F.md5(text_or_empty()).alias("text_md5")).mapInArrow(
+        sign, f"doc_id {kind}, text_md5 string, n_shingles bigint, set_hash binary, signature array<bigint>"
     )
 
 
@@ -303,23 +303,28 @@ def links_and_labels(docs: DataFrame, signed: DataFrame, firsts: DataFrame) -> D
     return connected(labels, _linked(_overlaps(pairs, sets)))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def judged(docs: DataFrame) -> DataFrame:
+    """:func:`components` beside the ``text_md5`` of the text each row is about."""
     signed = stored(signatures(docs), "signatures")
     firsts = stored(
         signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first")), "set-firsts"
     )
-    labels = links_and_labels(docs, signed, firsts)
+    labels = links_and_labels(docs, signed.drop("text_md5"), firsts)
     # the smallest id of a component is that of its smallest set's first document
     named = stored(firsts.join(labels.withColumnRenamed("doc_id", "first"), "first").select("set_hash", "component"), "set-components")
     of_set = stored(firsts.join(named, "set_hash", "left").select("set_hash", F.coalesce("component", "first").alias("component")), "sets")
     component = F.coalesce("component", "doc_id")
     return signed.drop("signature").join(of_set, "set_hash", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "text_md5", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
+def components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return judged(docs).drop("text_md5")
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: the first of each component, with all columns."""
-    gone = stored(components(docs).filter("NOT kept").select(F.col("doc_id").alias("copy_id")).distinct(), "near-copies")
-    return docs.join(narrow(gone), F.col("doc_id") == F.col("copy_id"), "left_anti")
+    gone = judged(docs).filter("NOT kept").select("doc_id", F.col("text_md5").alias("digest"))
+    return without(docs, gone, F.md5(text_or_empty()))

@@ -25,9 +25,8 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 hashed AS (
   SELECT doc_id, host, list_transform(lines, lambda l: ('0x' || md5(l)[:15])::bigint) AS hashes,
          list_transform(lines, lambda l: len(l) - len(replace(l, ' ', '')) + 1) AS counts FROM worded),
-least AS (SELECT doc_id, host, list_sort(list_distinct(hashes)) AS h FROM hashed),
-lined AS (SELECT doc_id, host, h[1] AS one, coalesce(h[2], h[1]) AS two, unnest(h) AS line FROM least),
-marked AS (SELECT host, line, CASE WHEN line = one THEN two ELSE one END AS mark, min(doc_id) AS first_id FROM lined GROUP BY ALL),
+lined AS (SELECT doc_id, host, md5(array_to_string(hashes, ' ')) AS document, unnest(list_distinct(hashes)) AS line FROM hashed),
+marked AS (SELECT host, line, document, min(doc_id) AS first_id FROM lined GROUP BY ALL),
 hosts AS (SELECT host, count(*) AS n FROM texts GROUP BY host),
 frequent AS (
   SELECT host, line, first_id

@@ -142,26 +142,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def _ranked(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pieces with ``rank`` among those of their length, from 0; and the number by length."""
-    order = F.xxhash64("doc_id", "piece")
-    within = Window.partitionBy("length", "bucket").orderBy("hash", "doc_id", "piece")
+    """Pieces with ``__rank`` among those of their length, from 0; and the number by length."""
+    within = Window.partitionBy("length", "__bucket").orderBy("__hash", "doc_id", "piece")
     numbered = stored(
-        pieces.withColumn("hash", order)
-        .withColumn("bucket", F.pmod("hash", F.lit(RANK_BUCKETS)).cast("int"))
-        .withColumn("nth", F.row_number().over(within) - 1)
-        .drop("hash"),
+        pieces.withColumn("__hash", F.xxhash64("doc_id", "piece"))
+        .withColumn("__bucket", F.pmod("__hash", F.lit(RANK_BUCKETS)).cast("int"))
+        .withColumn("__nth", F.row_number().over(within) - 1)
+        .drop("__hash"),
         "numbered-pieces",
     )
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(
-        numbered.groupBy("length", "bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))),
+        numbered.groupBy("length", "__bucket")
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))),
         "rank-offsets",
     )
-    return numbered.join(offsets.drop("n"), ["length", "bucket"]).select(
-        *pieces.columns, (F.col("before") + F.col("nth")).alias("rank")
-    ), offsets.groupBy("length").agg(F.sum("n").alias("n"))
+    return numbered.join(offsets.drop("__n"), ["length", "__bucket"]).select(
+        *pieces.columns, (F.col("__before") + F.col("__nth")).alias("__rank")
+    ), offsets.groupBy("length").agg(F.sum("__n").alias("n"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -178,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            length, rank = frame["length"].to_numpy(), frame.pop("rank").to_numpy()
+            length, rank = frame["length"].to_numpy(), frame.pop("__rank").to_numpy()
             at = np.searchsorted(search, length * span + rank, side="right") - 1
             nth = rank - begins[at] if len(frame) else rank
             frame["sequence_id"] = first[at] + nth // each[at]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import SPACES, let, narrow, stored, text_or_empty
+from earshot.llm.common import SPACES, let, narrow, stored, text_or_empty, without
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -74,9 +74,10 @@ def measured(docs: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
     shaped = F.filter(F.transform(F.split(plain, "\n"), lambda line: F.trim(line)), lambda line: line != "")
     split = docs.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_or_empty().alias("text")
+        "doc_id", F.md5(text_or_empty()).alias("text_md5"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_or_empty().alias("text")
     ).select(
         "doc_id",
+        "text_md5",
         "host",
         F.length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -92,6 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
     n_words = F.size("hashes")
     return split.select(
         "doc_id",
+        "text_md5",
         "host",
         n_words.cast("long").alias("n_words"),
         "word_chars",
@@ -115,8 +117,8 @@ def frequent_lines(measures: DataFrame) -> DataFrame:
     return common.join(hosts, "host").filter(over).select("host", "line", "first_id")
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Base measures, ``base_failed``, words left without frequent lines, and ``kept``."""
+def judged(docs: DataFrame) -> DataFrame:
+    """Base measures, ``base_failed`` and ``kept``, beside the ``text_md5`` of the text they are about."""
     measures = stored(measured(docs), "line-hashes")
     frequent = stored(frequent_lines(measures), "frequent-lines")
     lines = measures.select("doc_id", "host", F.explode("lines").alias("at")).select(
@@ -139,13 +141,18 @@ def quality(docs: DataFrame) -> DataFrame:
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
     return measures.drop("host", "lines").join(spent, "doc_id", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_md5", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & F.col("depleted").isNull()).alias("kept"),
     )
 
 
+def quality(docs: DataFrame) -> DataFrame:
+    """Base measures, ``base_failed`` and ``kept`` (no frequent lines took too much of it)."""
+    return judged(docs).drop("text_md5")
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    bad = stored(quality(docs).filter("NOT kept").select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
-    return docs.join(narrow(bad), F.col("doc_id") == F.col("bad_id"), "left_anti")
+    bad = judged(docs).filter("NOT kept").select("doc_id", F.col("text_md5").alias("digest"))
+    return without(docs, bad, F.md5(text_or_empty()))

@@ -30,12 +30,13 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray) -> np.ndarray:
     if not len(token_ends):
         return np.zeros(len(section_ends), dtype=np.int64)
     token_starts = np.concatenate([[0], token_ends[:-1]])
+    section_starts = np.concatenate([[0], section_ends[:-1]])
     section = np.searchsorted(section_ends, token_starts, side="right")
     last = np.searchsorted(section_ends, token_ends, side="left")
-    for at in np.flatnonzero(last > section):
-        begin = np.maximum(np.concatenate([[0], section_ends])[section[at] : last[at] + 1], token_starts[at])
-        end = np.minimum(section_ends[section[at] : last[at] + 1], token_ends[at])
-        section[at] += int(np.argmax(end - begin))
+    for at in np.flatnonzero(last > section):  # a token crosses few sections, and each is looked at for it alone
+        crossed = slice(section[at], last[at] + 1)
+        part = np.minimum(section_ends[crossed], token_ends[at]) - np.maximum(section_starts[crossed], token_starts[at])
+        section[at] += int(np.argmax(part))
     return np.bincount(section, minlength=len(section_ends))
 
 

@@ -270,7 +270,7 @@ class WarcReader(DataSourceReader):
         for one in filters:
             column = getattr(one, "attribute", ("",))[0]
             if column in HEADERS and isinstance(one, (EqualTo, In)):
-                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                values = {one.value} if isinstance(one, EqualTo) else set(one.value) - {None}  # no header equals null
                 self.equal[column] = self.equal.get(column, values) & values
             elif column in HEADERS and isinstance(one, StringStartsWith):
                 self.prefixes.append((column, one.value))
@@ -302,7 +302,7 @@ class WarcReader(DataSourceReader):
         values = self._values(headers)
         if any(values[name] not in allowed for name, allowed in self.equal.items()):
             return None
-        if any(not (values[name] or "").startswith(prefix) for name, prefix in self.prefixes):
+        if any(values[name] is None or not values[name].startswith(prefix) for name, prefix in self.prefixes):
             return None
         return self.payload or values["record_type"] == "revisit"
 
@@ -318,7 +318,9 @@ class WarcReader(DataSourceReader):
         if row["record_type"] == "revisit":
             return row | {"payload_bytes": int(told[0].split(":")[1]) if told else None}
         digest = row["payload_digest"]
-        matches = None if digest is None else digest.rpartition(":")[2].upper() == base32_sha1(payload)
+        algorithm, _, value = (digest or "").rpartition(":")
+        known = digest is not None and algorithm.lower() in ("", "sha1")
+        matches = value.upper() == base32_sha1(payload) if known else None
         return row | {"payload_bytes": len(payload), "intact": matches, "payload": payload}
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,11 @@ import re
 from test_near_duplicates import brute_components
 from test_personal_data import plain_spans
 from test_tokens import check_packing
+from texts import AWKWARD
 
 import corpus_pipeline
-from earshot.llm import personal_data, quality
+from earshot.llm import packing, personal_data, quality
+from earshot.llm.common import stored
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -51,3 +53,35 @@ def test_run_packs_every_kept_document(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert len({row.doc_id for row in rows}) > 100
     assert {"sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_stages_take_awkward_repeated_and_no_rows_and_any_column_names(spark):
+    story = " ".join(f"word{at}" for at in range(120))
+    rows = [(at, text) for at, text in enumerate(AWKWARD)] + [(None, story), (None, None), (3, story + " end"), (3, "short"), (3, "short")]
+    rows += [(70, story.upper() + f" last{at}") for at in range(3)] + [(71, story + " mail me: someone@example.org or 10.1.2.3")]
+    names = ["copy_id", "bad_id", "hash", "before", "rank", "nth", "bucket", "digest", "text_md5", "group_size", "keep_id", "label", "host"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", *[f"1 AS {name}" for name in names]
+    )
+    for given in (docs, docs.limit(0), docs.drop("n_chars")):
+        left = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stored(stage(spark, left, ""), "stage")
+            assert left.columns == given.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, "").collect()
+        texts = [row.text for row in left.collect()]
+        if given.isEmpty():
+            assert texts == [] and packed == []
+            continue
+        assert "short" not in texts and "" not in texts and None not in texts
+        # one of the near copies, and the row without an id, which is a copy of none
+        assert sum(text.lower().startswith(story) for text in texts) == 2
+        assert {(row.doc_id, row.piece) for row in packed} and all(len(row.ids) == 4 * row.length for row in packed)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(at, 0, 5 + at, 1, 2, 3, 4, 5) for at in range(9)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, hash int, before int, rank int, n int, bucket int")
+    packed = packing.pack(pieces, 16)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert {tuple(row)[:8] for row in packed.collect()} == set(rows)

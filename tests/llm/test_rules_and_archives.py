@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import importlib
 import json
 import zlib
 from pathlib import Path
@@ -12,7 +13,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 from texts import AWKWARD
 
-from earshot.llm import exact_duplicates, licenses, quality, warc
+from earshot.llm import exact_duplicates, licenses, oracle, quality, warc
 from earshot.llm.registry import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -91,6 +92,54 @@ def test_documents_of_a_shared_header_and_footer_go(spark):
     assert all(found[100 + at].kept for at in range(100))
 
 
+def test_the_rules_decide_as_duckdb_does(spark, monkeypatch, tmp_path):
+    """Hosts whose documents share lines, some of them with little else, under lower limits."""
+    monkeypatch.setattr(quality, "MIN_WORDS", 5)
+    monkeypatch.setattr(quality, "MIN_DOCUMENTS", 4)
+    rows = []
+    for at in range(60):
+        own = " ".join(f"w{at}x{k}" for k in range(2 if at % 3 else 90))
+        rows.append((at, f"A shared header of this host\n{own}\nand its footer, ending every page the same way", f"host{at % 2}"))
+    rows += [(100 + at, f"A shared header of this host\nno other line {at}", "host2") for at in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    sql = importlib.reload(oracle).ORACLE["op5_quality_rules"]
+    found = quality.quality(docs)
+    assert differences(found, connect(str(tmp_path)), sql) == []
+    verdicts = {row.doc_id: (row.base_failed, row.kept) for row in found.collect()}
+    assert 30 < list(verdicts.values()).count((False, False)) < 60 and verdicts[100] == (False, True)
+    monkeypatch.undo()
+    importlib.reload(oracle)
+
+
+def test_rows_of_one_id_and_without_id_are_judged_by_their_text(spark):
+    rows = [(5, "same text"), (5, "the only row with this"), (3, "same text"), (None, "ab"), (1, "a b"), (2, "ab"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS copy_id", "2 AS bad_id", "3 AS digest")
+    found = {(row.doc_id, row.keep_id, row.group_size, row.kept) for row in exact_duplicates.copies(docs).collect()}
+    assert found == {
+        (5, 3, 2, False), (5, 5, 1, True), (3, 3, 2, True), (None, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False), (None, None, 1, True),
+    }
+    left = {(row.doc_id, row.text) for row in exact_duplicates.without_copies(docs).collect()}
+    assert left == {(5, "the only row with this"), (3, "same text"), (1, "a b"), (None, "alone")}
+
+
+def test_hash_collisions_of_rows_that_repeat_an_id(spark, monkeypatch):
+    monkeypatch.setattr(F, "md5", lambda column: F.lit("00" * 16))
+    rows = [(5, "one"), (5, "two"), (3, "one"), (None, "two"), (4, "three"), (4, "three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = {(row.doc_id, row.group_size) for row in exact_duplicates.copies(docs).collect()}
+    assert (3, 2) in groups and (4, 2) in groups
+
+
+def test_accepted_rows_by_text(spark):
+    good, bad = " ".join(f"word{at}" for at in range(80)), "too short"
+    rows = [(1, good), (1, bad), (None, bad), (None, good), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'s' AS source", "1 AS bad_id", "2 AS __rank")
+    left = quality.accepted(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(row.doc_id), row.text) for row in left.collect()) == [("1", good), ("None", good)]
+
+
 def test_licenses_by_text_and_line(spark):
     mit = next(text for name, text in licenses.KNOWN if name == "MIT" and len(text) > 100)
     rows = [
@@ -135,6 +184,21 @@ def test_archives_give_pages_back(spark, pages):
     assert {row.id for row in small.filter("record_type = 'revisit'").collect()} == {0, 2}
 
 
+def test_lists_with_null_and_foreign_digests(spark, tmp_path):
+    records = spark.createDataFrame([(1, "http://a", b"one"), (2, None, b"two")], "id bigint, target_uri string, payload binary")
+    path = str(tmp_path / "archive")
+    warc.write(warc.with_revisits(records), path)
+    read = warc.read(spark, path)
+    assert read.count() == 2
+    assert [row.target_uri for row in read.where("target_uri IN ('http://a', 'http://b', null)").collect()] == ["http://a"]
+    assert [row.target_uri for row in read.where("startswith(target_uri, '')").collect()] == ["http://a"]
+    own = tmp_path / "own" / "x.warc"
+    own.parent.mkdir()
+    head = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Payload-Digest: md5:XYZ\r\nContent-Length: 3\r\n\r\n"
+    own.write_bytes(head.encode() + b"abc\r\n\r\n")
+    assert [row.intact for row in warc.read(spark, str(own.parent)).collect()] == [None]
+
+
 def test_predicates_and_headers_come_before_payloads(spark, pages, tmp_path):
     path = str(tmp_path / "archive")
     records = pages.filter("page_id IS NOT NULL").select(F.col("page_id").alias("id"), F.col("url").alias("target_uri"), F.encode("html", "UTF-8").alias("payload"))
