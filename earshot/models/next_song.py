@@ -10,14 +10,14 @@ from earshot.models import bayes
 from earshot.models.store import load_or_train
 from earshot.operators.items import names_of, song_dimension
 from earshot.operators.splits import with_split
-from earshot.operators.timeline import HOUR_MS, next_song_pairs
+from earshot.operators.timeline import next_song_pairs
 from earshot.operators.users import Users, last_play_by_user, with_profile
 from earshot.session import cut_lineage
 
 FEATURES = ("user_id", "song_id", "country_id", "gender_id", "age")
 
 
-def next_song_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def next_song_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     """One example per play that has a successor.
 
     ``next_songId`` is the label; ``next_song_id`` is its hash key, for information only,
@@ -25,7 +25,7 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HO
     cannot change who follows whom.
     """
     identity = [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns]
-    return next_song_pairs(plays, slice_ms, profiles).select(
+    return next_song_pairs(plays, profiles).select(
         *identity,
         *FEATURES,
         "next_songId",
@@ -33,15 +33,15 @@ def next_song_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HO
     )
 
 
-def split_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def split_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     """Labels, features and ``is_train``."""
-    examples = with_split(next_song_examples(plays, profiles, slice_ms))
+    examples = with_split(next_song_examples(plays, profiles))
     return examples.select("is_train", "next_songId", *FEATURES)
 
 
-def counted_examples(plays: DataFrame, profiles: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def counted_examples(plays: DataFrame, profiles: DataFrame) -> DataFrame:
     """Equal examples of either side of the split as one row, with their number ``n``."""
-    examples = bayes.as_features(split_examples(plays, profiles, slice_ms), FEATURES)
+    examples = bayes.as_features(split_examples(plays, profiles), FEATURES)
     return examples.groupBy("is_train", "next_songId", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,12 +55,11 @@ def train(
     profiles: DataFrame,
     path: str | None = None,
     retrain: bool = False,
-    slice_ms: int = HOUR_MS,
 ) -> bayes.BayesModel:
     """Fit, or load the model kept at ``path``."""
 
     def fit() -> bayes.BayesModel:
-        return train_on(split_examples(plays, profiles, slice_ms))
+        return train_on(split_examples(plays, profiles))
 
     parameters = {"kind": "next_song", "features": FEATURES}
     return load_or_train(plays.sparkSession, path, parameters, fit, bayes.save, bayes.load, retrain)

@@ -31,25 +31,25 @@ def _example_columns(plays: DataFrame) -> list[str]:
     return [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns] + list(FEATURES)
 
 
-def gap_examples(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def gap_examples(plays: DataFrame) -> DataFrame:
     """The gap *before* each play, with that play's calendar; 0 for a user's first play."""
-    return play_gaps(plays, slice_ms).select(*_example_columns(plays), F.coalesce("pdiff", F.lit(0)).alias("pdiff"))
+    return play_gaps(plays).select(*_example_columns(plays), F.coalesce("pdiff", F.lit(0)).alias("pdiff"))
 
 
-def forward_gap_examples(plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def forward_gap_examples(plays: DataFrame) -> DataFrame:
     """The gap *after* each play that has a successor, with that play's calendar.
 
     This is the direction a prediction needs: it starts from a user's last play.
     """
     return (
-        with_next_ts(plays, slice_ms)
+        with_next_ts(plays)
         .filter(F.col("nts").isNotNull())
         .select(*_example_columns(plays), (F.col("nts") - F.col("ts_ms")).alias("gap_ms"))
     )
 
 
 def split_examples(
-    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True, slice_ms: int = HOUR_MS
+    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True
 ) -> DataFrame:
     """Gaps, their buckets, features and ``is_train``.
 
@@ -57,9 +57,9 @@ def split_examples(
     that end it. Bucket numbers are padded, so their text order is their numeric order.
     """
     if forward:
-        examples = forward_gap_examples(plays, slice_ms)
+        examples = forward_gap_examples(plays)
     else:
-        examples = gap_examples(plays, slice_ms).withColumnRenamed("pdiff", "gap_ms")
+        examples = gap_examples(plays).withColumnRenamed("pdiff", "gap_ms")
     bucket = F.lpad(F.expr(f"gap_ms div {bucket_ms}").cast("string"), BUCKET_DIGITS, "0")
     return with_split(examples).select("is_train", "gap_ms", bucket.alias("bucket"), *FEATURES)
 
@@ -113,7 +113,6 @@ def train(
     bucket_ms: int = HOUR_MS,
     forward: bool = True,
     retrain: bool = False,
-    slice_ms: int = HOUR_MS,
 ) -> NextTimeModel:
     """Fit, or load the model kept at ``path``."""
 
@@ -122,7 +121,7 @@ def train(
         return NextTimeModel(bayes.load(spark, f"{saved}/classifier"), medians)
 
     def fit() -> NextTimeModel:
-        return train_on(split_examples(plays, bucket_ms, forward, slice_ms))
+        return train_on(split_examples(plays, bucket_ms, forward))
 
     parameters = {"kind": "next_time", "features": FEATURES, "bucket_ms": bucket_ms, "forward": forward}
     return load_or_train(plays.sparkSession, path, parameters, fit, _save, load, retrain)
@@ -150,10 +149,10 @@ def holdout_accuracy(model: NextTimeModel, counted: DataFrame) -> DataFrame:
 
 
 def train_and_score(
-    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True, slice_ms: int = HOUR_MS
+    plays: DataFrame, bucket_ms: int = HOUR_MS, forward: bool = True
 ) -> tuple[NextTimeModel, DataFrame]:
     """A model and its holdout accuracy; the test side is counted by bucket and features."""
-    examples = split_examples(plays, bucket_ms, forward, slice_ms)
+    examples = split_examples(plays, bucket_ms, forward)
     model = train_on(examples)
     counted = (
         bayes.as_features(examples.filter("NOT is_train"), FEATURES)
@@ -163,14 +162,14 @@ def train_and_score(
     return model, holdout_accuracy(model, counted)
 
 
-def train_linear(plays: DataFrame, slice_ms: int = HOUR_MS) -> LinearRegressionModel:
+def train_linear(plays: DataFrame) -> LinearRegressionModel:
     """Least squares of the gap on the same features, over all examples.
 
     Examples with equal features are replaced by their mean gap, weighted by their number.
     That leaves the solution unchanged and at most 168 rows per user to solve it from.
     """
     means = (
-        forward_gap_examples(plays, slice_ms)
+        forward_gap_examples(plays)
         .groupBy(*FEATURES)
         .agg(F.count(F.lit(1)).alias("n"), F.avg("gap_ms").alias("mean_gap"))
     )
@@ -185,10 +184,10 @@ def train_linear(plays: DataFrame, slice_ms: int = HOUR_MS) -> LinearRegressionM
     return regression.fit(assembler.transform(cut_lineage(means, "gap-means")))
 
 
-def linear_mse(model: LinearRegressionModel, plays: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def linear_mse(model: LinearRegressionModel, plays: DataFrame) -> DataFrame:
     """Mean squared error over all examples, as one row."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    scored = model.transform(assembler.transform(forward_gap_examples(plays, slice_ms)))
+    scored = model.transform(assembler.transform(forward_gap_examples(plays)))
     return scored.agg(F.avg(F.pow(F.col("predicted_gap") - F.col("gap_ms"), 2)).alias("mse"))
 
 

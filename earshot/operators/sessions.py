@@ -13,32 +13,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.time import slice_start
-from earshot.operators.timeline import HOUR_MS, carried, play_order
+from earshot.operators.timeline import HOUR_MS, in_range, in_user, over_ranges, play_order, with_neighbour
 from earshot.session import cut_lineage
 
 # Fixed value: more than 20 minutes between two starts ends a session.
 SESSION_GAP_MS = 1_200_000
 
-# Also for wider gaps, no task has to sort more than an hour of one user's plays.
+# Slices of wider gaps are an hour.
 WIDEST_SLICE_MS = HOUR_MS
 
 # Sessions of slices narrower than this are numbered hour by hour, then within the hour.
 NARROW_SLICE_MS = 60_000
 
 
-def slice_width(gap_ms: int, slice_ms: int = WIDEST_SLICE_MS) -> int:
-    """No wider than the gap, the hour, and what ``slice_for`` found for a log with bursts."""
-    return max(1, min(gap_ms, slice_ms, WIDEST_SLICE_MS))
+def slice_width(gap_ms: int) -> int:
+    """No wider than the gap and the hour."""
+    return max(1, min(gap_ms, WIDEST_SLICE_MS))
 
 
-def session_slices(
-    plays: DataFrame, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
-) -> DataFrame:
+def carried(edges: DataFrame) -> DataFrame:
+    """``edges`` of narrow slices with ``prev_ts`` of the user's previous non-empty slice in its place.
+
+    It is carried within the hour, and from hour to hour by one row each, so that a window over a
+    user alone sees hours, however narrow the slices are.
+    """
+    hourly = edges.withColumn("_hour", slice_start(F.col("slice"), HOUR_MS))
+    hours = (
+        hourly.groupBy("user", "_hour")
+        .agg(F.max_by("prev_ts", "slice").alias("_far"))
+        .withColumn("_far", F.lag("_far").over(Window.partitionBy("user").orderBy("_hour")))
+    )
+    in_hour = Window.partitionBy("user", "_hour").orderBy("slice")
+    return (
+        hourly.withColumn("prev_ts", F.lag("prev_ts").over(in_hour))
+        .join(hours, ["user", "_hour"])
+        .withColumn("prev_ts", F.coalesce("prev_ts", "_far"))
+        .drop("_far")
+    )
+
+
+def session_slices(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """One row per user and non-empty slice: first and last play, session number.
 
     ``prev_ts`` is the user's last play before the slice.
     """
-    width = slice_width(gap_ms, slice_ms)
+    width = slice_width(gap_ms)
     slices = plays.groupBy("user", slice_start(F.col("ts_ms"), width).alias("slice")).agg(
         F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts")
     )
@@ -48,13 +67,7 @@ def session_slices(
         return slices.withColumn("prev_ts", F.lag("last_ts").over(by_slice)).withColumn(
             "user_session_id", F.sum(starts).over(by_slice)
         )
-    edges = slices.withColumnRenamed("slice", "_slice").withColumn("prev_ts", F.col("last_ts"))
-    linked = (
-        carried(edges, width, back=True, value="prev_ts")
-        .withColumnRenamed("_slice", "slice")
-        .withColumn("_hour", slice_start(F.col("slice"), HOUR_MS))
-        .withColumn("_starts", starts)
-    )
+    linked = carried(slices.withColumn("prev_ts", F.col("last_ts"))).withColumn("_starts", starts)
     before = Window.partitionBy("user").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     hours = (
         linked.groupBy("user", "_hour")
@@ -71,22 +84,31 @@ def session_slices(
     )
 
 
-def sessionize(
-    plays: DataFrame, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
-) -> DataFrame:
-    """Plays with ``pts``, ``pdiff``, ``is_new_session`` and ``user_session_id``."""
-    slices = session_slices(plays, gap_ms, slice_ms).select("user", "slice", "prev_ts", "user_session_id")
-    sliced = plays.withColumn("slice", slice_start(F.col("ts_ms"), slice_width(gap_ms, slice_ms)))
-    in_slice = Window.partitionBy("user", "slice").orderBy(*play_order(plays))
-    pts, pdiff = F.col("pts"), F.col("pdiff")
-    return (
-        sliced.withColumn("pts", F.lag("ts_ms").over(in_slice))
-        .join(slices, ["user", "slice"])
-        .withColumn("pts", F.coalesce("pts", "prev_ts"))
-        .withColumn("pdiff", F.col("ts_ms") - pts)
-        .withColumn("is_new_session", F.when(pts.isNull() | (pdiff > gap_ms), 1).otherwise(0))
-        .select(*plays.columns, "pts", "pdiff", "is_new_session", "user_session_id")
-    )
+def sessionize(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+    """Plays with ``pts``, ``pdiff``, ``is_new_session`` and ``user_session_id``.
+
+    Session numbers are running counts of starts, over a user's plays, or over a range of a busy user's
+    with the count of the ranges before it.
+    """
+    calm, busy = with_neighbour(plays, "ts_ms", "pts", back=True)
+    pdiff = F.col("ts_ms") - F.col("pts")
+    starts = F.when(F.col("pts").isNull() | (pdiff > gap_ms), 1).otherwise(0)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+
+    def started(part: DataFrame) -> DataFrame:
+        return part.withColumn("pdiff", pdiff).withColumn("is_new_session", starts)
+
+    columns = [*plays.columns, "pts", "pdiff", "is_new_session", "user_session_id"]
+    number = F.sum("is_new_session").over(in_user(plays).rowsBetween(*so_far))
+    found = started(calm).withColumn("user_session_id", number).select(*columns)
+    if busy is None:
+        return found
+    busy = started(busy)
+    before = F.sum("_n").over(over_ranges().rowsBetween(Window.unboundedPreceding, -1))
+    earlier = busy.groupBy("user", "_range").agg(F.sum("is_new_session").alias("_n")).withColumn("_n", F.coalesce(before, F.lit(0)))
+    number = F.sum("is_new_session").over(in_range(plays).rowsBetween(*so_far))
+    numbered = busy.withColumn("_in_range", number).join(earlier, ["user", "_range"])
+    return found.unionByName(numbered.withColumn("user_session_id", F.col("_n") + F.col("_in_range")).select(*columns))
 
 
 def session_lengths(plays: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
@@ -139,12 +161,11 @@ def top_sessions(plays: DataFrame, n: int, gap_ms: int = SESSION_GAP_MS) -> Data
     )
 
 
-def sessions_sql(
-    spark: SparkSession, gap_ms: int = SESSION_GAP_MS, slice_ms: int = WIDEST_SLICE_MS
-) -> DataFrame:
+def sessions_sql(spark: SparkSession, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """The SQL form of :func:`sessionize` over the view ``plays``, registered as ``sessions``."""
+    order = ", ".join(play_order(spark.table("plays")))
     sessions = spark.sql(
-        """
+        f"""
         WITH sliced AS (
           SELECT *, ts_ms - pmod(ts_ms, :width) AS slice FROM plays
         ),
@@ -163,7 +184,7 @@ def sessions_sql(
         ),
         placed AS (
           SELECT *, lag(ts_ms) OVER (PARTITION BY user, slice
-                                     ORDER BY ts_ms, artistId, songId) AS pts_here
+                                     ORDER BY {order}) AS pts_here
           FROM sliced
         ),
         gaps AS (
@@ -176,7 +197,7 @@ def sessions_sql(
                user_session_id
         FROM gaps
         """,
-        args={"gap": gap_ms, "width": slice_width(gap_ms, slice_ms)},
+        args={"gap": gap_ms, "width": slice_width(gap_ms)},
     )
     sessions.createOrReplaceTempView("sessions")
     return sessions

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from earshot.models import next_song, next_time, recommend
 from earshot.operators import rankings, sessions
-from earshot.operators.timeline import HOUR_MS
 from earshot.operators.users import Users, numbers_of
 from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, with_play_numbers
 from earshot.sources.profiles import read_profiles
@@ -22,12 +21,9 @@ class ListeningLog:
 
     Per-user questions take a user name, several names, a DataFrame with ``user_id``, or
     nothing for all users. Users who are not in the log get no row. With ``model_dir``,
-    models are kept there and loaded next time; ``retrain=True`` replaces them. Logs with
-    bursts set ``log.slice_ms = slice_for(log.plays)`` before models are trained.
+    models are kept there and loaded next time; ``retrain=True`` replaces them.
     """
 
-    slice_ms = HOUR_MS
-
     def __init__(
         self, raw_log: DataFrame, profiles: DataFrame, model_dir: str | None = None, retrain: bool = False
     ):
@@ -86,7 +82,7 @@ class ListeningLog:
         kind = {"bucket_ms": 1, "forward": False} if exact else {}
         model = self._model(
             "next_time_exact" if exact else "next_time",
-            lambda path: next_time.train(self.plays, path, retrain=self._retrain, slice_ms=self.slice_ms, **kind),
+            lambda path: next_time.train(self.plays, path, retrain=self._retrain, **kind),
         )
         return next_time.predict(model, self.plays, self._users(users))
 
@@ -94,7 +90,7 @@ class ListeningLog:
         model = self._model(
             "next_song",
             lambda path: next_song.train(
-                self.plays, self.profiles, path, retrain=self._retrain, slice_ms=self.slice_ms
+                self.plays, self.profiles, path, retrain=self._retrain
             ),
         )
         return next_song.predict(model, self.plays, self.profiles, self._users(users))

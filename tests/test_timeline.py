@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.models.next_time import forward_gap_examples, gap_examples
 from earshot.operators import sessions, timeline
+from earshot.sources.profiles import with_profile_numbers
 from earshot.sources.tables import register_views
 
 MIN = 60_000
@@ -16,13 +17,22 @@ def by_user(rows):
     return [list(plays) for _, plays in groupby(sorted(rows), key=lambda r: r[0])]
 
 
-@pytest.mark.parametrize("slice_ms", [1, 1_000, timeline.HOUR_MS, 10**12])
-def test_neighbours_do_not_depend_on_the_slices(make_plays, skewed_rows, slice_ms):
+@pytest.fixture(params=["calm", "busy", "split"])
+def limits(request, monkeypatch):
+    """Users in one task each; the largest one split; everybody split into ranges of few plays."""
+    if request.param != "calm":
+        monkeypatch.setattr(timeline, "SMALL_BYTES", 0)
+        monkeypatch.setattr(timeline, "PLAYS_PER_TASK", 100 if request.param == "busy" else 1)
+        monkeypatch.setattr(timeline, "RANGE_PLAYS", 50 if request.param == "busy" else 20)
+    return request.param
+
+
+def test_neighbours_do_not_depend_on_the_ranges(spark, make_plays, skewed_rows, limits, monkeypatch):
     plays = make_plays(skewed_rows)
     key = ["user", "ts_ms", "artistId", "songId"]
-    gaps = {tuple(r[c] for c in key): (r.pts, r.pdiff) for r in timeline.play_gaps(plays, slice_ms).collect()}
-    ahead = {tuple(r[c] for c in key): r.nts for r in timeline.with_next_ts(plays, slice_ms).collect()}
-    songs = {tuple(r[c] for c in key): r.next_songId for r in timeline.with_next_song(plays, slice_ms).collect()}
+    gaps = {tuple(r[c] for c in key): (r.pts, r.pdiff) for r in timeline.play_gaps(plays).collect()}
+    ahead = {tuple(r[c] for c in key): r.nts for r in timeline.with_next_ts(plays).collect()}
+    songs = {tuple(r[c] for c in key): r.next_songId for r in timeline.with_next_song(plays).collect()}
     assert len(gaps) == len(ahead) == len(songs) == len(skewed_rows)
     for history in by_user(skewed_rows):
         assert gaps[history[0]] == (None, None)
@@ -31,18 +41,30 @@ def test_neighbours_do_not_depend_on_the_slices(make_plays, skewed_rows, slice_m
             assert gaps[two] == (one[1], two[1] - one[1])
             assert ahead[one] == two[1]
             assert songs[one] == two[3]
-    assert timeline.next_song_pairs(plays, slice_ms).count() == len(skewed_rows) - 3
-
-
-def test_slices_narrow_for_bursts(make_plays):
-    quiet = [("user_1", hour * timeline.HOUR_MS, "a", "s") for hour in range(50)]
-    burst = [("user_2", ms, "a", "s") for ms in range(0, 3_000, 30)]
-    assert timeline.slice_for(make_plays(quiet), 10) == timeline.HOUR_MS
-    assert timeline.slice_for(make_plays(quiet + burst), 100) == timeline.HOUR_MS
-    assert timeline.slice_for(make_plays(quiet + burst), 40) == 1_000
-    assert timeline.slice_for(make_plays(quiet + burst), 10) == 1
-    assert timeline.slice_for(make_plays(quiet + quiet), 1) == 1
-    assert timeline.slice_for(make_plays(quiet).limit(0)) == timeline.HOUR_MS
+    assert timeline.next_song_pairs(plays).count() == len(skewed_rows) - 3
+    monkeypatch.setattr(timeline, "SENT_USERS", 0)
+    profiles = with_profile_numbers(spark.createDataFrame([("user_000001", "m", 30, "Peru")], "user string, gender string, age int, country string"))
+    described = timeline.next_song_pairs(plays, profiles).collect()
+    assert {tuple(r[c] for c in key): r.next_songId for r in described} == {k: v for k, v in songs.items() if v}
+    assert {(r.user, r.age) for r in described} == {("user_000001", 30), ("user_000002", 0), ("user_000003", 0)}
+
+
+def test_a_burst_within_one_millisecond_is_split(make_plays, monkeypatch):
+    """All plays of a user at one instant, many of them equal: neighbours follow the order of songs."""
+    monkeypatch.setattr(timeline, "SMALL_BYTES", 0)
+    monkeypatch.setattr(timeline, "PLAYS_PER_TASK", 100)
+    monkeypatch.setattr(timeline, "RANGE_PLAYS", 60)
+    rows = [("user_1", 5, "a", f"s{k % 40:02d}") for k in range(400)] + [("user_2", 5, "a", "s")]
+    plays = make_plays(rows)
+    _, busy = timeline.by_busy_users(plays)
+    sizes = [r["count"] for r in busy.groupBy("_range").count().collect()]
+    assert len(sizes) > 3 and sum(sizes) == 400 and max(sizes) < 200
+    found = timeline.with_next_song(plays).where("user = 'user_1'").collect()
+    expected = sorted(f"s{k % 40:02d}" for k in range(400))
+    assert sorted((r.songId, r.next_songId or "") for r in found) == sorted(zip(expected, [*expected[1:], ""]))
+    numbered = sessions.sessionize(plays).collect()
+    assert {(r.user, r.user_session_id) for r in numbered} == {("user_1", 1), ("user_2", 1)}
+    assert sum(r.is_new_session for r in numbered) == 2
 
 
 def expected_sessions(rows, gap_ms):
@@ -58,7 +80,7 @@ def expected_sessions(rows, gap_ms):
 
 
 @pytest.mark.parametrize("gap_ms", [0, 1, MIN, sessions.SESSION_GAP_MS, 10**9])
-def test_sessions_match_a_plain_loop(spark, make_plays, skewed_rows, gap_ms):
+def test_sessions_match_a_plain_loop(spark, make_plays, skewed_rows, gap_ms, limits):
     plays = make_plays(skewed_rows)
     columns = ["user", "ts_ms", "artistId", "songId", "pts", "is_new_session", "user_session_id"]
     expected = expected_sessions(skewed_rows, gap_ms)
@@ -70,6 +92,11 @@ def test_sessions_match_a_plain_loop(spark, make_plays, skewed_rows, gap_ms):
     assert spark.table("sessions").count() == len(skewed_rows)
 
 
+def test_columns_of_plays_are_kept_whatever_their_names(make_plays, skewed_rows):
+    plays = make_plays(skewed_rows).selectExpr("*", "'keep' AS slice", "'keep' AS prev_ts")
+    assert {(r.slice, r.prev_ts) for r in sessions.sessionize(plays).collect()} == {("keep", "keep")}
+
+
 def test_wide_gaps_keep_narrow_slices():
     assert [sessions.slice_width(g) for g in (0, 1, sessions.SESSION_GAP_MS, 10**9)] == [
         1,
