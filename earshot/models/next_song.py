@@ -62,7 +62,7 @@ def train(
         return train_on(split_examples(plays, profiles))
 
     parameters = {"kind": "next_song", "features": FEATURES}
-    return load_or_train(plays.sparkSession, path, parameters, fit, bayes.save, bayes.load, retrain)
+    return load_or_train(plays.sparkSession, path, parameters, fit, bayes.save, bayes.load, retrain, plays)
 
 
 def predict(

@@ -124,7 +124,7 @@ def train(
         return train_on(split_examples(plays, bucket_ms, forward))
 
     parameters = {"kind": "next_time", "features": FEATURES, "bucket_ms": bucket_ms, "forward": forward}
-    return load_or_train(plays.sparkSession, path, parameters, fit, _save, load, retrain)
+    return load_or_train(plays.sparkSession, path, parameters, fit, _save, load, retrain, plays)
 
 
 def predict(model: NextTimeModel, plays: DataFrame, users: Users = None) -> DataFrame:

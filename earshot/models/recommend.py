@@ -97,7 +97,7 @@ def train(
         return Recommender(ALSModel.load(f"{saved}/als"), spark.read.parquet(f"{saved}/index"), item)
 
     parameters = {"kind": "recommender", "item": item, "rank": RANK, "iterations": ITERATIONS, "blocks": blocks}
-    return load_or_train(plays.sparkSession, path, parameters, lambda: _fit(plays, item, blocks), _save, load, retrain)
+    return load_or_train(plays.sparkSession, path, parameters, lambda: _fit(plays, item, blocks), _save, load, retrain, plays)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.models import next_song, next_time, recommend
+from earshot.models import next_song, next_time, recommend, store
 from earshot.operators import rankings, sessions
 from earshot.operators.users import Users, numbers_of
 from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, with_play_numbers
@@ -105,6 +105,12 @@ class ListeningLog:
         """Both kinds in one row per user, as arrays."""
         return recommend.one_row_per_user(self.recommend_artists(n, users), self.recommend_songs(n, users))
 
+    def changed_models(self) -> DataFrame:
+        """Stored models and whether the log has changed since they were trained."""
+        names = ["next_time", "next_time_exact", "next_song", "recommend_songId", "recommend_artistId"]
+        paths = {name: f"{self._model_dir}/{name}" for name in names} if self._model_dir else {}
+        return store.changed_models(self.spark, paths, self.plays)
+
     def _recommender(self, item: str) -> recommend.Recommender:
         return self._model(
             f"recommend_{item}", lambda path: recommend.train(self.plays, item, path, self._retrain)

@@ -343,9 +343,14 @@ def test_models_are_kept_and_replaced(spark, plays, tmp_path):
         return store.load_or_train(spark, path, {"a": 1}, fit, next_time._save, lambda s, p: p, retrain)
 
     get()
-    assert get() == path and len(trained) == 1
+    first = get()
+    assert first.startswith(path) and len(trained) == 1
     get(retrain=True)
     assert len(trained) == 2
+    second = get()
+    assert second != first and [kept["version"] for kept in store.kept_versions(spark, path)] == [1, 2]
+    for folder in (first, second):  # a reader of the old version goes on
+        assert spark.read.parquet(f"{folder}/medians").count() > 0
 
 
 @pytest.mark.parametrize("had_one", [False, True])
@@ -363,7 +368,22 @@ def test_a_save_cut_short_is_not_a_model(spark, tmp_path, had_one):
         assert store.kept_parameters(spark, path) == {}
     with pytest.raises(OSError):
         store.load_or_train(spark, path, {}, lambda: 1, fails, lambda s, p: 2, retrain=True)
-    assert store.kept_parameters(spark, path) is None
+    assert store.kept_parameters(spark, path) == ({} if had_one else None)
+    if had_one:  # the version before stays in use
+        assert store.load_or_train(spark, path, {}, None, fails, lambda s, p: s.read.parquet(f"{p}/part").count()) == 1
+
+
+def test_a_changed_log_is_reported(spark, crowd, profiles, make_plays, tmp_path):
+    raw = crowd.select("user", "ts", "ts_ms", "artistId", "artist", "songId", "song")
+    models = str(tmp_path / "models")
+    ListeningLog(raw, profiles, model_dir=models).predict_next_play_time("user_5").collect()
+    same = ListeningLog(raw.repartition(3), profiles, model_dir=models)
+    n = crowd.count()
+    assert [tuple(r) for r in same.changed_models().collect()] == [("next_time", 1, n, n, False)]
+    more = make_plays([("user_000005", 9_000_000, "art", "song")]).select(*raw.columns)
+    grown = ListeningLog(raw.unionByName(more), profiles, model_dir=models)
+    assert [tuple(r) for r in grown.changed_models().collect()] == [("next_time", 1, n, n + 1, True)]
+    assert ListeningLog(raw, profiles).changed_models().collect() == []
 
 
 def test_all_questions_with_stored_models(crowd, profiles, tmp_path):

@@ -362,6 +362,15 @@ JOIN ({_dimension("songId", ["artistId", "artist", "song"])}) d ON d."songId" =
     "predict_next_play_time": sql(
         _PREDICTED_TIME, NEXT_TIME, bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id")
     ),
+    "predict_next_play_time_stored": sql(
+        _PREDICTED_TIME, NEXT_TIME, bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id")
+    ),
+    "changed_models": sql(
+        """
+SELECT model, 1::INTEGER AS version, trained_plays, plays, trained_plays <> plays AS changed
+FROM (SELECT count(*) AS plays, count(*) FILTER (user_id % 3 <> 0) AS older FROM plays),
+     LATERAL (VALUES ('next_time', older), ('next_song', plays)) AS kept(model, trained_plays)"""
+    ),
     "predict_next_play_time_exact": sql(
         _PREDICTED_TIME, EXACT_GAPS, bayes("bucket", TIME_FEATURES, "SELECT * FROM last_plays", "user_id")
     ),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import hash_key31, user_number
 from earshot.functions.time import plus_ms
-from earshot.models import next_song, next_time, recommend
+from earshot.models import next_song, next_time, recommend, store
 from earshot.operators import items, rankings, sessions, splits, timeline, users
+from earshot.session import shared_folder
 from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
 from earshot.sources.tables import register_views
@@ -146,6 +147,22 @@ def predict_next_play_time_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_time.predict(next_time.train(log, bucket_ms=1, forward=False), log)
 
 
+def predict_next_play_time_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer of a model that was saved and loaded again."""
+    log, folder = stored_plays(spark, sf_dir), shared_folder(spark, "models")
+    next_time.train(log, f"{folder}/next_time")
+    return next_time.predict(next_time.train(log, f"{folder}/next_time"), log)
+
+
+def changed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored models, one of them trained before the log grew."""
+    log, folder = stored_plays(spark, sf_dir), shared_folder(spark, "models")
+    paths = {name: f"{folder}/{name}" for name in ("next_time", "next_song")}
+    next_time.train(log.where(OLD_USERS), paths["next_time"])
+    next_song.train(log, profiles(spark, sf_dir), paths["next_song"])
+    return store.changed_models(spark, paths, log)
+
+
 def recommend_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = stored_plays(spark, sf_dir)
     return recommend.recommend_songs(recommend.train(log, "songId"), log, RECOMMENDATIONS)
@@ -240,6 +257,8 @@ QUERIES: dict[str, Query] = {
     "forward_gap_examples": forward_gap_examples,
     "predict_next_play_time": predict_next_play_time,
     "predict_next_play_time_exact": predict_next_play_time_exact,
+    "predict_next_play_time_stored": predict_next_play_time_stored,
+    "changed_models": changed_models,
     "next_time_accuracy": next_time_accuracy,
     "next_time_linear": next_time_linear,
     "next_time_linear_error": next_time_linear_error,
