@@ -69,44 +69,44 @@ def item_index(items: DataFrame, item: str) -> DataFrame:
     return numbered.select(item, (F.col("_offset") + F.col("_place")).alias("item_index"))
 
 
-def unheard_items(plays: DataFrame, item: str, users: Users = None) -> DataFrame:
-    """Items somebody played that the user did not: ``user_id``, ``item``.
+def unheard_ranges(plays: DataFrame, item: str, users: Users = None, index: DataFrame | None = None) -> DataFrame:
+    """Items somebody played that the user did not, as ``user_id, low, high``: runs of item numbers, both ends in.
 
-    ``users`` narrows the answer; without it, every user with a play is answered. No (user, item) pair is ever built to be thrown away: a user's heard item
-    numbers leave ranges between them, ranges are cut at blocks of the catalogue, and each
-    piece takes its slice of the block it falls in. Shuffles carry ranges, never pairs.
+    ``users`` narrows the answer; without it, every user with a play is answered. A user has at most one
+    run more than items heard, so the result is bounded by what was heard, not by users times items; a user who
+    heard it all has none. ``index`` (:func:`item_index` of the log, made here without one) says what the numbers
+    mean; :func:`expanded` turns runs into items. No (user, item) pair is built to be thrown away.
     """
-    heard = plays.select("user_id", item).distinct()
-    index = item_index(plays, item)
+    heard = of_users(plays.select("user_id", item), users).distinct()
+    index = item_index(plays, item) if index is None else index
     n_items = index.agg(F.count(F.lit(1))).scalar()
 
     by_user = Window.partitionBy("user_id").orderBy("item_index")
     following = F.coalesce(F.lead("item_index").over(by_user), n_items)
-    ranges = (
-        of_users(heard, users)
-        .join(index, item)
+    before = F.struct(
+        F.lit(0).cast("long").alias("low"),
+        F.when(F.col("_is_first"), F.col("item_index") - 1).otherwise(F.lit(-1)).alias("high"),
+    )
+    after = F.struct((F.col("item_index") + 1).alias("low"), (F.col("_following") - 1).alias("high"))
+    return (
+        heard.join(index, item)
         .withColumn("_is_first", F.lag("item_index").over(by_user).isNull())
         .withColumn("_following", following)
-        .select(
-            "user_id",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit(0).cast("long").alias("low"),
-                        F.when(F.col("_is_first"), F.col("item_index") - 1).otherwise(F.lit(-1)).alias("high"),
-                    ),
-                    F.struct(
-                        (F.col("item_index") + 1).alias("low"),
-                        (F.col("_following") - 1).alias("high"),
-                    ),
-                )
-            ).alias("range"),
-        )
+        .select("user_id", F.explode(F.array(before, after)).alias("range"))
         .select("user_id", "range.*")
         .filter("low <= high")
     )
+
+
+def expanded(ranges: DataFrame, index: DataFrame, item: str) -> DataFrame:
+    """``user_id`` and ``item`` for every number in ``ranges``, with ``index`` saying what it means.
+
+    Runs are cut at blocks of the catalogue, and each piece takes its slice of the block it falls
+    in: shuffles carry runs, never pairs. The output is as large as the runs are long, so ask for
+    some users on a large log.
+    """
     # A small catalogue is one block; the salt spreads the users who take slices of it.
-    salts = int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = ranges.withColumn(
         "block", F.explode(F.expr(f"sequence(low div {BLOCK_ITEMS}, high div {BLOCK_ITEMS})"))
     ).withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)))
@@ -122,3 +122,9 @@ def unheard_items(plays: DataFrame, item: str, users: Users = None) -> DataFrame
         .select("user_id", F.explode(taken).alias("taken"))
         .select("user_id", F.col(f"taken.{item}").alias(item))
     )
+
+
+def unheard_items(plays: DataFrame, item: str, users: Users = None) -> DataFrame:
+    """Items somebody played that the user did not: ``user_id``, ``item``, one row per pair."""
+    index = cut_lineage(item_index(plays, item), "item-index")
+    return expanded(unheard_ranges(plays, item, users, index), index, item)

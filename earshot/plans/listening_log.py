@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from earshot.models import next_song, next_time, recommend, store
 from earshot.operators import rankings, sessions
 from earshot.operators.users import Users, numbers_of
-from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, with_play_numbers
-from earshot.sources.profiles import read_profiles
+from earshot.sources.play_log import plays_from_raw, read_raw_log, read_raw_users, rejected_plays, with_play_numbers
+from earshot.sources.profiles import read_profiles, rejected_profiles
+from earshot.sources.table_functions import register_functions
 from earshot.sources.tables import read_table, register_views, write_plays
 
 Asked = str | Iterable[str] | DataFrame | None
@@ -35,6 +37,7 @@ class ListeningLog:
         self._model_dir = model_dir
         self._retrain = retrain
         self._models: dict[str, object] = {}
+        self._files: tuple[str, str] | None = None
 
     @classmethod
     def from_files(
@@ -42,8 +45,18 @@ class ListeningLog:
     ) -> ListeningLog:
         log = cls(read_raw_log(spark, log_path), read_profiles(spark, profiles_path), model_dir, retrain)
         log._raw_users = read_raw_users(spark, log_path)
+        log._files = log_path, profiles_path
         return log
 
+    def rejected_lines(self) -> DataFrame:
+        """``file``, ``line`` and ``reason`` of the lines that were left out; of a log from files."""
+        if self._files is None:
+            raise ValueError("only a log from files knows its lines")
+        log_path, profiles_path = self._files
+        of_log = rejected_plays(self.spark, log_path).withColumn("file", F.lit("plays"))
+        of_profiles = rejected_profiles(self.spark.read.text(profiles_path)).withColumn("file", F.lit("profiles"))
+        return of_log.unionByName(of_profiles).select("file", "line", "reason")
+
     def store(self, folder: str) -> None:
         """Write the tables as Parquet, so that later questions do not parse text again."""
         write_plays(with_play_numbers(self.raw_log), f"{folder}/raw_log")
@@ -60,7 +73,9 @@ class ListeningLog:
         return log
 
     def register_views(self) -> None:
+        """``plays``, ``profiles`` and the table functions for ``spark.sql``."""
         register_views(self.plays, self.profiles)
+        register_functions(self.spark)
 
     def unique_users(self) -> DataFrame:
         return rankings.unique_users(self.plays)

@@ -31,6 +31,25 @@ def read_raw_users(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("user"))
 
 
+def rejected_plays(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` and ``reason`` of every line of the file that is no play: the first of what it lacks.
+
+    Reasons: ``blank line``, ``fields missing`` (none for the song id), ``unreadable time``, ``no artist id``, ``no
+    song id``. Lines are read as they stand, so this is a pass of its own, for those who ask.
+    """
+    lines = spark.read.text(path)
+    fields = F.split("value", "\t")
+    named = lines.select("value", fields.alias("fields"), play_time(F.get(fields, F.lit(1))).alias("ts"))
+    reason = (
+        F.when(F.trim("value") == "", "blank line")
+        .when(F.size("fields") < 5, "fields missing")
+        .when(F.col("ts").isNull(), "unreadable time")
+        .when(F.get("fields", F.lit(2)) == "", "no artist id")
+        .when(F.get("fields", F.lit(4)) == "", "no song id")
+    )
+    return named.select(F.col("value").alias("line"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def identified_plays(raw_log: DataFrame) -> DataFrame:
     """Only rows that say when, by whom (artist) and what (song)."""
     return raw_log.filter(

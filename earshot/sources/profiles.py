@@ -30,6 +30,19 @@ def parse_profiles(lines: DataFrame) -> DataFrame:
     )
 
 
+def rejected_profiles(lines: DataFrame) -> DataFrame:
+    """``line`` and ``reason`` of the lines that are no profile: ``comment``, ``blank line``, ``not five fields``, ``unreadable date``."""
+    fields = F.split(F.regexp_replace("value", "\t+$", ""), "\t")
+    date = registration_date(F.get(fields, F.lit(len(PROFILE_FIELDS) - 1)))
+    reason = (
+        F.when(F.col("value").startswith("#"), "comment")
+        .when(F.trim("value") == "", "blank line")
+        .when(F.size(fields) != len(PROFILE_FIELDS), "not five fields")
+        .when(date.isNull(), "unreadable date")
+    )
+    return lines.select(F.col("value").alias("line"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def with_profile_numbers(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns(
         {

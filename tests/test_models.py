@@ -62,6 +62,22 @@ def test_unheard_is_everything_minus_heard(crowd, monkeypatch, block_items, item
     assert Counter((r.user_id, r[item]) for r in some.collect()) == Counter(p for p in expected if p[0] in (2, 5))
 
 
+@pytest.mark.parametrize("item", ["songId", "artistId"])
+def test_unheard_ranges_are_bounded_by_what_was_heard(crowd, item):
+    index = items.item_index(crowd, item)
+    ranges = items.unheard_ranges(crowd, item, index=index).collect()
+    numbers = {r[item]: r.item_index for r in index.collect()}
+    heard = {}
+    for r in crowd.select("user_id", item).distinct().collect():
+        heard.setdefault(r.user_id, set()).add(numbers[r[item]])
+    for user, mine in heard.items():
+        runs = sorted((r.low, r.high) for r in ranges if r.user_id == user)
+        assert len(runs) <= len(mine) + 1
+        assert [at for low, high in runs for at in range(low, high + 1)] == [at for at in range(len(numbers)) if at not in mine]
+        assert all(high + 1 < low for (_, high), (low, _) in zip(runs, runs[1:]))
+    assert {r.user_id for r in items.unheard_ranges(crowd, item, [2, 999]).collect()} <= {2}
+
+
 def test_dimensions_take_the_latest_name(make_plays):
     plays = make_plays([("user_1", 5, "a", "s"), ("user_2", 9, "a", "s"), ("user_2", 1, "b", "s")])
     plays = plays.withColumn("artist", F.concat("artist", F.lit(" at "), "ts_ms"))

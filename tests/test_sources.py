@@ -3,6 +3,7 @@
 import datetime
 import json
 import uuid
+from collections import Counter
 
 import pytest
 from compare import explained
@@ -12,7 +13,7 @@ from earshot import ListeningLog
 from earshot.functions.text import gender_code, hash_key31, integer_or_zero, user_number
 from earshot.functions.time import naive_epoch_ms, plus_ms, slice_start
 from earshot.operators.users import of_users
-from earshot.sources.play_log import identified_plays, plays_from_raw, read_plays, read_raw_log, read_raw_users
+from earshot.sources.play_log import identified_plays, plays_from_raw, read_plays, read_raw_log, read_raw_users, rejected_plays
 from earshot.sources.profiles import one_per_user, read_profiles
 from earshot.sources.tables import read_table, write_plays, write_result
 
@@ -63,6 +64,22 @@ def test_plays_keep_lines_with_time_and_both_ids(spark, files):
     }
 
 
+def test_rejected_lines_say_why(spark, files, tmp_path):
+    log = ListeningLog.from_files(spark, str(files / "log.tsv"), str(files / "profiles.tsv"))
+    rejected = log.rejected_lines().collect()
+    reasons = Counter((r.file, r.reason) for r in rejected)
+    assert reasons == {
+        ("plays", "no artist id"): 1, ("plays", "no song id"): 1, ("plays", "fields missing"): 1, ("plays", "unreadable time"): 1,
+        ("profiles", "comment"): 1, ("profiles", "blank line"): 2, ("profiles", "not five fields"): 2, ("profiles", "unreadable date"): 1,
+    }
+    assert len(LOG) == log.plays.count() + sum(r.file == "plays" for r in rejected)
+    assert len(PROFILES) == log.profiles.count() + sum(r.file == "profiles" for r in rejected)
+    odd = tmp_path / "odd.tsv"
+    odd.write_text("\n   \nuser_1\t2009-05-04T23:08:57Z\ta\tb\ts\nuser_1\t2009-05-04T23:08:57Z\ta\tb\n")
+    assert read_plays(spark, str(odd)).count() == 1
+    assert sorted(r.reason for r in rejected_plays(spark, str(odd)).collect()) == ["blank line", "blank line", "fields missing"]
+
+
 def test_play_instants_and_calendar(spark, files):
     plays = read_plays(spark, str(files / "log.tsv"))
     seen = {r.user: (r.ts_ms, r.day_of_week, r.hour_of_day) for r in plays.filter("songId <> 's2'").collect()}

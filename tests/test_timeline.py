@@ -3,11 +3,13 @@
 from itertools import groupby, pairwise
 
 import pytest
+from compare import explained
 from pyspark.sql import functions as F
 
 from earshot.models.next_time import forward_gap_examples, gap_examples
-from earshot.operators import sessions, timeline
+from earshot.operators import rankings, sessions, timeline
 from earshot.sources.profiles import with_profile_numbers
+from earshot.sources.table_functions import register_functions
 from earshot.sources.tables import register_views
 
 MIN = 60_000
@@ -97,6 +99,21 @@ def test_columns_of_plays_are_kept_whatever_their_names(make_plays, skewed_rows)
     assert {(r.slice, r.prev_ts) for r in sessions.sessionize(plays).collect()} == {("keep", "keep")}
 
 
+@pytest.mark.parametrize("gap_ms", [0, 1, MIN, sessions.SESSION_GAP_MS, 10**9])
+def test_table_functions_match_the_operators(spark, make_plays, skewed_rows, gap_ms):
+    plays = make_plays(skewed_rows)
+    register_views(plays)
+    register_functions(spark)
+    found = spark.sql(f"SELECT user, user_session_id, session_length FROM listening_sessions({gap_ms}L)").collect()
+    assert sorted(found) == sorted(sessions.session_lengths(plays, gap_ms).collect())
+    if gap_ms == sessions.SESSION_GAP_MS:
+        for n in (0, 3, 10_000):
+            assert sorted(spark.sql(f"SELECT * FROM top_sessions({n})").collect()) == sorted(sessions.top_sessions(plays, n).collect())
+            assert sorted(spark.sql(f"SELECT * FROM top_users({n})").collect()) == sorted(rankings.top_users(plays, n).collect())
+        plan = explained(spark.sql("SELECT * FROM top_songs(3)"))
+        assert "TakeOrderedAndProject" in plan
+
+
 def test_wide_gaps_keep_narrow_slices():
     assert [sessions.slice_width(g) for g in (0, 1, sessions.SESSION_GAP_MS, 10**9)] == [
         1,

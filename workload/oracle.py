@@ -195,6 +195,22 @@ WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = u.user_id AND p."{key}
 """
 
 
+def _unheard_ranges(key: str) -> str:
+    """Runs of numbers in the order of the first three hex digits of the item's MD5, then the item."""
+    return f"""
+, numbered AS (
+  SELECT "{key}", row_number() OVER (ORDER BY substring(md5("{key}"), 1, 3), "{key}") - 1 AS number
+  FROM (SELECT DISTINCT "{key}" FROM plays)
+),
+unheard AS (
+  SELECT u.user_id, number - row_number() OVER (PARTITION BY u.user_id ORDER BY number) AS run, number
+  FROM (SELECT DISTINCT user_id FROM plays) u CROSS JOIN numbered i
+  WHERE NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = u.user_id AND p."{key}" = i."{key}")
+)
+SELECT user_id, min(number) AS low, max(number) AS high FROM unheard GROUP BY user_id, run
+"""
+
+
 def _recommend_check(key: str) -> str:
     """Every user gets five items, or as many as they have not heard."""
     return f"""
@@ -270,6 +286,15 @@ SELECT "user", CAST(epoch_us(ts) // 1000000 * 1000 AS BIGINT) AS ts_ms, "artistI
 FROM plays"""
     ),
     "scan_user_profiles": sql('SELECT "user", gender, age, country, registered FROM profile_fields'),
+    "rejected_lines": sql(
+        """
+SELECT 'plays' AS file, CASE WHEN "artistId" = '' THEN 'no artist id' ELSE 'no song id' END AS reason, count(*) AS n_lines
+FROM raw WHERE "artistId" = '' OR "songId" = '' GROUP BY ALL
+UNION ALL
+SELECT 'profiles', 'not five fields', 1 + (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey)
+                                      - (SELECT count(*) FROM profile_fields)
+UNION ALL SELECT 'profiles', 'comment', 1 UNION ALL SELECT 'profiles', 'blank line', 1"""
+    ),
     "identified_plays": sql('SELECT event_id, "user", ts_ms, "artistId", "songId" FROM plays'),
     "user_dimension": sql('SELECT "user", user_id, gender_id, age, country_id FROM profiles', PROFILES),
     "hash_key31": sql(
@@ -319,6 +344,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DE
     ),
     "unheard_artists": sql(_unheard("artistId")),
     "unheard_songs": sql(_unheard("songId")),
+    "unheard_artist_ranges": sql(_unheard_ranges("artistId")),
+    "unheard_song_ranges": sql(_unheard_ranges("songId")),
     "recommend_artists_check": sql(_recommend_check("artistId")),
     "recommend_songs_check": sql(_recommend_check("songId")),
     "recommend_new_users_check": sql(_RECOMMEND_NEW),
@@ -382,3 +409,8 @@ FROM (SELECT count(*) AS plays, count(*) FILTER (user_id % 3 <> 0) AS older FROM
     "next_time_linear": sql(_LINEAR + _LINEAR_PREDICTION, NEXT_TIME),
     "next_time_linear_error": sql(_LINEAR + _LINEAR_ERROR, NEXT_TIME),
 }
+
+# The same questions asked in SQL.
+ORACLE |= {
+    f"{name}_sql": ORACLE[name] for name in ("top_users", "top_songs", "top_sessions", "session_lengths")
+} | {"last_plays_sql": ORACLE["last_play_by_user"]}

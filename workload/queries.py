@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from earshot import ListeningLog
 from earshot.functions.text import hash_key31, user_number
 from earshot.functions.time import plus_ms
 from earshot.models import next_song, next_time, recommend, store
@@ -14,6 +15,7 @@ from earshot.operators import items, rankings, sessions, splits, timeline, users
 from earshot.session import shared_folder
 from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
+from earshot.sources.table_functions import register_functions
 from earshot.sources.tables import register_views
 from workload.event_tables import plays, profiles, raw_log, stored_plays, write_log_lines, write_profile_lines
 
@@ -36,6 +38,11 @@ def scan_user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_profiles(spark.read.text(write_profile_lines(spark, sf_dir)))
 
 
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = ListeningLog.from_files(spark, write_log_lines(spark, sf_dir), write_profile_lines(spark, sf_dir))
+    return log.rejected_lines().groupBy("file", "reason").count().withColumnRenamed("count", "n_lines")
+
+
 def user_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).select("user", "user_id", "gender_id", "age", "country_id")
 
@@ -71,6 +78,17 @@ def sessions_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _in_sql(question: str) -> Query:
+    """A question to the table functions over the view ``plays``."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(plays(spark, sf_dir))
+        register_functions(spark)
+        return spark.sql(question)
+
+    return query
+
+
 def next_song_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.next_song_pairs(plays(spark, sf_dir)).select("event_id", "user", "ts_ms", "songId", "next_songId")
 
@@ -220,6 +238,7 @@ def unheard_of_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_play_log": scan_play_log,
     "scan_user_profiles": scan_user_profiles,
+    "rejected_lines": rejected_lines,
     "identified_plays": identified,
     "user_dimension": user_dimension,
     "hash_key31": hash_keys,
@@ -233,6 +252,13 @@ QUERIES: dict[str, Query] = {
     "sessions_sql": sessions_sql,
     "session_lengths": lambda spark, sf_dir: sessions.session_lengths(plays(spark, sf_dir)),
     "top_sessions": lambda spark, sf_dir: sessions.top_sessions(plays(spark, sf_dir), TOP_SESSIONS),
+    "top_users_sql": _in_sql(f"SELECT * FROM top_users({TOP_N})"),
+    "top_songs_sql": _in_sql(f"SELECT * FROM top_songs({TOP_N})"),
+    "top_sessions_sql": _in_sql(f"SELECT * FROM top_sessions({TOP_SESSIONS})"),
+    "session_lengths_sql": _in_sql(
+        f"SELECT user, user_session_id, session_length FROM listening_sessions({sessions.SESSION_GAP_MS}L)"
+    ),
+    "last_plays_sql": _in_sql("SELECT * FROM last_plays()"),
     "artist_dimension": lambda spark, sf_dir: items.artist_dimension(plays(spark, sf_dir)),
     "song_dimension": lambda spark, sf_dir: items.song_dimension(plays(spark, sf_dir)),
     "artist_ratings": lambda spark, sf_dir: items.artist_ratings(plays(spark, sf_dir)),
@@ -241,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "last_play_by_user": last_play_by_user,
     "unheard_artists": lambda spark, sf_dir: items.unheard_items(plays(spark, sf_dir), "artistId"),
     "unheard_songs": lambda spark, sf_dir: items.unheard_items(plays(spark, sf_dir), "songId"),
+    "unheard_artist_ranges": lambda spark, sf_dir: items.unheard_ranges(plays(spark, sf_dir), "artistId"),
+    "unheard_song_ranges": lambda spark, sf_dir: items.unheard_ranges(plays(spark, sf_dir), "songId"),
     "recommend_artists": recommend_artists,
     "recommend_songs": recommend_songs,
     "recommend_artists_check": lambda spark, sf_dir: _recommend_check(spark, sf_dir, "artistId"),
