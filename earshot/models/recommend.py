@@ -22,8 +22,8 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.models.store import load_or_train
-from earshot.operators.items import artist_dimension, item_index, names_of, play_counts, song_dimension
+from earshot.models.store import kept_versions, load_or_train
+from earshot.operators.items import artist_dimension, extended_index, item_index, names_of, play_counts, song_dimension
 from earshot.operators.users import Users, of_users
 from earshot.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
@@ -57,11 +57,12 @@ class Recommender:
     item: str
 
 
-def _fit(plays: DataFrame, item: str, blocks: int) -> Recommender:
+def _fit(plays: DataFrame, item: str, blocks: int, known: DataFrame | None = None) -> Recommender:
+    """``known`` are the numbers of an earlier model, which its items keep."""
     ensure_checkpoint_dir(plays.sparkSession)
     counts = cut_lineage(play_counts(plays, item), "play-counts")
-    numbered = item_index(counts, item).withColumn("item_index", F.col("item_index").cast("int"))
-    index = cut_lineage(numbered, "item-index")
+    numbered = item_index(counts, item) if known is None else extended_index(known, counts, item)
+    index = cut_lineage(numbered.withColumn("item_index", F.col("item_index").cast("int")), "item-index")
     ratings = counts.join(index, item).select(
         "user_id", "item_index", F.col("play_count").cast("float").alias("rating")
     )
@@ -91,13 +92,22 @@ def _save(model: Recommender, path: str) -> None:
 def train(
     plays: DataFrame, item: str, path: str | None = None, retrain: bool = False, blocks: int = BLOCKS
 ) -> Recommender:
-    """Fit on all play counts of ``item`` (songId or artistId), or load from ``path``."""
+    """Fit on all play counts of ``item`` (songId or artistId), or load from ``path``.
+
+    A model that follows another one at ``path`` keeps its item numbers.
+    """
+    spark = plays.sparkSession
+
+    def fit() -> Recommender:
+        older = [kept for kept in kept_versions(spark, path) if kept["parameters"].get("item") == item] if path else []
+        known = spark.read.parquet(f"{path}/{older[-1]['folder']}/index") if older else None
+        return _fit(plays, item, blocks, known)
 
     def load(spark: SparkSession, saved: str) -> Recommender:
         return Recommender(ALSModel.load(f"{saved}/als"), spark.read.parquet(f"{saved}/index"), item)
 
     parameters = {"kind": "recommender", "item": item, "rank": RANK, "iterations": ITERATIONS, "blocks": blocks}
-    return load_or_train(plays.sparkSession, path, parameters, lambda: _fit(plays, item, blocks), _save, load, retrain, plays)
+    return load_or_train(spark, path, parameters, fit, _save, load, retrain, plays)
 
 
 @dataclass(frozen=True)

@@ -69,6 +69,18 @@ def item_index(items: DataFrame, item: str) -> DataFrame:
     return numbered.select(item, (F.col("_offset") + F.col("_place")).alias("item_index"))
 
 
+def extended_index(kept: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """``kept`` numbers as they are, and the next numbers for the values of ``item`` that it lacks.
+
+    Nothing is ever renumbered or reused: what was stored under a number stays right as the
+    catalogue grows, whether or not an item is played again. Numbers stay dense.
+    """
+    kept = kept.select(item, F.col("item_index").cast("long").alias("item_index"))
+    following = kept.agg(F.coalesce(F.max("item_index") + 1, F.lit(0))).scalar()
+    new = item_index(items.select(item).distinct().join(kept, item, "left_anti"), item)
+    return kept.unionByName(new.withColumn("item_index", F.col("item_index") + following))
+
+
 def unheard_ranges(plays: DataFrame, item: str, users: Users = None, index: DataFrame | None = None) -> DataFrame:
     """Items somebody played that the user did not, as ``user_id, low, high``: runs of item numbers, both ends in.
 

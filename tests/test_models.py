@@ -49,6 +49,23 @@ def test_item_index_is_dense_and_repeatable(plays):
     assert sorted(items.item_index(plays.repartition(5), "songId").collect()) == sorted(index)
 
 
+def test_item_numbers_last(spark, crowd, tmp_path):
+    first = crowd.where("user_id <= 2 AND songId < 'song_20'")
+    one = {r.songId: r.item_index for r in items.item_index(first, "songId").collect()}
+    kept = items.item_index(first, "songId")
+    two = {r.songId: r.item_index for r in items.extended_index(kept, crowd, "songId").collect()}
+    assert all(two[song] == number for song, number in one.items()) and len(two) > len(one)
+    assert sorted(two.values()) == list(range(len(two)))
+    gone = items.extended_index(items.extended_index(kept, crowd, "songId"), first.limit(3), "songId")
+    assert {r.songId: r.item_index for r in gone.collect()} == two
+    assert sorted(items.extended_index(kept.limit(0), first, "songId").collect()) == sorted(items.item_index(first, "songId").collect())
+    path = str(tmp_path / "songs")
+    old = {r.songId: r.item_index for r in recommend.train(first, "songId", path).index.collect()}
+    grown = recommend.train(crowd, "songId", path, retrain=True)
+    assert old.items() <= {r.songId: r.item_index for r in grown.index.collect()}.items()
+    assert recommend.recommend(grown, crowd, 3).count() > 0
+
+
 @pytest.mark.parametrize("block_items", [1, 4, 4_096])
 @pytest.mark.parametrize("item", ["songId", "artistId"])
 def test_unheard_is_everything_minus_heard(crowd, monkeypatch, block_items, item):

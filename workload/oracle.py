@@ -344,6 +344,11 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, "songId" DE
     ),
     "unheard_artists": sql(_unheard("artistId")),
     "unheard_songs": sql(_unheard("songId")),
+    "lasting_song_numbers": sql(
+        """
+, songs AS (SELECT "songId", bool_or(hour_of_day < 2) AS early, substring(md5("songId"), 1, 3) AS bucket FROM plays GROUP BY "songId")
+SELECT "songId", row_number() OVER (ORDER BY early DESC, bucket, "songId") - 1 AS item_index FROM songs"""
+    ),
     "unheard_artist_ranges": sql(_unheard_ranges("artistId")),
     "unheard_song_ranges": sql(_unheard_ranges("songId")),
     "recommend_artists_check": sql(_recommend_check("artistId")),

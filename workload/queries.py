@@ -12,7 +12,7 @@ from earshot.functions.text import hash_key31, user_number
 from earshot.functions.time import plus_ms
 from earshot.models import next_song, next_time, recommend, store
 from earshot.operators import items, rankings, sessions, splits, timeline, users
-from earshot.session import shared_folder
+from earshot.session import cut_lineage, shared_folder
 from earshot.sources.play_log import identified_plays, read_plays
 from earshot.sources.profiles import parse_profiles
 from earshot.sources.table_functions import register_functions
@@ -26,6 +26,8 @@ TOP_SESSIONS = 20
 RECOMMENDATIONS = 5
 # Users that a model is trained on; the others are new to it.
 OLD_USERS = "user_id % 3 <> 0"
+# Plays that an item dictionary starts from.
+FIRST_HOURS = "hour_of_day < 2"
 
 
 def scan_play_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +237,13 @@ def unheard_of_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unheard_items(log, "songId", asked_users(log))
 
 
+def lasting_song_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs of the first hours keep their numbers when all others join them."""
+    log = plays(spark, sf_dir)
+    first = cut_lineage(items.item_index(log.where(FIRST_HOURS), "songId"), "song-numbers")
+    return items.extended_index(first, log, "songId")
+
+
 QUERIES: dict[str, Query] = {
     "scan_play_log": scan_play_log,
     "scan_user_profiles": scan_user_profiles,
@@ -267,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "last_play_by_user": last_play_by_user,
     "unheard_artists": lambda spark, sf_dir: items.unheard_items(plays(spark, sf_dir), "artistId"),
     "unheard_songs": lambda spark, sf_dir: items.unheard_items(plays(spark, sf_dir), "songId"),
+    "lasting_song_numbers": lasting_song_numbers,
     "unheard_artist_ranges": lambda spark, sf_dir: items.unheard_ranges(plays(spark, sf_dir), "artistId"),
     "unheard_song_ranges": lambda spark, sf_dir: items.unheard_ranges(plays(spark, sf_dir), "songId"),
     "recommend_artists": recommend_artists,
