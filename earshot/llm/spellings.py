@@ -44,7 +44,7 @@ DAMAGED_RUN = 97
 RANGE_WORDS = 10_000
 GUESTS = 10_000
 #: Different words that a task counts before it passes them on.
-COUNTED = 200_000
+COUNTED = 400_000
 
 #: Maximal runs of a-z and U+00C0 to U+00FF that are long enough, in UTF-8.
 RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf]){%d,}" % MIN_LENGTH)
@@ -126,16 +126,27 @@ class Sorted:
         rows = [SAME] * (begin + 1)
         while at < end:
             other, depth = listed[at], len(rows) - 1
-            row = rows[depth]
-            while depth < len(other):
-                row = next_row(row, depth, other[depth], padded)
+            if not -1 <= len(other) - size <= 1:  # no row need be made for it
+                at += 1
+                del rows[common[at] + 1 :]
+                continue
+            shorter, equal, longer = rows[depth]
+            # next_row, written out: this loop is most of the work
+            for letter in other[depth:]:
+                here = shorter + (padded[depth - 1] != letter)
+                shorter = here if here <= equal else equal + 1
+                here = equal + (padded[depth] != letter)
+                if longer < here:
+                    here = longer + 1
+                equal = here if here <= shorter else shorter + 1
                 depth += 1
-                if min(row) > 1:
+                here = longer + (padded[depth] != letter)
+                longer = here if here <= equal else equal + 1
+                if shorter > 1 and equal > 1 and longer > 1:
                     break
-                rows.append(row)
+                rows.append((shorter, equal, longer))
             else:
-                by = len(other) - size
-                if -1 <= by <= 1 and row[1 - by] == 1:
+                if (longer, equal, shorter)[len(other) - size + 1] == 1:
                     yield at
                 depth += 1  # no word is skipped
             at += 1

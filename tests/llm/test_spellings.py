@@ -92,6 +92,21 @@ def test_rows_of_the_edit_matrix():
                 assert found == [other for other in listed if other[:begin] == word[:begin] and edits(word, other) == 1]
 
 
+def test_rows_written_out_are_those_of_the_function():
+    rng = random.Random(9)
+    for _ in range(300):
+        word, other = ("".join(rng.choices("abc", k=rng.randint(5, 9))) for _ in range(2))
+        other = word[: len(word) // 2] + other
+        row, begin = spellings.SAME, len(word) // 2
+        for depth in range(begin, len(other)):
+            row = spellings.next_row(row, depth, other[depth], word + spellings.PADDING)
+            if min(row) > 1:
+                break
+        found = min(row) <= 1 and abs(len(other) - len(word)) <= 1 and row[1 - len(other) + len(word)] == 1
+        assert list(spellings.Sorted([other]).near(word, begin)) == [0] * found
+        assert found == (edits(word, other) == 1)
+
+
 @pytest.mark.parametrize("limits", [{}, {"range_words": 40}, {"range_words": 9, "guests": 3}])
 def test_variants(spark, documents, limits):
     df = spark.createDataFrame(documents, "doc_id bigint, text string").selectExpr("*", "'x' AS word", "1 AS n", "2 AS range")
