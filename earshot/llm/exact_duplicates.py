@@ -36,8 +36,12 @@ def _choose(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def _of_row() -> Column:
-    """The row ``doc_id, sha256`` is the one named by ``__id`` and ``__sha256``."""
-    return F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__sha256") == F.col("sha256"))
+    """The row ``doc_id, sha256`` is the one named by ``__id`` and ``__sha256``.
+
+    Two comparisons are no key of a join, so digests are made only for rows whose id is met.
+    """
+    same = (F.col("__sha256") >= F.col("sha256")) & (F.col("__sha256") <= F.col("sha256"))
+    return F.col("__id").eqNullSafe(F.col("doc_id")) & same
 
 
 def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
