@@ -30,11 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import ship, stored, text_or_empty
+from earshot.session import shared_folder
 
 CLASSES, PER_CLASS = 32, 32
 WORDS = CLASSES * PER_CLASS
@@ -46,6 +48,8 @@ HIDDEN = 16
 ROUNDS = 4
 FAN_IN = 32
 BATCH = 4096
+#: Words that are looked up at a time, or one document.
+WORDS_AT_ONCE = 1 << 18
 RATE = 0.1
 SEED = 11
 
@@ -271,6 +275,24 @@ def _with_mean(scored: DataFrame) -> DataFrame:
     return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
 
 
+def group_sums(weights: Weights, documents: list[np.ndarray], size: int) -> np.ndarray:
+    """The log-probability of each document's groups; short documents share a batch."""
+    sums, at = np.zeros(len(documents)), 0
+    while at < len(documents):
+        end, n_words = at, 0
+        while end < len(documents) and (end == at or n_words < BATCH):
+            n_words += len(documents[end])
+            end += 1
+        line, places = padded([groups_of(hashes, size) for hashes in documents[at:end]], size)
+        owner = np.repeat(np.arange(end - at), [len(hashes) for hashes in documents[at:end]])
+        for first in range(0, len(places), BATCH):
+            part = slice(first, first + BATCH)
+            found = log_probabilities(weights, line, places[part])
+            sums[at:end] += np.bincount(owner[part], weights=found, minlength=end - at)
+        at = end
+    return sums
+
+
 def _group_scores(words: DataFrame, flat: np.ndarray) -> DataFrame:
     """``n_tokens, log_likelihood`` in place of ``words``."""
     size = GROUPS[len(flat)]
@@ -278,13 +300,8 @@ def _group_scores(words: DataFrame, flat: np.ndarray) -> DataFrame:
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = split_weights(flat)
         for frame in frames:
-            sums, counts = [], []
-            for packed in frame.pop("words"):
-                line, places = padded([groups_of(np.frombuffer(packed, np.uint64), size)], size)
-                parts = [log_probabilities(weights, line, places[at : at + BATCH]) for at in range(0, len(places), BATCH)]
-                sums.append(float(sum(part.sum(dtype=np.float64) for part in parts)))
-                counts.append(len(places))
-            yield frame.assign(n_tokens=counts, log_likelihood=sums)
+            documents = [np.frombuffer(packed, np.uint64) for packed in frame.pop("words")]
+            yield frame.assign(n_tokens=list(map(len, documents)), log_likelihood=group_sums(weights, documents, size))
 
     kept = ", ".join(f"{name} {kind}" for name, kind in words.dtypes if name != "words")
     return words.mapInPandas(score, f"{kept}, n_tokens bigint, log_likelihood double")
@@ -309,8 +326,8 @@ def groups_for(n_words: int) -> int:
     return size
 
 
-def word_shares(words: DataFrame, counted: DataFrame, size: int) -> DataFrame:
-    """``row, of_words``: the sum over a row's words of the logarithm of their share of their group.
+def _weighed(words: DataFrame, counted: DataFrame, size: int, flat: np.ndarray | None) -> DataFrame:
+    """``row, doc_id, n_tokens, value``: a row's words by their share of their group, and its groups under ``flat``.
 
     ``words`` has the columns of ``numbered`` and a unique ``row``, ``counted`` is its stored vocabulary.
     """
@@ -321,38 +338,72 @@ def word_shares(words: DataFrame, counted: DataFrame, size: int) -> DataFrame:
     common = np.array([row["word"] for row in often], np.int64)
     logs, log_totals = np.log(np.array([row["n"] for row in often], np.float64)), np.log(np.maximum(totals, 1))
 
-    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, rest, counts, values = [], [], [], []
-            for row, packed in zip(frame["row"], frame["words"]):
-                word, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
-                value = -(n * log_totals[word & (size - 1)]).sum()
-                known = np.zeros(len(word), bool)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, word), len(common) - 1)
-                    known = common[at] == word
-                    value += (n * logs[at])[known].sum()
-                rows.append(np.full(1 + (~known).sum(), row))
-                rest += [[0], word[~known]]
-                counts += [[0], n[~known]]
-                values.append(np.concatenate([[value], np.zeros((~known).sum())]))
-            if rows:
-                yield pd.DataFrame({
-                    "row": np.concatenate(rows), "word": np.concatenate(rest).astype(np.int64),
-                    "n": np.concatenate(counts).astype(np.int64), "value": np.concatenate(values),
-                })
-
-    found = stored(words.select("row", "words").mapInPandas(look_up, "row bigint, word bigint, n bigint, value double"), "word-lookups")
-    rare = found.filter("n > 0").drop("value").join(counted.withColumnRenamed("n", "of_all"), "word")
-    parts = found.filter("n = 0").select("row", "value").unionByName(rare.select("row", (F.col("n") * F.ln("of_all")).alias("value")))
-    return parts.groupBy("row").agg(F.sum("value").alias("of_words"))
+    def weigh(documents: list[np.ndarray], weights: Weights | None) -> tuple[np.ndarray, ...]:
+        """Values of documents; and of words that were not sent, the document, the word and how often it is there."""
+        owner = np.repeat(np.arange(len(documents)), list(map(len, documents)))
+        word = np.concatenate([np.zeros(0, np.int64), *documents])
+        value = -log_totals[word & (size - 1)]
+        known = np.zeros(len(word), bool)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, word), len(common) - 1)
+            known = common[at] == word
+            value[known] += logs[at[known]]
+        values = np.bincount(owner, weights=value, minlength=len(documents))
+        if weights is not None:
+            values += group_sums(weights, [hashes.view(np.uint64) for hashes in documents], size)
+        owner, word = owner[~known], word[~known]
+        order = np.lexsort((word, owner))
+        owner, word = owner[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])[: len(word)])
+        return values, owner[first], word[first], np.diff(np.append(first, len(word)))
+
+    kind = words.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {kind}, n_tokens bigint, word bigint, n bigint, value double"
+    arrow = words.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = None if flat is None else split_weights(flat)
+        for whole in batches:
+            documents = [np.frombuffer(packed, np.int64) for packed in whole.column(2).to_pylist()]
+            sizes = np.array(list(map(len, documents)))
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // WORDS_AT_ONCE, prepend=-1))
+            for at, end in zip(cuts, [*cuts[1:], len(documents)]):
+                batch = whole.slice(at, end - at)
+                values, owner, word, n = weigh(documents[at:end], weights)
+                rare, none = pa.array(owner), np.zeros(len(word))
+                columns = [
+                    pa.concat_arrays([batch.column(0), batch.column(0).take(rare)]),
+                    pa.concat_arrays([batch.column(1), pa.nulls(len(word), batch.column(1).type)]),
+                    np.concatenate([sizes[at:end], none]).astype(np.int64),
+                    np.concatenate([np.zeros(end - at, np.int64), word]),
+                    np.concatenate([np.zeros(end - at, np.int64), n]),
+                    np.concatenate([values, none]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], schema=arrow)
+
+    found = stored(words.select("row", "doc_id", "words").mapInArrow(look_up, schema), "word-lookups")
+    rare = found.filter("n > 0").select("row", "word", "n").join(counted.withColumnRenamed("n", "of_all"), "word")
+    of_rare = rare.select("row", (F.col("n") * F.ln("of_all")).alias("value"))
+    parts = found.filter("n = 0").select("row", "doc_id", "n_tokens", "value").unionByName(of_rare, allowMissingColumns=True)
+    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("value").alias("value"))
+
+
+def word_shares(words: DataFrame, counted: DataFrame, size: int) -> DataFrame:
+    """``row, of_words``: the sum over a row's words of the logarithm of their share of their group."""
+    return _weighed(words, counted, size, None).select("row", F.col("value").alias("of_words"))
+
+
+def _by_part(words: DataFrame) -> DataFrame:
+    """``words`` stored in a folder for each part, so that a round of training reads its own."""
+    path = shared_folder(words.sparkSession, "numbered-words")
+    words.write.partitionBy("part").parquet(path)
+    return words.sparkSession.read.schema(words.schema).parquet(path)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """Every document under the model of all of them: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``."""
-    words = stored(numbered(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-words")
+    words = _by_part(numbered(docs).withColumn("row", F.monotonically_increasing_id()))
     counted = stored(vocabulary(words), "vocabulary")
     size = groups_for(counted.count())
-    groups = _group_scores(words.select("row", "doc_id", "words"), train(words, size))
-    both = groups.join(word_shares(words, counted, size), "row")
-    return _with_mean(both.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.col("of_words")).alias("log_likelihood")))
+    found = _weighed(words, counted, size, train(words, size))
+    return _with_mean(found.select("doc_id", "n_tokens", F.col("value").alias("log_likelihood")))
