@@ -26,6 +26,10 @@ FEATURES = ("user_id", "day_of_week", "hour_of_day")
 # Enough for any bigint.
 BUCKET_DIGITS = 19
 
+# Different gaps of one bucket that a task may sort, and cells of a histogram beyond that.
+SORTED_GAPS = 1_000_000
+CELLS = 1_024
+
 
 def _example_columns(plays: DataFrame) -> list[str]:
     return [c for c in ("event_id", "user", "ts_ms", "songId") if c in plays.columns] + list(FEATURES)
@@ -83,14 +87,71 @@ def counted_gaps(training: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def median_gaps(counted: DataFrame) -> DataFrame:
-    """The median gap of each bucket, by running counts over its sorted distinct gaps."""
+    """The median gap of each bucket: ``predicted_label, predicted_gap_ms``.
+
+    The gaps of a bucket are sorted in one task as long as none has over ``SORTED_GAPS`` different
+    ones; else the medians are closed in on by histograms, and no task sees more than a part of a bucket.
+    """
+    totals = cut_lineage(
+        counted.groupBy("bucket").agg(
+            F.sum("n").alias("total"), F.count("*").alias("gaps"), F.min("gap_ms").alias("low"), F.max("gap_ms").alias("high")
+        ),
+        "gap-totals",
+    )
+    most = totals.agg(F.max("gaps")).first()[0] or 0
+    lower, upper = _sorted_medians(counted, totals) if most <= SORTED_GAPS else _closed_in_medians(counted, totals)
+    joined = lower.join(upper, "bucket")
+    middle = (F.col("lower") + (F.col("upper") - F.col("lower")) / 2).cast("long")
+    return joined.select(F.col("bucket").alias("predicted_label"), middle.alias("predicted_gap_ms"))
+
+
+def _sorted_medians(counted: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By running counts over the sorted gaps of each bucket."""
     ascending = Window.partitionBy("bucket").orderBy("gap_ms").rowsBetween(Window.unboundedPreceding, 0)
-    totals = counted.groupBy("bucket").agg(F.sum("n").alias("total"))
     place = counted.select("bucket", "gap_ms", F.sum("n").over(ascending).alias("upto")).join(totals, "bucket")
-    lower = F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) / 2), F.col("gap_ms")))
-    upper = F.min(F.when(F.col("upto") > F.ceil((F.col("total") - 1) / 2), F.col("gap_ms")))
-    middle = (lower + (upper - lower) / 2).cast("long")
-    return place.groupBy(F.col("bucket").alias("predicted_label")).agg(middle.alias("predicted_gap_ms"))
+
+    def at(rank, name: str) -> DataFrame:
+        return place.groupBy("bucket").agg(F.min(F.when(F.col("upto") > rank, F.col("gap_ms"))).alias(name))
+
+    return at(F.floor((F.col("total") - 1) / 2), "lower"), at(F.ceil((F.col("total") - 1) / 2), "upper")
+
+
+def _closed_in_medians(counted: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By histograms of ``CELLS`` cells over the range that holds the wanted rank, again and again.
+
+    Every pass is an aggregation with map-side combine that leaves at most ``CELLS`` rows per bucket
+    and rank; a range of any bigint is a single gap after seven passes.
+    """
+    ranks = F.array(
+        F.struct(F.lit("lower").alias("which"), F.floor((F.col("total") - 1) / 2).alias("rank")),
+        F.struct(F.lit("upper").alias("which"), F.ceil((F.col("total") - 1) / 2).alias("rank")),
+    )
+    state = totals.select("bucket", "low", "high", F.explode(ranks).alias("one")).select("bucket", "low", "high", "one.*")
+    state = cut_lineage(state, "gap-ranges")
+    while not state.where("low < high").isEmpty():
+        width = F.expr(f"(high - low) div {CELLS} + 1")
+        cells = (
+            counted.join(state, "bucket")
+            .where("gap_ms BETWEEN low AND high")
+            .withColumn("cell", F.expr(f"(gap_ms - low) div ((high - low) div {CELLS} + 1)"))
+            .groupBy("bucket", "which", "cell")
+            .agg(F.sum("n").alias("n"))
+        )
+        upto = F.sum("n").over(Window.partitionBy("bucket", "which").orderBy("cell"))
+        held = (
+            cells.withColumn("upto", upto)
+            .join(state, ["bucket", "which"])
+            .where("rank < upto AND rank >= upto - n")
+            .withColumn("start", F.col("low") + F.col("cell") * width)
+        )
+        state = cut_lineage(
+            held.select(
+                "bucket", F.col("start").alias("low"), F.least("high", F.col("start") + width - 1).alias("high"), "which",
+                (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"),
+            ),
+            "gap-ranges",
+        )
+    return tuple(state.where(F.col("which") == name).select("bucket", F.col("low").alias(name)) for name in ("lower", "upper"))
 
 
 def train_on(examples: DataFrame, weight: str | None = None) -> NextTimeModel:

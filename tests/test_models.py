@@ -208,6 +208,19 @@ def test_next_time_equals_the_closed_form(plays, bucket_ms, forward):
         assert (answer.predicted_ts - answer.last_ts).total_seconds() * 1000 == pytest.approx(answer.predicted_gap_ms)
 
 
+@pytest.mark.parametrize("sorted_gaps, cells", [(10**6, 2), (0, 2), (0, 7), (0, 1_024)])
+def test_medians_sorted_and_closed_in(spark, monkeypatch, sorted_gaps, cells):
+    monkeypatch.setattr(next_time, "SORTED_GAPS", sorted_gaps)
+    monkeypatch.setattr(next_time, "CELLS", cells)
+    rng = random.Random(6)
+    gaps = {"hot": Counter(rng.choices([0, 5, 6, 7, 1000, 3_599_999, 10**15], k=999)), "one": Counter([77]), "two": Counter([1, 10**9])}
+    gaps |= {f"b{at}": Counter(rng.randrange(10**6) for _ in range(rng.randint(1, 40))) for at in range(12)}
+    rows = [(bucket, gap, n) for bucket, found in gaps.items() for gap, n in found.items()]
+    medians = next_time.median_gaps(spark.createDataFrame(rows, "bucket string, gap_ms bigint, n bigint"))
+    expected = {bucket: int(np.median(sorted(found.elements()))) for bucket, found in gaps.items()}
+    assert {r.predicted_label: r.predicted_gap_ms for r in medians.collect()} == expected
+
+
 def test_training_without_examples_is_an_error(plays):
     with pytest.raises(ValueError, match="no training examples"):
         next_time.train(plays.limit(0))
