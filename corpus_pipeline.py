@@ -39,8 +39,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, their token ids and their place in training sequences."""
-    return packing.pack(packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")))
+    """Pieces of all documents with their place in training sequences; the ids themselves stay out of its shuffles."""
+    pieces = packing.pieces(docs)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 STAGES = [
