@@ -163,21 +163,22 @@ def gradient(weights: Weights, line: np.ndarray, places: np.ndarray) -> Weights:
     back = (by_class @ weights["to_class"].T + by_word @ weights["to_word"].T) * (1 - hidden**2)
     first = int(places[0]) - WINDOW
     stretch = line[first : int(places[-1]) + WINDOW + 1]
-    left, right = np.zeros((2, len(stretch), HIDDEN), np.float32)
+    sides = np.zeros((len(stretch), 2 * HIDDEN), np.float32)  # to the left of a place, to the right
     for at, near in enumerate(NEARNESS, 1):  # no two places are one, so rows are added once
-        left[places - at - first] += near * back
-        right[places + at - first] += near * back
-    out = {
-        "left": _sums(ends + 1, stretch, left),
-        "right": _sums(ends + 1, stretch, right),
+        share = near * back
+        sides[places - at - first, :HIDDEN] += share
+        sides[places + at - first, HIDDEN:] += share
+    sides = _sums(ends + 1, stretch, sides)
+    sides[ends] = 0
+    return {
+        "left": sides[:, :HIDDEN],
+        "right": sides[:, HIDDEN:],
         "shift": back.sum(axis=0),
         "to_class": hidden.T @ by_class,
         "class_bias": by_class.sum(axis=0),
         "to_word": hidden.T @ by_word,
         "word_bias": _sums(of_class.shape[1], kind, by_word),
     }
-    out["left"][ends] = out["right"][ends] = 0
-    return out
 
 
 def trained(flat: np.ndarray, lines: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:

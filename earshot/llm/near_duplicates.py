@@ -4,9 +4,10 @@ Words are runs without white space, A-Z in lower case; a document's set holds it
 shingles of five words, or its whole sequence when it has fewer. Documents are linked when
 ``100 * intersection >= 75 * union``; a component is what links reach.
 
-Method: a signature of ``COORDINATES`` minima; each document is posted under its coordinate-value
-pairs; documents that collide in at least ``MATCHES`` coordinates are confirmed on their full sets.
-A pair at the threshold has fewer collisions with probability 4e-8, one above it with less.
+Method: a signature of ``COORDINATES`` minima; documents are posted under coordinate-value pairs, so
+many of them that any two with ``MATCHES`` collisions meet. A pair at the threshold has fewer collisions
+with probability 4e-8, one above it with less. Pairs that meet are not sorted out by counting the rest of
+their collisions: bounds on the overlap rule most of them out, and links are confirmed on full sets.
 
 * Equal sets are one class first, so copies never meet each other.
 * Skip: a pair that nobody else has cannot collide. A document with fewer than ``MATCHES`` shared
