@@ -10,10 +10,14 @@ before it, the line around it); a threshold per kind, calibrated on candidates h
 training, selects those that are added. Secrets that their keyword or issuer's prefix confirms are
 added whatever the trees say.
 
-The trees are trained here, on at most ``TRAINING_CANDIDATES`` candidates of each kind, half of them
-of either class, those of smallest hash over the whole table, and on ``GENERATED`` sentences of either class that
-are made by rule, so that there is a model for a table of any size. Calibration weighs held-out candidates
-by what their class has in the table, so a rare class isn't taken for a common one. The labels come from what the features do not show: a number
+The trees are trained here, on every labelled candidate of the table, and on ``GENERATED`` sentences of either
+class that are made by rule, so that there is a model for a table of any size. Features are read in the steps of a
+fixed grid (``GRID``), and candidates alike in all steps are one counted cell, so that trees cost by the cells.
+A level of a tree needs the sums of slopes by node, feature and step: tasks sum their cells, Spark adds
+the tasks up, and the driver chooses the cuts. Sums are of whole numbers, so a model does not depend on
+how the table is split or on retries. In training the more frequent class of a kind weighs as much as the other.
+One candidate in two, by a hash, is kept out of training, and all of those calibrate with the weight they have
+in the table, so a rare class isn't taken for a common one. The labels come from what the features do not show: a number
 is personal when a base rule confirms it by its checks (phone numbers are shown as they would stand
 without ``+``, and without the country's part), a secret when a keyword assigns it or its
 issuer's prefix names it. What is written like a phone number without ``+`` is no example of
@@ -25,7 +29,8 @@ repeat a ``doc_id`` are answered each. An empty table gives no rows. Other colum
 
 Texts pass through Python once to be searched; only documents with a digit or an at-sign are looked
 at further. Candidates with their features are stored, so training and choosing do not read texts
-again. The driver holds the training sample and the trees.
+again. The driver holds the trees, the sums of one level, at most ``CELLS_AT_HAND`` cells (where there are no more,
+it sums them itself, without a job for each level), and counts by score.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,11 +56,22 @@ from earshot.llm.common import ship, stored, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("number", "secret")
 ORDER = {kind: at for at, kind in enumerate((*KINDS, *ADDED))}
-TRAINING_CANDIDATES = 4_000
 #: Sentences made by rule for each kind and class, beside those of the table.
 GENERATED = 150
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE, CUTS = 40, 3, 0.2, 16
+#: Ends of the steps in which each feature is read, as ``features`` lists them; the last step has no end.
+NUMBERS = np.unique(np.concatenate([np.arange(25), np.geomspace(26, 2**20, 38).round()]))
+SHARES, ENTROPIES, YES = np.arange(32) / 32, np.arange(50) / 8, np.zeros(1)
+GRID = [NUMBERS] * 2 + [SHARES] * 2 + [ENTROPIES] + [NUMBERS] * 8 + [YES] * 6 + [NUMBERS]
+STEPS = 64
+#: Least curvature on either side of a cut, that of 16 candidates at even odds: a label false only says
+#: unconfirmed, so no tree may learn a few of them by heart.
+LEAST = 4.0
+#: Slopes are summed as whole multiples of one part in so many, scores counted by steps of one part in so many.
+UNIT, SCORE_UNIT = 1 << 24, 1 << 10
+#: Cells that the driver may sum itself, and those that are summed at a time.
+CELLS_AT_HAND, CELLS_AT_ONCE = 20_000, 1 << 16
 
 TELLING = re.compile("[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -242,53 +259,117 @@ def searched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(search, f"doc_id {kind}, {SEARCHED}")
 
 
-def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int):
-    """A regression tree: a leaf value, or (feature, cut, tree below or at, tree above)."""
-    value = gradient.sum() / (hessian.sum() + 1)
-    best, choice = gradient.sum() ** 2 / (hessian.sum() + 1) + 1e-6, None
-    for feature in range(x.shape[1]) if depth and len(x) > 1 else ():
-        for cut in np.unique(np.quantile(x[:, feature], np.linspace(0, 1, CUTS + 2)[1:-1])):
-            low = x[:, feature] <= cut
-            if not 0 < low.sum() < len(x):
-                continue
-            gain = sum(gradient[side].sum() ** 2 / (hessian[side].sum() + 1) for side in (low, ~low))
-            if gain > best:
-                best, choice = gain, (feature, float(cut), low)
-    if choice is None:
-        return float(value)
-    feature, cut, low = choice
-    return feature, cut, *(_grow(x[side], gradient[side], hessian[side], depth - 1) for side in (low, ~low))
-
-
-def _value(tree, x: np.ndarray) -> np.ndarray:
-    if isinstance(tree, float):
-        return np.full(len(x), tree)
-    feature, cut, low, high = tree
-    return np.where(x[:, feature] <= cut, _value(low, x), _value(high, x))
-
-
-def score(trees: list, x: np.ndarray) -> np.ndarray:
+class Trees(NamedTuple):
+    """Trees of equal depth: feature and cut of inner nodes, level by level, and values of the leaves, one row a tree."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    value: np.ndarray
+
+    def and_then(self, more: Trees) -> Trees:
+        return Trees(*map(np.concatenate, zip(self, more)))
+
+
+def _stumps(n: int) -> Trees:
+    """Trees that do not cut yet: all rows go to the first leaf."""
+    inner = 2**DEPTH - 1
+    return Trees(np.zeros((n, inner), np.int64), np.full((n, inner), np.inf), np.zeros((n, 2**DEPTH)))
+
+
+def _nodes(trees: Trees, x: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row in each tree at a depth, from the left."""
+    tree, row = np.arange(len(trees.cut)), np.arange(len(x))[:, None]
+    node = np.zeros((len(x), len(tree)), np.int64)
+    for level in range(depth):
+        inner = 2**level - 1 + node
+        node = 2 * node + (x[row, trees.feature[tree, inner]] > trees.cut[tree, inner])
+    return node
+
+
+def score(trees: Trees, x: np.ndarray) -> np.ndarray:
     """Log-odds."""
-    return sum((RATE * _value(tree, x) for tree in trees), np.zeros(len(x)))
+    total, tree = np.zeros(len(x)), np.arange(len(trees.cut))
+    for at in range(0, len(x), 4096):
+        part = slice(at, at + 4096)
+        total[part] = RATE * trees.value[tree, _nodes(trees, x[part], DEPTH)].sum(axis=1)
+    return total
+
+
+def steps(x: np.ndarray, grid: list[np.ndarray]) -> np.ndarray:
+    """The step of every feature: the first whose end is not below it."""
+    return np.stack([np.searchsorted(ends, x[:, at], "left") for at, ends in enumerate(grid)], axis=1).astype(np.uint8)
+
+
+def level_sums(trees: Trees, tree: Trees, depth: int, x: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of slope and curvature of the logistic loss by node, label, feature and step, in parts of ``UNIT``."""
+    p = 1 / (1 + np.exp(-score(trees, x)))
+    node, width = _nodes(tree, x, depth)[:, 0], x.shape[1]
+    key = ((node * 2 + label)[:, None] * width + np.arange(width)) * STEPS + x
+    out = np.zeros((2, 2**depth * 2 * width * STEPS), np.int64)
+    for own, values in zip(out, (label - p, p * (1 - p))):
+        np.add.at(own, key.ravel(), np.repeat(np.rint(values * UNIT).astype(np.int64) * n, width))
+    return out
+
+
+def _cut(tree: Trees, depth: int, sums: np.ndarray) -> None:
+    """Give the nodes at ``depth`` their best cuts; ``sums`` are slope and curvature by node, feature and step."""
+    low = sums.cumsum(axis=3)
+    total = low[..., -1:]
+    high = total - low
+    gain = low[0] ** 2 / (low[1] + 1) + high[0] ** 2 / (high[1] + 1)
+    gain[np.minimum(low[1], high[1]) < LEAST] = 0
+    for node in range(2**depth):
+        feature, step = divmod(int(gain[node].argmax()), STEPS)
+        if gain[node, feature, step] <= total[0, node, 0, 0] ** 2 / (total[1, node, 0, 0] + 1) + 1e-6:
+            feature, step = 0, STEPS - 1  # not cut: all rows are below or at the last step
+        else:
+            tree.feature[0, 2**depth - 1 + node], tree.cut[0, 2**depth - 1 + node] = feature, step
+        if depth == DEPTH - 1:
+            for leaf, (slope, curve) in enumerate((low[:, node, feature, step], high[:, node, feature, step])):
+                tree.value[0, 2 * node + leaf] = slope / (curve + 1)
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> list:
-    """Trees for the logistic loss."""
-    trees, at = [], np.zeros(len(y))
+#: Kind, trees so far, the tree that grows and its depth, to the result of ``level_sums`` over all rows of the kind.
+Ask = Callable[[dict[str, Trees], dict[str, Trees], int], dict[str, np.ndarray]]
+
+
+def boosted(ask: Ask, counts: dict[str, tuple[int, int]], grid: list[np.ndarray]) -> dict[str, Trees]:
+    """Trees for the logistic loss for each kind; ``counts`` of rows of either label, which weigh the same in all."""
+    trees = {kind: _stumps(0) for kind in counts}
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-at))
-        trees.append(_grow(x, y - p, p * (1 - p), DEPTH))
-        at += RATE * _value(trees[-1], x)
+        growing = {kind: _stumps(1) for kind in counts}
+        for depth in range(DEPTH):
+            for kind, sums in ask(trees, growing, depth).items():
+                least = min((n for n in counts[kind] if n), default=1)
+                weights = np.array([least / max(n, 1) for n in counts[kind]])
+                by_label = sums.reshape(2, 2**depth, 2, len(grid), STEPS) / UNIT
+                _cut(growing[kind], depth, (by_label * weights[:, None, None]).sum(axis=2))
+        trees = {kind: trees[kind].and_then(growing[kind]) for kind in counts}
     return trees
 
 
+def with_cuts(trees: Trees, grid: list[np.ndarray]) -> Trees:
+    """Trees on steps as trees on features."""
+    ends = np.array([np.append(own, np.full(STEPS - len(own), np.inf)) for own in grid])
+    step = np.where(np.isfinite(trees.cut), trees.cut, STEPS - 1).astype(np.int64)
+    return trees._replace(cut=ends[trees.feature, step])
+
+
+def boost(x: np.ndarray, y: np.ndarray, grid: list[np.ndarray] | None = None) -> Trees:
+    """Trees for rows at hand; without a grid their own quantiles are the cuts."""
+    grid = grid or [np.unique(np.quantile(column, np.linspace(0, 1, CUTS + 2)[1:-1])) for column in x.T]
+    rows = steps(x, grid), y.astype(np.int64), np.ones(len(y), np.int64)
+    one = boosted(lambda trees, growing, depth: {"": level_sums(trees[""], growing[""], depth, *rows)}, {"": (int((y == 0).sum()), int((y == 1).sum()))}, grid)
+    return with_cuts(one[""], grid)
+
+
 def threshold(scores: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The least score from which isotonic calibration gives ``PRECISION``."""
     weights = np.ones(len(y)) if weights is None else weights
     blocks: list[list[float]] = []  # sum of labels, number, least score; means ascend
-    for score_ in np.unique(scores):
-        same = scores == score_
-        blocks.append([float((weights * y)[same].sum()), float(weights[same].sum()), float(score_)])
+    different, at = np.unique(scores, return_inverse=True)
+    for labels, n, score_ in zip(np.bincount(at, weights * y), np.bincount(at, weights), different):
+        blocks.append([float(labels), float(n), float(score_)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             labels, n, _ = blocks.pop()
             blocks[-1][0] += labels
@@ -343,37 +424,98 @@ def generated(kind: str) -> tuple[list[list[float]], list[bool]]:
     return x, y
 
 
-def train(found: DataFrame) -> dict[str, tuple[list, float]]:
-    """Trees and threshold for each kind, from the stored result of ``searched``."""
+CELLS = "kind string, label boolean, held boolean, steps binary"
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """``kind, label, held, steps, n``: all labelled candidates of the result of ``searched``, and generated ones, counted."""
     rows = found.select("doc_id", F.explode("more").alias("one")).select("doc_id", "one.*").filter("label IS NOT NULL")
-    order = F.xxhash64("doc_id", "start", "end", "kind")
-    counts = {(row.kind, row.label): row.n for row in rows.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
-    most = TRAINING_CANDIDATES // 2
+    held = F.xxhash64("doc_id", "start", "end", "kind").bitwiseAND(1) == 1
+    made = [
+        (kind, label, at // 4 % 2 == 1, list(map(float, values)))
+        for kind in ADDED
+        for at, (values, label) in enumerate(zip(*generated(kind)))
+    ]
+    made = found.sparkSession.createDataFrame(made, "kind string, label boolean, held boolean, features array<double>").coalesce(1)
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(steps=[row.tobytes() for row in steps(np.stack(frame.pop("features")), GRID)])
+
+    every = rows.select("kind", "label", held.alias("held"), "features").unionByName(made)
+    return every.mapInPandas(step, CELLS).groupBy("kind", "label", "held", "steps").agg(F.count("*").alias("n"))
+
+
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]  # steps, labels, numbers
+
+
+def _at_once(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Cells]]:
+    """Kind, and up to about ``CELLS_AT_ONCE`` of its cells."""
+    waiting, size = [], 0
+    for frame in itertools.chain(frames, [None]):
+        if frame is not None:
+            waiting.append(frame)
+            size += len(frame)
+        if size >= CELLS_AT_ONCE or (frame is None and size):
+            for kind, own in pd.concat(waiting).groupby("kind"):
+                x = np.frombuffer(b"".join(own["steps"]), np.uint8).reshape(len(own), -1)
+                yield kind, (x, own["label"].to_numpy(np.int64), own["n"].to_numpy(np.int64))
+            waiting, size = [], 0
+
+
+def _score_steps(trees: Trees, x: np.ndarray) -> np.ndarray:
+    return np.floor(score(trees, x) * SCORE_UNIT).clip(-(1 << 15), 1 << 15).astype(np.int64)
+
+
+def train(found: DataFrame) -> dict[str, tuple[Trees, float]]:
+    """Trees and threshold for each kind, from the stored result of ``searched``."""
+    ship(found.sparkSession)
+    stored_cells = stored(cells(found).select("kind", "label", "held", "steps", "n"), "personal-data-cells")
+    sizes = stored_cells.groupBy("kind", "label", "held").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()
+    counts = {kind: tuple(sum(r.n for r in sizes if (r.kind, r.label, r.held) == (kind, label, False)) for label in (False, True)) for kind in ADDED}
+    learned, kept_out = (stored_cells.filter(F.col("held") == held).drop("held") for held in (False, True))
+    if sum(row.cells for row in sizes) <= CELLS_AT_HAND:
+        at_hand = {kind: own for kind, own in _at_once(iter([learned.toPandas()]))}
+        trees = boosted(lambda trees, growing, depth: {kind: level_sums(trees[kind], growing[kind], depth, *at_hand[kind]) for kind in ADDED}, counts, GRID)
+    else:
+        trees = boosted(lambda trees, growing, depth: _summed(learned, trees, growing, depth), counts, GRID)
+
+    def score_steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for kind, (x, label, n) in _at_once(frames):
+            yield pd.DataFrame({"kind": kind, "label": label, "at": _score_steps(trees[kind], x), "n": n})
+
+    by_score = kept_out.mapInPandas(score_steps, "kind string, label bigint, at bigint, n bigint")
+    by_score = by_score.groupBy("kind", "label", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bounded by the steps of scores
     models = {}
     for kind in ADDED:
-        x, y = generated(kind)
-        weights, held = [1.0] * len(x), [at // 4 % 2 == 1 for at in range(len(x))]
-        for label in (True, False):
-            n = counts.get((kind, label), 0)
-            if not n:
-                continue
-            # only hashes that can be among the smallest are sent on, so that tasks don't each send a full sample
-            share = min(1.0, 2 * most / n)
-            sample = rows.filter((F.col("kind") == kind) & (F.col("label") == label)).select(order.alias("order"), "features")
-            if share < 1:
-                sample = sample.filter(F.col("order") <= int(-(2**63) + share * 2**64))
-            sample = sample.orderBy("order", "features").limit(most).collect()  # bounded
-            x += [row.features for row in sample]
-            y += [label] * len(sample)
-            weights += [n / max(1, len(sample))] * len(sample)
-            held += [at % 2 == 1 for at in range(len(sample))]
-        x, y, weights, held = np.array(x, np.float64), np.array(y, np.float64), np.array(weights), np.array(held)
-        trees = boost(x[~held], y[~held])
-        models[kind] = trees, threshold(score(trees, x[held]), y[held], weights[held])
+        own = by_score[by_score["kind"] == kind]
+        y, n = own["label"].to_numpy(np.float64), own["n"].to_numpy(np.float64)
+        models[kind] = with_cuts(trees[kind], GRID), threshold(own["at"].to_numpy() / SCORE_UNIT, y, n)
     return models
 
 
-def chosen(more, models: dict[str, tuple[list, float]]) -> list[Span]:
+def _summed(learned: DataFrame, trees: dict[str, Trees], growing: dict[str, Trees], depth: int) -> dict[str, np.ndarray]:
+    """``level_sums`` over the stored cells of each kind: tasks sum what they hold."""
+    shape = 2, 2**depth * 2 * len(GRID) * STEPS
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for kind, own in _at_once(frames):
+            sums[kind] = sums.get(kind, 0) + level_sums(trees[kind], growing[kind], depth, *own)
+        for kind, (slope, curve) in sums.items():
+            at = np.flatnonzero((slope != 0) | (curve != 0))
+            yield pd.DataFrame({"kind": kind, "at": at, "slope": slope[at], "curve": curve[at]})
+
+    parts = learned.mapInPandas(step, "kind string, at bigint, slope bigint, curve bigint")
+    rows = parts.groupBy("kind", "at").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toArrow().to_pandas()
+    out = {kind: np.zeros(shape, np.int64) for kind in ADDED}
+    for kind, own in rows.groupby("kind"):
+        out[kind][:, own["at"].to_numpy()] = own[["slope", "curve"]].to_numpy().T
+    return out
+
+
+def chosen(more, models: dict[str, tuple[Trees, float]]) -> list[Span]:
     """The candidates to add: confirmed ones, and those that the trees select."""
     more = [one for one in more if not one["taken"]]
     added = [(one["kind"], one["start"], one["end"]) for one in more if one["label"]]

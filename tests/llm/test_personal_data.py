@@ -214,3 +214,30 @@ def test_candidates_overlap():
     text = "call +1 (202) 555-0100"
     confirmed = {text[a:b] for k, a, b, _, label, _ in personal_data.candidates(text, personal_data.base_spans(text)) if k == "number" and label}
     assert confirmed == {"1 (202) 555-0100", "(202) 555-0100"}
+
+
+def test_trees_learn_from_every_candidate(spark, monkeypatch):
+    """Far more candidates than one sample held: the trees are those of all that aren't kept out, summed on the driver or in tasks."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice(['row', 'file-x', 'Img_'])}{rng.randrange(10 ** rng.randint(1, 9))}-{rng.choice('abcxyz') * rng.randint(1, 9)}" for _ in range(30)) for _ in range(400)]
+    texts += [f"password={'k7Q' * rng.randint(3, 9)} or token: {rng.getrandbits(90):x}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = [(at, *one) for at, text in enumerate(texts) for one in personal_data.candidates(text, personal_data.base_spans(text)) if one[0] == "secret" and one[4] is not None]
+    assert sum(not one[5] for one in plain) > 8_000
+    places = spark.createDataFrame([(one[0], one[2], one[3]) for one in plain], "doc_id bigint, start int, end int").coalesce(1)
+    held = [row[0] & 1 for row in places.selectExpr("xxhash64(doc_id, start, end, 'secret')").collect()]
+    x, y = personal_data.generated("secret")
+    rows = [(one, label) for at, (one, label) in enumerate(zip(x, y)) if at // 4 % 2 == 0]
+    rows += [(one[4], one[5]) for one, out in zip(plain, held) if not out]
+    monkeypatch.setattr(personal_data, "ROUNDS", 4)
+    right = personal_data.boost(np.array([one for one, _ in rows]), np.array([label for _, label in rows], float), personal_data.GRID)
+    found = personal_data.stored(personal_data.searched(docs), "searched")
+    counted = personal_data.cells(found).filter("kind = 'secret'").agg({"n": "sum"}).first()[0]
+    assert counted == len(plain) + len(x)
+    models = []
+    for most in (personal_data.CELLS_AT_HAND, 0):
+        monkeypatch.setattr(personal_data, "CELLS_AT_HAND", most)
+        models.append(personal_data.train(found.repartition(1 + 4 * (most == 0)))["secret"])
+    assert models[0][1] == models[1][1] < float("inf")
+    for trees, _ in models:
+        assert all(np.array_equal(own, other) for own, other in zip(trees, right))
