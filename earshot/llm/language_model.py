@@ -115,29 +115,56 @@ def padded(documents: list[np.ndarray], size: int = WORDS) -> tuple[np.ndarray,
     return line, np.flatnonzero(line < size)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _stretch(line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of a line that is seen from ascending places, and where they are in it less the first ``WINDOW`` positions."""
+    first = int(places[0]) - WINDOW
+    return line[first : int(places[-1]) + WINDOW + 1], places - int(places[0])
+
+
+def _outputs(weights: Weights) -> np.ndarray:
+    """Weights of all classes and of all words of a class side by side; the bias of classes is the last row."""
+    bias = np.concatenate([weights["class_bias"], np.zeros(len(weights["to_word"].T), np.float32)])
+    return np.concatenate([np.concatenate([weights["to_class"], weights["to_word"]], axis=1), bias[None]])
 
 
 def forward(weights: Weights, line: np.ndarray, places: np.ndarray):
-    """Hidden values, and log-probabilities of all classes and of all words of the right class."""
-    total = np.zeros((len(places), HIDDEN), np.float32) + weights["shift"]
-    for at, near in enumerate(NEARNESS, 1):
-        total += near * (weights["left"][line[places - at]] + weights["right"][line[places + at]])
-    hidden = np.tanh(total)
-    target = line[places].astype(np.int64) // len(weights["to_word"].T)
-    of_class = _log_softmax(hidden @ weights["to_class"] + weights["class_bias"])
-    of_word = _log_softmax(hidden @ weights["to_word"] + weights["word_bias"][target])
-    return hidden, of_class, of_word
+    """Hidden values and a one; scores of all classes and then of all words of the right class; class and word of each place.
+
+    Sides are summed over the whole stretch, in which few positions are no places, by moving it along itself.
+    """
+    stretch, inside = _stretch(line, places)
+    left, right = weights["left"].take(stretch, axis=0), weights["right"].take(stretch, axis=0)
+    size = len(stretch) - 2 * WINDOW
+    total = left[WINDOW - 1 :][:size] + right[WINDOW + 1 :][:size]
+    total += weights["shift"]
+    for at, near in enumerate(NEARNESS[1:], 2):
+        side = left[WINDOW - at :][:size] + right[WINDOW + at :][:size]
+        side *= near
+        total += side
+    hidden = np.ones((len(places), HIDDEN + 1), total.dtype)
+    np.tanh(total if len(places) == size else total.take(inside, axis=0), out=hidden[:, :HIDDEN])
+    kind, word = np.divmod(line[places], np.uint16(weights["to_word"].shape[1]))
+    values = hidden @ _outputs(weights)
+    values[:, len(weights["class_bias"]) :] += weights["word_bias"].take(kind, axis=0)
+    return hidden, values, kind, word
+
+
+def _exponentials(values: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the scores, and their sums over classes and over words; maxima are taken off ``values`` where they could overflow."""
+    if max(values.max(), -values.min()) > 40:
+        for part in (values[:, :classes], values[:, classes:]):
+            part -= part.max(axis=1, keepdims=True)
+    powers = np.exp(values)
+    of_class = np.arange(values.shape[1]) < classes
+    return powers, powers @ np.stack([of_class, ~of_class], axis=1).astype(powers.dtype)
 
 
 def log_probabilities(weights: Weights, line: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Of each word given those around it."""
-    _, of_class, of_word = forward(weights, line, places)
-    row, target = np.arange(len(places)), line[places].astype(np.int64)
-    kind, word = np.divmod(target, of_word.shape[1])
-    return of_class[row, kind] + of_word[row, word]
+    _, values, kind, word = forward(weights, line, places)
+    classes, row = len(weights["class_bias"]), np.arange(len(places))
+    _, totals = _exponentials(values, classes)
+    return values[row, kind] + values[row, classes + word.astype(np.int64)] - np.log(totals).sum(axis=1)
 
 
 def _sums(size: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -146,38 +173,43 @@ def _sums(size: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    out[keys[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    out[keys[starts]] = np.add.reduceat(values.take(order, axis=0), starts, axis=0)
     return out
 
 
 def gradient(weights: Weights, line: np.ndarray, places: np.ndarray) -> Weights:
     """Of the mean log-probability."""
-    hidden, of_class, of_word = forward(weights, line, places)
-    row, target = np.arange(len(places)), line[places].astype(np.int64)
-    kind, word = np.divmod(target, of_word.shape[1])
-    ends = len(weights["left"]) - 1
-    by_class, by_word = -np.exp(of_class), -np.exp(of_word)
-    by_class[row, kind] += 1
-    by_word[row, word] += 1
-    by_class, by_word = by_class / len(places), by_word / len(places)
-    back = (by_class @ weights["to_class"].T + by_word @ weights["to_word"].T) * (1 - hidden**2)
-    first = int(places[0]) - WINDOW
-    stretch = line[first : int(places[-1]) + WINDOW + 1]
-    sides = np.zeros((len(stretch), 2 * HIDDEN), np.float32)  # to the left of a place, to the right
-    for at, near in enumerate(NEARNESS, 1):  # no two places are one, so rows are added once
-        share = near * back
-        sides[places - at - first, :HIDDEN] += share
-        sides[places + at - first, HIDDEN:] += share
-    sides = _sums(ends + 1, stretch, sides)
+    hidden, values, kind, word = forward(weights, line, places)
+    classes, row, ends = len(weights["class_bias"]), np.arange(len(places)), len(weights["left"]) - 1
+    slopes, totals = _exponentials(values, classes)
+    totals = -1 / (totals * np.float32(len(places)))
+    slopes[:, :classes] *= totals[:, :1]
+    slopes[:, classes:] *= totals[:, 1:]
+    slopes[row, kind] += np.float32(1 / len(places))
+    slopes[row, classes + word.astype(np.int64)] += np.float32(1 / len(places))
+    inner = hidden[:, :HIDDEN]
+    back = slopes @ _outputs(weights)[:HIDDEN].T
+    back *= 1 - inner * inner
+    stretch, inside = _stretch(line, places)
+    size = len(stretch) - 2 * WINDOW
+    spread = np.zeros((size, HIDDEN), back.dtype)  # nothing comes back from what is no place
+    spread[inside] = back
+    left, right = np.zeros((2, len(stretch), HIDDEN), back.dtype)  # sides of a place
+    for at, near in enumerate(NEARNESS, 1):
+        share = near * spread
+        left[WINDOW - at :][:size] += share
+        right[WINDOW + at :][:size] += share
+    sides = _sums(ends + 1, stretch, np.concatenate([left, right], axis=1))
     sides[ends] = 0
+    outputs = hidden.T @ slopes
     return {
         "left": sides[:, :HIDDEN],
         "right": sides[:, HIDDEN:],
         "shift": back.sum(axis=0),
-        "to_class": hidden.T @ by_class,
-        "class_bias": by_class.sum(axis=0),
-        "to_word": hidden.T @ by_word,
-        "word_bias": _sums(of_class.shape[1], kind, by_word),
+        "to_class": outputs[:HIDDEN, :classes],
+        "class_bias": outputs[HIDDEN, :classes],
+        "to_word": outputs[:HIDDEN, classes:],
+        "word_bias": _sums(classes, kind, slopes[:, classes:]),
     }
 
 
@@ -189,11 +221,13 @@ def trained(flat: np.ndarray, lines: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     for line, places in lines:
         for at in range(0, len(places), BATCH):
             part = places[at : at + BATCH]
-            met = np.unique(line[int(part[0]) - WINDOW : int(part[-1]) + WINDOW + 1])
+            all_rows = 4 * len(part) > len(weights["left"])
+            met = None if all_rows else np.unique(_stretch(line, part)[0])  # all others have no slope
             for name, slope in gradient(weights, line, part).items():
-                rows = met if name in ("left", "right") else slice(None)  # all others have no slope
-                squares[name][rows] += slope[rows] ** 2
-                weights[name][rows] += RATE * slope[rows] / np.sqrt(squares[name][rows])
+                rows = slice(None) if all_rows or name not in ("left", "right") else met
+                slope = slope[rows]
+                squares[name][rows] += slope * slope
+                weights[name][rows] += slope * (np.float32(RATE) / np.sqrt(squares[name][rows]))
             count += len(part)
     return flat, count
 
