@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
 from test_near_duplicates import brute_components
 from test_personal_data import plain_spans
 from test_tokens import check_packing
@@ -85,3 +87,30 @@ def test_packing_keeps_columns_of_any_name(spark):
     packed = packing.pack(pieces, 16)
     assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
     assert {tuple(row)[:8] for row in packed.collect()} == set(rows)
+
+
+def test_redaction_learns_from_every_candidate_it_is_given(spark, monkeypatch):
+    """More than one sample held, however the rows are split; and the models are those of the operator alone."""
+    texts = [" ".join(f"row{at}x{k}-{'abcde'[k % 5] * (1 + at % 7)}" for k in range(20)) for at in range(300)]
+    texts += [f"password={'k7Q' * (3 + at % 5)} or call +1 (202) 555-{at:04d}" for at in range(50)] + ["no digits", None]
+    labels = [one[4] for text in texts if text for one in personal_data.candidates(text, personal_data.base_spans(text)) if one[0] == "secret"]
+    assert labels.count(False) > 4_000
+    made = personal_data.generated("secret")[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    trained, train = [], personal_data.train
+
+    def watched(found):
+        read = {row.label: row.n for row in personal_data.cells(found).filter("kind = 'secret'").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        trained.append((read, train(found)))
+        return trained[-1][1]
+
+    monkeypatch.setattr(personal_data, "ROUNDS", 3)
+    monkeypatch.setattr(personal_data, "train", watched)
+    stages = dict(corpus_pipeline.STAGES)
+    for parts in (1, 5):
+        stages["personal data"](spark, docs.repartition(parts), SF_DIR).collect()
+    personal_data.found(docs).collect()
+    for read, models in trained:
+        assert read == {label: labels.count(label) + made.count(label) for label in (False, True)}
+        for kind, (trees, least) in models.items():
+            assert least == trained[0][1][kind][1] and all(map(np.array_equal, trees, trained[0][1][kind][0]))
