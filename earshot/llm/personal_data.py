@@ -6,8 +6,8 @@ groups beside base spans, whole runs and parts of them between wide separators,
 keys and assigned values. Of numbers selected on the same digits the one of highest score is added.
 Boosted trees judge each candidate by its
 format (lengths, digits, separators, letters, entropy) and context (neighbouring characters, words
-before it, the line around it); a threshold per kind, calibrated on candidates held out from
-training, selects those that are added. Secrets that their keyword or issuer's prefix confirms are
+before it, the line around it); a threshold per kind, calibrated on candidates that the trees have not
+seen, selects those that are added. Secrets that their keyword or issuer's prefix confirms are
 added whatever the trees say.
 
 The trees are trained here, on every labelled candidate of the table, and on ``GENERATED`` sentences of either
@@ -16,8 +16,9 @@ fixed grid (``GRID``), and candidates alike in all steps are one counted cell, s
 A level of a tree needs the sums of slopes by node, feature and step: tasks sum their cells, Spark adds
 the tasks up, and the driver chooses the cuts. Sums are of whole numbers, so a model does not depend on
 how the table is split or on retries. In training the more frequent class of a kind weighs as much as the other.
-One candidate in two, by a hash, is kept out of training, and all of those calibrate with the weight they have
-in the table, so a rare class isn't taken for a common one. The labels come from what the features do not show: a number
+A hash deals the candidates into two halves. Each half trains trees, and the other calibrates their threshold with the
+weight its candidates have in the table, so a rare class isn't taken for a common one. The model is the mean of both, in scores
+and thresholds, so every candidate has its part in either. The labels come from what the features do not show: a number
 is personal when a base rule confirms it by its checks (phone numbers are shown as they would stand
 without ``+``, and without the country's part), a secret when a keyword assigns it or its
 issuer's prefix names it. What is written like a phone number without ``+`` is no example of
@@ -469,12 +470,27 @@ def _score_steps(trees: Trees, x: np.ndarray) -> np.ndarray:
 
 
 def train(found: DataFrame) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold for each kind, from the stored result of ``searched``."""
+    """Trees of one half and their threshold on the other, for each kind, from the stored result of ``searched``."""
+    return _trained(found, True)
+
+
+def cross_trained(found: DataFrame) -> dict[str, tuple[Trees, float]]:
+    """The mean of the models that either half trains and the other calibrates, for each kind."""
+    one, other = train(found), _trained(found, False)
+    models = {}
+    for kind in ADDED:
+        trees = one[kind][0].and_then(other[kind][0])
+        models[kind] = trees._replace(value=trees.value / 2), (one[kind][1] + other[kind][1]) / 2
+    return models
+
+
+def _trained(found: DataFrame, out: bool) -> dict[str, tuple[Trees, float]]:
+    """Trees of the candidates whose ``held`` is not ``out``, and their threshold on the others."""
     ship(found.sparkSession)
     stored_cells = stored(cells(found).select("kind", "label", "held", "steps", "n"), "personal-data-cells")
     sizes = stored_cells.groupBy("kind", "label", "held").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()
-    counts = {kind: tuple(sum(r.n for r in sizes if (r.kind, r.label, r.held) == (kind, label, False)) for label in (False, True)) for kind in ADDED}
-    learned, kept_out = (stored_cells.filter(F.col("held") == held).drop("held") for held in (False, True))
+    counts = {kind: tuple(sum(r.n for r in sizes if (r.kind, r.label, r.held) == (kind, label, not out)) for label in (False, True)) for kind in ADDED}
+    learned, kept_out = (stored_cells.filter(F.col("held") == held).drop("held") for held in (not out, out))
     if sum(row.cells for row in sizes) <= CELLS_AT_HAND:
         at_hand = {kind: own for kind, own in _at_once(iter([learned.toPandas()]))}
         trees = boosted(lambda trees, growing, depth: {kind: level_sums(trees[kind], growing[kind], depth, *at_hand[kind]) for kind in ADDED}, counts, GRID)
@@ -545,7 +561,7 @@ def joined_spans(spans: list[Span]) -> str:
 def found(docs: DataFrame) -> DataFrame:
     """``doc_id``, number of spans by base kind, ``base_sha256`` and all ``spans`` of every document."""
     candidates_of = stored(searched(docs), "personal-data")
-    models = train(candidates_of)
+    models = cross_trained(candidates_of)
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -574,7 +590,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced by ``<kind>``; null texts stay null."""
-    models = train(stored(searched(docs).filter(F.size("more") > 0).select("doc_id", "more"), "pii-candidates"))
+    models = cross_trained(stored(searched(docs).filter(F.size("more") > 0).select("doc_id", "more"), "pii-candidates"))
     schema: StructType = docs.schema
 
     def clean(text: str | None) -> str | None:

@@ -114,3 +114,57 @@ def test_redaction_learns_from_every_candidate_it_is_given(spark, monkeypatch):
         assert read == {label: labels.count(label) + made.count(label) for label in (False, True)}
         for kind, (trees, least) in models.items():
             assert least == trained[0][1][kind][1] and all(map(np.array_equal, trees, trained[0][1][kind][0]))
+
+
+def test_every_candidate_trains_trees_and_sets_thresholds(spark, monkeypatch):
+    """Of the candidates that the redaction stage is given, none is kept out of the trees, and none out of the thresholds."""
+    texts = [" ".join(f"row{at}x{k}-{'abcde'[k % 5] * (1 + at % 7)}" for k in range(20)) for at in range(100)]
+    texts += [f"password={'k7Q' * (3 + at % 5)} or call +1 (202) 555-{at:04d} on page {at}-{at:07d}" for at in range(50)]
+    every = [one for text in texts for one in personal_data.candidates(text, personal_data.base_spans(text))]
+    right = {}
+    for kind in personal_data.ADDED:
+        labels = [one[4] for one in every if one[0] == kind] + personal_data.generated(kind)[1]
+        right[kind] = labels.count(False), labels.count(True)
+    trained, calibrated, boosted, threshold = [], [], personal_data.boosted, personal_data.threshold
+
+    def grown(ask, counts, grid):
+        trained.append(counts)
+        return boosted(ask, counts, grid)
+
+    def weighed(scores, y, weights):
+        calibrated.append((float(weights[y == 0].sum()), float(weights[y == 1].sum())))
+        return threshold(scores, y, weights)
+
+    monkeypatch.setattr(personal_data, "ROUNDS", 3)
+    monkeypatch.setattr(personal_data, "boosted", grown)
+    monkeypatch.setattr(personal_data, "threshold", weighed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert dict(corpus_pipeline.STAGES)["personal data"](spark, docs, SF_DIR).count() == len(texts)
+    for at, kind in enumerate(personal_data.ADDED):
+        assert tuple(sum(counts[kind][label] for counts in trained) for label in (0, 1)) == right[kind]
+        assert tuple(map(sum, zip(*calibrated[at :: len(personal_data.ADDED)]))) == right[kind]
+        # what the one half's trees have not seen is what they are calibrated by
+        for counts, unseen in zip(trained, calibrated[at :: len(personal_data.ADDED)]):
+            assert tuple(map(sum, zip(counts[kind], unseen))) == right[kind]
+
+
+def test_redaction_scores_by_the_mean_of_both_halves(spark, monkeypatch):
+    """Trees of either half, as numpy grows them from that half's candidates alone."""
+    texts = [" ".join(f"row{at}x{k}-{'abcde'[k % 5] * (1 + at % 7)}" for k in range(20)) + f" secret: {'k7Q' * (3 + at % 5)}" for at in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(personal_data, "ROUNDS", 3)
+    found = stored(personal_data.searched(docs), "searched")
+    rows = found.select("doc_id", F.explode("more").alias("one")).select("doc_id", "one.*").filter("kind = 'secret' AND label IS NOT NULL")
+    rows = rows.withColumn("half", F.xxhash64("doc_id", "start", "end", "kind").bitwiseAND(1)).collect()
+    made = list(zip(*personal_data.generated("secret")))
+    x = np.array([row.features for row in rows] + [values for values, _ in made])
+    y = np.array([row.label for row in rows] + [label for _, label in made], float)
+    half = np.array([row.half for row in rows] + [at // 4 % 2 for at in range(len(made))])
+    scores = [personal_data.score(personal_data.boost(x[half == own], y[half == own], personal_data.GRID), x) for own in (0, 1)]
+    steps = [np.floor(own * personal_data.SCORE_UNIT) / personal_data.SCORE_UNIT for own in scores]
+    least = [personal_data.threshold(steps[own][half != own], y[half != own]) for own in (0, 1)]
+    for most in (personal_data.CELLS_AT_HAND, 0):
+        monkeypatch.setattr(personal_data, "CELLS_AT_HAND", most)
+        trees, mean = personal_data.cross_trained(found)["secret"]
+        assert np.allclose(personal_data.score(trees, x), (scores[0] + scores[1]) / 2)
+        assert mean == sum(least) / 2
